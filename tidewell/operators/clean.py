@@ -40,6 +40,12 @@ def _probe_columns() -> dict[str, Column]:
     }
 
 
+def has_long_tanks(staged: DataFrame) -> bool:
+    """Whether any tank spans several segments: reads one Boolean column of the staged table, pruned by
+    its row-group statistics, and spares the usual case the rank-search stages."""
+    return not staged.filter(F.col(HOT)).select(HOT).isEmpty()
+
+
 def _quantiles(staged: DataFrame) -> DataFrame:
     """Capacity median, inflow quantiles over positives and usage median per tank.
 
@@ -59,6 +65,8 @@ def _quantiles(staged: DataFrame) -> DataFrame:
             ]
         )
     )
+    if not has_long_tanks(staged):
+        return short
     long_rows = staged.filter(F.col(HOT))
     parts = []
     for metric, qs in _PROBES.items():
@@ -114,13 +122,14 @@ def resolve_capacity(candidate: Column) -> Column:
 def iqr_bounds(staged: DataFrame, column: str, multiplier: float = CLEANING.iqr_multiplier) -> DataFrame:
     """Lower and upper IQR fence of a column per tank; (0, 0) for a tank without values."""
     value = F.col(column)
-    short = (
+    quartiles = (
         staged.filter(~F.col(HOT))
         .groupBy(TANK)
         .agg(F.percentile(value, F.lit(0.25)).alias("q1"), F.percentile(value, F.lit(0.75)).alias("q3"))
     )
-    long_rows = staged.filter(F.col(HOT) & value.isNotNull()).select(TANK, value.alias("value"))
-    quartiles = short.unionByName(exact_quantiles(long_rows, [TANK], {"q1": 0.25, "q3": 0.75}))
+    if has_long_tanks(staged):
+        long_rows = staged.filter(F.col(HOT) & value.isNotNull()).select(TANK, value.alias("value"))
+        quartiles = quartiles.unionByName(exact_quantiles(long_rows, [TANK], {"q1": 0.25, "q3": 0.75}))
     spread = F.col("q3") - F.col("q1")
     return staged.groupBy(TANK).agg(F.count(value).alias("n")).join(quartiles, TANK, "left").select(
         TANK,
