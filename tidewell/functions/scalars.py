@@ -87,3 +87,8 @@ def grouped(c: Column, places: int = 0) -> Column:
 def flag(c: Column) -> Column:
     """Three-valued condition as plain true/false."""
     return F.coalesce(c, F.lit(False))
+
+
+def display(c: Column, places: int) -> Column:
+    """Rounded for a report. The nudge keeps noise in the last digits from deciding a decimal tie."""
+    return F.round(c.cast("double") + F.lit(1e-9), places)

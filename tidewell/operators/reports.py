@@ -8,7 +8,7 @@ from tidewell.contract import (
     CAPACITY, CONTROL, FLAGS, INFLOW, LEVEL, NUMERIC_COLUMNS, RAIN, TANK, TIME, USAGE, ControlRules,
 )
 from tidewell.functions.quantiles import exact_quantiles
-from tidewell.functions.scalars import clip, to_number, to_time
+from tidewell.functions.scalars import clip, display, to_number, to_time
 from tidewell.operators.features import latest_rows
 from tidewell.operators.rules import decide_action, decision_reason
 
@@ -165,7 +165,8 @@ def residual_histogram(df: DataFrame, bins: int = 24) -> DataFrame:
     counts = placed.groupBy(slot.alias("bin")).agg(F.count("*").alias("errors"))
     width = (F.col("hi") - F.col("lo")) / F.lit(bins)
     edge = lambda i: F.col("lo") + width * i
-    grid = span.select("lo", "hi", F.explode(F.sequence(F.lit(1), F.lit(bins))).cast("bigint").alias("bin"))
+    slots = F.sequence(F.lit(1).cast("bigint"), F.lit(bins).cast("bigint"))
+    grid = span.select("lo", "hi", F.explode(slots).alias("bin"))
     return grid.join(counts, "bin", "left").select(
         "bin", edge(F.col("bin") - 1).alias("low_edge"), edge(F.col("bin")).alias("high_edge"),
         F.coalesce("errors", F.lit(0)).alias("errors"),
@@ -195,7 +196,7 @@ def worst_misses(df: DataFrame, n: int = 8) -> DataFrame:
         df.orderBy(F.abs("error").desc(), TANK, TIME)
         .limit(n)
         .select(
-            TANK, TIME, *[F.round(c, 1).alias(c) for c in ("current_level", "actual_level", "pred", "error")]
+            TANK, TIME, *[display(F.col(c), 1).alias(c) for c in ("current_level", "actual_level", "pred", "error")]
         )
     )
 
@@ -226,7 +227,7 @@ def recent_decisions(df: DataFrame, n: int = 10, rules: ControlRules = CONTROL)
     """Each tank's last ``n`` decisions."""
     shown = ["pred_fill_pct", "rain_roll_3", "rain_roll_24"]
     return decided(latest_rows(df, n), rules).select(
-        TANK, TIME, *[F.round(c, 2).alias(c) for c in shown], "action", "reason"
+        TANK, TIME, *[display(F.col(c), 2).alias(c) for c in shown], "action", "reason"
     )
 
 
@@ -256,7 +257,7 @@ def impact_table(summary: DataFrame) -> DataFrame:
         *[of(s, c).alias(f"{s}_{c}") for s in ("no_controller", "with_controller") for c in IMPACT_METRICS.values()]
     )
     entries = {
-        label: {s: F.round(f"{s}_{c}", 1) for s in ("no_controller", "with_controller")}
+        label: {s: display(F.col(f"{s}_{c}"), 1) for s in ("no_controller", "with_controller")}
         for label, c in IMPACT_METRICS.items()
     }
     return _long(wide, [TANK], entries, "metric")
