@@ -34,7 +34,7 @@ class ForestSize:
     trees: int = 200
     min_leaf: int = 20
     max_depth: int = 30
-    max_bins: int = 64
+    max_bins: int = 32
     max_leaves: int = 100_000
 
     def leaf_for(self, rows: int) -> int:
@@ -71,7 +71,7 @@ def random_forest(
     forest = RandomForestRegressor(
         featuresCol="features", labelCol="label", predictionCol="raw", numTrees=size.trees, seed=seed,
         maxDepth=size.max_depth, maxBins=size.max_bins, minInstancesPerNode=size.leaf_for(rows),
-        featureSubsetStrategy="all", maxMemoryInMB=512,
+        featureSubsetStrategy="all", maxMemoryInMB=512, cacheNodeIds=True,
     )
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     return Pipeline(stages=[assembler, forest]).fit(training_rows(train, mode))
