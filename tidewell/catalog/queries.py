@@ -25,7 +25,8 @@ from tidewell.streaming import jobs
 from tidewell.streaming.replay import replay
 
 Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
+#: Query bodies over an opened lake, by name.
+BY_NAME: dict[str, Callable[[Lake], DataFrame]] = {}
 
 #: Keeps exact decimal ties off the rounding border, where engines disagree. Same value in the SQL.
 NUDGE = 3.14159e-8
@@ -34,12 +35,13 @@ KEY = [TANK, TIME]
 
 def query(fn: Callable[[Lake], DataFrame]) -> Callable[[Lake], DataFrame]:
     """Register ``fn`` under its name."""
-    _QUERIES[fn.__name__] = lambda spark, sf_dir: fn(lake(spark, sf_dir))
+    BY_NAME[fn.__name__] = fn
     return fn
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    """All queries as callables of a session and a data folder."""
+    return {name: lambda spark, sf_dir, fn=fn: fn(lake(spark, sf_dir)) for name, fn in BY_NAME.items()}
 
 
 def settle(c: str | Column) -> Column:

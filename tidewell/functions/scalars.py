@@ -76,12 +76,7 @@ def clip(c: Column, low: Column | float, high: Column | float) -> Column:
 
 def fixed(c: Column, places: int = 0) -> Column:
     """Number as text with a fixed count of decimals, ties to even."""
-    return F.format_string(f"%.{places}f", F.bround(c, places))
-
-
-def grouped(c: Column, places: int = 0) -> Column:
-    """As :func:`fixed`, with thousands separators."""
-    return F.format_number(F.bround(c, places), places)
+    return F.when(c.isNotNull(), F.format_string(f"%.{places}f", F.bround(c, places)))
 
 
 def flag(c: Column) -> Column:

@@ -53,7 +53,6 @@ def _quantiles(staged: DataFrame) -> DataFrame:
     then bounded; longer tanks through the rank search, which never gathers a tank.
     """
     probes = _probe_columns()
-    names = [f"{m}_{q}" for m, qs in _PROBES.items() for q in qs]
     short = (
         staged.filter(~F.col(HOT))
         .groupBy(TANK)
@@ -67,22 +66,20 @@ def _quantiles(staged: DataFrame) -> DataFrame:
     )
     if not has_long_tanks(staged):
         return short
-    long_rows = staged.filter(F.col(HOT))
-    parts = []
-    for metric, qs in _PROBES.items():
-        values = long_rows.select(TANK, probes[metric].alias("value")).filter("value is not null")
-        found = exact_quantiles(values, [TANK], {f"{metric}_{q}": p for q, p in qs.items()})
-        parts.append(
-            found.select(
-                TANK,
-                *[
-                    F.col(n) if n.startswith(metric) else F.lit(None).cast("double").alias(n)
-                    for n in names
-                ],
-            )
-        )
-    merged = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    long_tanks = merged.groupBy(TANK).agg(*[F.max(n).alias(n) for n in names])
+    # One row per (tank, metric, value), so that a single rank search serves all metrics.
+    each = F.inline(
+        F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in probes.items()])
+    )
+    values = staged.filter(F.col(HOT)).select(TANK, each).filter("value is not null")
+    wanted = {q: p for qs in _PROBES.values() for q, p in qs.items()}
+    found = exact_quantiles(values, [TANK, "metric"], wanted)
+    long_tanks = found.groupBy(TANK).agg(
+        *[
+            F.max(F.when(F.col("metric") == m, F.col(q))).alias(f"{m}_{q}")
+            for m, qs in _PROBES.items()
+            for q in qs
+        ]
+    )
     return short.unionByName(long_tanks)
 
 

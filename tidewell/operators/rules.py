@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewell.contract import (
-    CAPACITY, CONSERVE, CONTROL, HARVEST, INFLOW, LEVEL, LIMITS, PREVENT, RAIN, TANK, TIME, TS_US, USAGE, USE,
+    CAPACITY, CONSERVE, CONTROL, HARVEST, INFLOW, LEVEL, LIMITS, PREVENT, TANK, TIME, TS_US, USE,
     ControlRules, InputLimits,
 )
-from tidewell.functions.scalars import finite, fixed, flag, grouped, micros
+from tidewell.functions.scalars import finite, fixed, flag, micros
 from tidewell.operators.features import latest_rows
 
 
