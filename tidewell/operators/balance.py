@@ -8,19 +8,21 @@ and all segments are replayed at once. A tank of one segment is simply replayed.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidewell.contract import (
     CAPACITY, CONSERVE, CONTROL, HARVEST, HOT, INFLOW, LEVEL, PREVENT, SEGMENT, SEGMENT_KEYS, TANK,
     TIME, TS_US, USAGE, ControlRules,
 )
-from tidewell.operators.clean import has_long_tanks
 from tidewell.operators.rules import decide_action
-from tidewell.plans.segments import along_tank, attach, earlier, in_segment, so_far, summarise, with_tank_values
+from tidewell.plans.segments import (
+    along_tank, attach, earlier, has_long_tanks, in_segment, so_far, summarise, with_tank_values,
+)
 
 NO_CONTROLLER = "no_controller"
 WITH_CONTROLLER = "with_controller"
@@ -37,77 +39,95 @@ def catchment_inflow(rain: Column) -> Column:
 
 
 # --- the scan -----------------------------------------------------------------------------------
-def _replay(flow: Iterable[float], cap: float, level: float) -> list[float]:
-    out = []
-    for a in flow:
-        level = min(cap, max(0.0, level + a))
-        out.append(level)
-    return out
+def _in_order(df: DataFrame) -> DataFrame:
+    """Rows of each partition segment by segment in time order, numbered within the segment.
+
+    The window brings every segment into one partition and sorts it; on a staged table that moves nothing.
+    Readers of the result check the numbering, so a broken order cannot pass unnoticed.
+    """
+    return df.withColumn("row_in_segment", F.row_number().over(in_segment()))
 
 
-def _fold(flow: Iterable[float], cap: float) -> tuple[float, float, float]:
-    total, low, high = 0.0, -np.inf, np.inf
-    for a in flow:
-        total += a
-        low = min(cap, max(0.0, low + a))
-        high = min(cap, max(0.0, high + a))
-    return total, low, high
+def _walk(rows: Iterator[tuple], level: float, at: int) -> tuple[list, list, float, int]:
+    """Clamp one batch of (row number, start, flow, capacity); returns levels around every row."""
+    before, after = [], []
+    for number, begin, flow, cap in rows:
+        if number == 1:
+            level = begin
+        elif number != at + 1:
+            raise RuntimeError("rows of a segment are not in order")
+        at = number
+        before.append(level)
+        level = min(cap, max(0.0, level + flow))
+        after.append(level)
+    return before, after, level, at
 
 
 def clamp_scan(df: DataFrame, flows: list[str], start: str) -> DataFrame:
     """Add ``before_<flow>`` and ``after_<flow>``: the level around every row, one balance per flow column.
 
-    ``df`` is segmented and has the tank's starting level in ``start``. One Python group is one segment,
-    whose size the layout bounds.
+    ``df`` is segmented and has the tank's starting level in ``start``. Batches stream through a task; only
+    the running level is kept between them.
     """
     starts = {f: f"start_{f}" for f in flows}
     if has_long_tanks(df):
-        chained = _segment_starts(df, flows, start, starts)
-        rows = attach(df, chained).withColumns(
+        begun = attach(df, _segment_starts(df, flows, start, starts)).withColumns(
             {s: F.coalesce(F.col(s), F.col(start)) for s in starts.values()}
         )
     else:
-        rows = df.withColumns({s: F.col(start) for s in starts.values()})
+        begun = df.withColumns({s: F.col(start) for s in starts.values()})
+    rows = _in_order(begun)
+    helpers = ["row_in_segment", *starts.values()]
+    kept = [f for f in rows.schema.fields if f.name not in helpers]
     added = [f"{side}_{f}" for f in flows for side in ("before", "after")]
-    kept = [f for f in rows.schema.fields if f.name not in starts.values()]
     schema = T.StructType(kept + [T.StructField(a, T.DoubleType()) for a in added])
 
-    def replay(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(TS_US)
-        cap = float(group[CAPACITY].iloc[0])
-        for f in flows:
-            first = float(group[starts[f]].iloc[0])
-            after = _replay(group[f].tolist(), cap, first)
-            group[f"before_{f}"] = [first, *after[:-1]]
-            group[f"after_{f}"] = after
-        return group[schema.names]
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = {f: (0.0, 0) for f in flows}
+        for batch in batches:
+            column = {n: batch.column(n) for n in batch.schema.names}
+            number, cap = column["row_in_segment"].to_pylist(), column[CAPACITY].to_pylist()
+            out = {f.name: column[f.name] for f in kept}
+            for f in flows:
+                rows = zip(number, column[starts[f]].to_pylist(), column[f].to_pylist(), cap)
+                before, after, *state[f] = _walk(rows, *state[f])
+                out[f"before_{f}"], out[f"after_{f}"] = pa.array(before, pa.float64()), pa.array(after, pa.float64())
+            yield pa.RecordBatch.from_pydict(out)
 
-    return rows.groupBy(*SEGMENT_KEYS).applyInPandas(replay, schema)
+    return rows.mapInArrow(replay, schema)
 
 
 def _segment_starts(df: DataFrame, flows: list[str], start: str, starts: dict[str, str]) -> DataFrame:
     """Level at which each segment of a long tank begins."""
+    keys = [T.StructField(TANK, T.LongType()), T.StructField(SEGMENT, T.LongType())]
     parts = [f"{p}_{f}" for f in flows for p in ("a", "lo", "hi")]
     fold_schema = T.StructType(
-        [T.StructField(TANK, T.LongType()), T.StructField(SEGMENT, T.LongType()), T.StructField("at", T.DoubleType())]
-        + [T.StructField(p, T.DoubleType()) for p in parts]
+        [*keys, T.StructField("at", T.DoubleType()), *[T.StructField(p, T.DoubleType()) for p in parts]]
     )
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(TS_US)
-        cap = float(group[CAPACITY].iloc[0])
-        row = {TANK: group[TANK].iloc[0], SEGMENT: group[SEGMENT].iloc[0], "at": group[start].iloc[0]}
-        for f in flows:
-            row |= dict(zip((f"a_{f}", f"lo_{f}", f"hi_{f}"), _fold(group[f].tolist(), cap)))
-        return pd.DataFrame([row])[fold_schema.names]
-
-    chain_schema = T.StructType(
-        [T.StructField(TANK, T.LongType()), T.StructField(SEGMENT, T.LongType())]
-        + [T.StructField(s, T.DoubleType()) for s in starts.values()]
-    )
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One triple per segment and flow; a segment may go on in the next batch."""
+        done: list[list] = []
+        for batch in batches:
+            names = [TANK, SEGMENT, "row_in_segment", CAPACITY, start, *flows]
+            for tank, segment, number, cap, at, *values in zip(*[batch.column(n).to_pylist() for n in names]):
+                if number == 1:
+                    done.append([tank, segment, at, *[0.0, -np.inf, np.inf] * len(flows)])
+                triple = done[-1]
+                for i, a in enumerate(values):
+                    k = 3 + 3 * i
+                    triple[k] += a
+                    triple[k + 1] = min(cap, max(0.0, triple[k + 1] + a))
+                    triple[k + 2] = min(cap, max(0.0, triple[k + 2] + a))
+        if done:
+            yield pa.RecordBatch.from_pydict(
+                {n: list(v) for n, v in zip(fold_schema.names, zip(*done))}
+            )
+
+    chain_schema = T.StructType([*keys, *[T.StructField(s, T.DoubleType()) for s in starts.values()]])
 
     def chain(group: pd.DataFrame) -> pd.DataFrame:
-        # One row per segment of one tank.
+        # One row per segment of one long tank.
         group = group.sort_values(SEGMENT)
         out = group[[TANK, SEGMENT]].copy()
         for f in flows:
@@ -119,7 +139,7 @@ def _segment_starts(df: DataFrame, flows: list[str], start: str, starts: dict[st
         return out
 
     long_tanks = df.filter(F.col(HOT)).select(*SEGMENT_KEYS, TS_US, CAPACITY, start, *flows)
-    triples = long_tanks.groupBy(*SEGMENT_KEYS).applyInPandas(fold, fold_schema)
+    triples = _in_order(long_tanks).mapInArrow(fold, fold_schema)
     return triples.groupBy(TANK).applyInPandas(chain, chain_schema)
 
 

@@ -14,7 +14,7 @@ from tidewell.contract import (
 from tidewell.functions.quantiles import exact_quantiles
 from tidewell.functions.scalars import at_least, clip, finite, flag, to_time
 from tidewell.operators.interpolate import time_interpolate
-from tidewell.plans.segments import along_tank, attach, in_segment, summarise, with_tank_values
+from tidewell.plans.segments import along_tank, attach, has_long_tanks, in_segment, summarise, with_tank_values
 
 
 # --- physical limits ----------------------------------------------------------------------------
@@ -40,12 +40,6 @@ def _probe_columns() -> dict[str, Column]:
     }
 
 
-def has_long_tanks(staged: DataFrame) -> bool:
-    """Whether any tank spans several segments: reads one Boolean column of the staged table, pruned by
-    its row-group statistics, and spares the usual case the rank-search stages."""
-    return not staged.filter(F.col(HOT)).select(HOT).isEmpty()
-
-
 def _quantiles(staged: DataFrame) -> DataFrame:
     """Capacity median, inflow quantiles over positives and usage median per tank.
 

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewell.contract import SEGMENT_KEYS, TS_US
 from tidewell.plans.segments import (
-    along_tank, along_tank_reversed, attach, earlier, in_segment, in_segment_reversed, so_far, summarise,
+    along_tank, along_tank_reversed, attach, earlier, has_long_tanks, in_segment, in_segment_reversed, so_far,
+    summarise,
 )
 
 
-def _point(column: str):
-    """(time, value) of a valid reading, NULL where the value is missing."""
-    return F.when(F.col(column).isNotNull(), F.struct(F.col(TS_US), F.col(column).alias("v")))
+def _at(column: str) -> Column:
+    """Time of a valid reading, NULL where the value is missing."""
+    return F.when(F.col(column).isNotNull(), F.col(TS_US))
 
 
 def time_interpolate(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -20,44 +21,38 @@ def time_interpolate(df: DataFrame, columns: list[str]) -> DataFrame:
 
     A column with no valid value in the whole tank stays NULL.
     """
-    spare = {c: (f"__{c}_before", f"__{c}_after") for c in columns}
+    sides = {}
+    for side, window in (("before", so_far(in_segment())), ("after", so_far(in_segment_reversed()))):
+        for c in columns:
+            sides[f"__{c}_{side}"] = F.last(c, ignorenulls=True).over(window)
+            sides[f"__{c}_{side}_at"] = F.last(_at(c), ignorenulls=True).over(window)
+    near = df.withColumns(sides)
+    if has_long_tanks(df):
+        near = attach(near, _valid_neighbours(df, columns))
+        near = near.withColumns({s: F.coalesce(s, f"{s}_far") for s in sides}).drop(*[f"{s}_far" for s in sides])
+    return near.withColumns({c: _between(c) for c in columns}).drop(*sides)
+
+
+def _valid_neighbours(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Per segment: the last valid (time, value) before it and the first one after it."""
+    point = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(TS_US), F.col(c).alias("v"))) for c in columns}
     ends = summarise(
         df,
-        *[F.max(_point(c)).alias(f"{c}_last") for c in columns],
-        *[F.min(_point(c)).alias(f"{c}_first") for c in columns],
+        *[F.max(point[c]).alias(f"{c}_last") for c in columns],
+        *[F.min(point[c]).alias(f"{c}_first") for c in columns],
     )
-    carried = ends.select(
-        *SEGMENT_KEYS,
-        *[
-            F.last(f"{c}_last", ignorenulls=True).over(earlier(along_tank())).alias(spare[c][0])
-            for c in columns
-        ],
-        *[
-            F.last(f"{c}_first", ignorenulls=True).over(earlier(along_tank_reversed())).alias(spare[c][1])
-            for c in columns
-        ],
-    )
-    back, ahead = so_far(in_segment()), so_far(in_segment_reversed())
-    near = attach(df, carried).withColumns(
-        {
-            **{
-                spare[c][0]: F.coalesce(F.last(_point(c), ignorenulls=True).over(back), spare[c][0])
-                for c in columns
-            },
-            **{
-                spare[c][1]: F.coalesce(F.last(_point(c), ignorenulls=True).over(ahead), spare[c][1])
-                for c in columns
-            },
-        }
-    )
-    return near.withColumns({c: _between(c, *spare[c]) for c in columns}).drop(
-        *[name for pair in spare.values() for name in pair]
-    )
-
-
-def _between(column: str, before: str, after: str):
-    t0, v0 = F.col(f"{before}.{TS_US}"), F.col(f"{before}.v")
-    t1, v1 = F.col(f"{after}.{TS_US}"), F.col(f"{after}.v")
+    carried = {}
+    for c in columns:
+        for side, edge, along in (("before", "last", along_tank()), ("after", "first", along_tank_reversed())):
+            nearest = F.last(f"{c}_{edge}", ignorenulls=True).over(earlier(along))
+            carried[f"__{c}_{side}_far"] = nearest["v"]
+            carried[f"__{c}_{side}_at_far"] = nearest[TS_US]
+    return ends.select(*SEGMENT_KEYS, *[v.alias(name) for name, v in carried.items()])
+
+
+def _between(column: str) -> Column:
+    v0, t0 = F.col(f"__{column}_before"), F.col(f"__{column}_before_at")
+    v1, t1 = F.col(f"__{column}_after"), F.col(f"__{column}_after_at")
     return (
         F.when(F.col(column).isNotNull(), F.col(column))
         .when(v0.isNotNull() & v1.isNotNull(), v0 + (v1 - v0) * ((F.col(TS_US) - t0) / (t1 - t0)))

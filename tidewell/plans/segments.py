@@ -66,7 +66,7 @@ def assign_segments(
             TANK,
             "t0",
             F.greatest(
-                F.ceil((F.col("t1") - F.col("t0") + 1) * size / (F.col("n") * layout.cells_per_segment)),
+                F.ceil((F.col("t1") - F.col("t0") + 1) * (size / (F.col("n") * layout.cells_per_segment))),
                 F.lit(1).cast("bigint"),
             ).alias("cell_us"),
         )
@@ -89,6 +89,15 @@ def assign_segments(
     )
 
 
+def has_long_tanks(df: DataFrame) -> bool:
+    """Whether any tank spans several segments.
+
+    On a staged table this reads one Boolean column, pruned by its row-group statistics, and spares the
+    usual case everything that deals with segment borders.
+    """
+    return not df.filter(F.col(HOT)).select(HOT).isEmpty()
+
+
 def summarise(df: DataFrame, *aggregates: Column) -> DataFrame:
     """One summary row per segment."""
     return df.groupBy(*SEGMENT_KEYS).agg(*aggregates)
