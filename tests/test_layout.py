@@ -85,3 +85,14 @@ def test_order_statistics_are_exact_at_every_rank(spark, samples):
     ranks = spark.createDataFrame([(k, "r", i) for k, vs in samples.items() for i in range(len(vs))], "g string, rank_name string, rank bigint")
     got = {(r["g"], r["rank"]): r["value"] for r in order_statistics(df, ["g"], ranks).collect()}
     assert got == {(k, i): v for k, vs in samples.items() for i, v in enumerate(sorted(vs))}
+
+
+def test_last_rows_are_limited_before_the_shuffle(spark):
+    from tidewell.operators.features import latest_rows
+
+    rows = [{"tank": i % 3, "t": hour(i), "level": float(i)} for i in range(60)]
+    staged = stage_readings(frame(spark, rows))
+    newest = latest_rows(staged, 2)
+    assert sorted(r["tank_level_litres"] for r in newest.collect()) == [54.0, 55.0, 56.0, 57.0, 58.0, 59.0]
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.rindex("WindowGroupLimit") > plan.index("Exchange")

@@ -10,7 +10,7 @@ from conftest import CAPACITY, frame, hour
 from pyspark.sql import functions as F
 from tidewell.contract import CAPACITY as CAP, FEATURES, LEVEL, TARGET, TANK
 from tidewell.operators import baselines, metrics, recommend, regressors, reports
-from tidewell.plans import pipeline
+from tidewell.plans import flow
 
 SMALL = regressors.ForestSize(trees=8, min_leaf=5, max_depth=8)
 
@@ -36,12 +36,12 @@ def raw(spark):
 
 @pytest.fixture(scope="module")
 def prepared(spark, raw):
-    return pipeline.preprocess(spark, raw)
+    return flow.preprocess(spark, raw)
 
 
 @pytest.fixture(scope="module")
 def trained(prepared):
-    return pipeline.train_and_evaluate(prepared.features, size=SMALL)
+    return flow.train_and_evaluate(prepared.features, size=SMALL)
 
 
 def pairs(spark, rows):
@@ -129,14 +129,14 @@ def test_predictions_stay_in_the_tank(trained):
 def test_bundle_is_reused_for_the_same_data_only(spark, raw, trained, tmp_path):
     path = str(tmp_path / "bundle")
     with pytest.raises(FileNotFoundError):
-        pipeline.load_bundle(spark, path)
-    pipeline.save_bundle(trained, path)
-    _, again = pipeline.load_or_train(spark, raw, path, size=SMALL, run_cv=False)
+        flow.load_bundle(spark, path)
+    flow.save_bundle(trained, path)
+    _, again = flow.load_or_train(spark, raw, path, size=SMALL, run_cv=False)
     assert again.loaded_from_disk and again.model_name == trained.model_name
     shorter = raw.filter("ingest_seq < 240")
-    _, other = pipeline.load_or_train(spark, shorter, path, size=SMALL, run_cv=False)
+    _, other = flow.load_or_train(spark, shorter, path, size=SMALL, run_cv=False)
     assert not other.loaded_from_disk
-    _, third = pipeline.load_or_train(spark, shorter, path, size=SMALL, run_cv=False)
+    _, third = flow.load_or_train(spark, shorter, path, size=SMALL, run_cv=False)
     assert third.loaded_from_disk
 
 

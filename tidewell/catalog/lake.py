@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidewell.contract import CAPACITY, LEVEL, TANK, TIME, Layout
 from tidewell.operators import balance, baselines, clean, features, split
 from tidewell.operators.features import latest_rows
-from tidewell.plans import pipeline
+from tidewell.plans import flow
 from tidewell.plans.lake import stage_series
 from tidewell.sources import events, readings
 
@@ -61,7 +61,7 @@ class Lake:
         """Test rows of every tank scored by both baselines; the physics balance is the chosen one."""
         test = self.split.filter(F.col("split") == "test").drop("split", "row_index", "tank_rows")
         return stage_series(
-            pipeline.scored_test_frame(baselines.baseline_predictions(test), baselines.BASELINES, "physics")
+            flow.scored_test_frame(baselines.baseline_predictions(test), baselines.BASELINES, "physics")
         )
 
     @cached_property
@@ -83,8 +83,8 @@ class Lake:
         )
 
     @cached_property
-    def trained(self) -> pipeline.Trained:
-        return pipeline.train_and_evaluate(self.features, run_cv=False)
+    def trained(self) -> flow.Trained:
+        return flow.train_and_evaluate(self.features, run_cv=False)
 
     # one tank holding every event
     @property

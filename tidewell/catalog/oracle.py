@@ -553,7 +553,7 @@ def oracle_sql() -> dict[str, str]:
         "flag_usage_spike": sql(f"SELECT {KEY}, {settled('usage_c', 'usage_litres')}, usage_was_outlier FROM flagged", "flagged"),
         "fill_rain_zero": sql(f"SELECT {KEY}, {settled('rain_f', 'rainfall_mm')} FROM nulled", "nulled"),
         "fill_inflow_zero_or_interpolate": sql(f"SELECT {KEY}, {settled(_filled('inflow_z', 'i'), 'inflow_litres')} FROM gaps", "gaps"),
-        "time_interpolation": sql(
+        "time_interpolate": sql(
             f"SELECT {KEY}, " + ", ".join(
                 settled(_filled(c, p), c) for c, p in (("tank_level_litres", "l"), ("temperature_c", "t"), ("usage_litres", "u"))
             ) + " FROM (" + _gap_step("telemetry", {"tank_level_litres": "l", "temperature_c": "t", "usage_litres": "u"}) + ")",

@@ -15,10 +15,9 @@ from tidewell.contract import (
 from tidewell.functions.quantiles import exact_quantiles
 from tidewell.functions.scalars import micros
 from tidewell.operators import (
-    balance, baselines, clean, features, metrics, recommend, regressors, reports, rules, split,
+    balance, baselines, clean, features, interpolate, metrics, recommend, regressors, reports, rules, split,
 )
-from tidewell.operators.interpolate import time_interpolate
-from tidewell.plans import pipeline
+from tidewell.plans import flow
 from tidewell.plans.lake import staging_root
 from tidewell.sources import events, readings
 from tidewell.streaming import jobs
@@ -108,21 +107,21 @@ def write_table(lk: Lake) -> DataFrame:
 
 @query
 def dataset_signature(lk: Lake) -> DataFrame:
-    return pipeline.dataset_signature(lk.features)
+    return flow.dataset_signature(lk.features)
 
 
 @query
 def save_and_load_model(lk: Lake) -> DataFrame:
-    path = pipeline.save_bundle(lk.trained, f"{staging_root(lk.spark)}/bundle_{uuid.uuid4().hex}")
-    loaded = pipeline.load_bundle(lk.spark, path)
+    path = flow.save_bundle(lk.trained, f"{staging_root(lk.spark)}/bundle_{uuid.uuid4().hex}")
+    loaded = flow.load_bundle(lk.spark, path)
     model = loaded.models[regressors.RIDGE]
     return regressors.predict_level(model, lk.features).select(*KEY, "model_level")
 
 
 @query
 def reuse_or_retrain(lk: Lake) -> DataFrame:
-    path = pipeline.save_bundle(lk.trained, f"{staging_root(lk.spark)}/bundle_{uuid.uuid4().hex}")
-    _, trained = pipeline.load_or_train(lk.spark, lk.raw, path)
+    path = flow.save_bundle(lk.trained, f"{staging_root(lk.spark)}/bundle_{uuid.uuid4().hex}")
+    _, trained = flow.load_or_train(lk.spark, lk.raw, path)
     return trained.tables["leaderboard"].withColumn("reused", F.lit(trained.loaded_from_disk))
 
 
@@ -210,13 +209,13 @@ def fill_rain_zero(lk: Lake) -> DataFrame:
 
 @query
 def fill_inflow_zero_or_interpolate(lk: Lake) -> DataFrame:
-    filled = time_interpolate(clean.fill_blank_meters(clean.null_out_outliers(lk.flagged)), [INFLOW])
+    filled = interpolate.time_interpolate(clean.fill_blank_meters(clean.null_out_outliers(lk.flagged)), [INFLOW])
     return show(filled, KEY, [INFLOW])
 
 
 @query
-def time_interpolation(lk: Lake) -> DataFrame:
-    return show(time_interpolate(lk.staged, [LEVEL, TEMPERATURE, USAGE]), KEY, [LEVEL, TEMPERATURE, USAGE])
+def time_interpolate(lk: Lake) -> DataFrame:
+    return show(interpolate.time_interpolate(lk.staged, [LEVEL, TEMPERATURE, USAGE]), KEY, [LEVEL, TEMPERATURE, USAGE])
 
 
 @query
@@ -339,14 +338,14 @@ def live_features(lk: Lake) -> DataFrame:
 
 @query
 def prepared_summary(lk: Lake) -> DataFrame:
-    summary = pipeline.prepared_summary(lk.report, lk.clean, lk.features)
+    summary = flow.prepared_summary(lk.report, lk.clean, lk.features)
     counts = ["rows_raw", "rows_clean", "rows_model_ready", "rows_dropped_for_lags_or_target", "final_feature_count"]
     return show(summary, [TANK], [], counts, ["date_min", "date_max", "final_feature_list", "target"])
 
 
 @query
 def preprocess(lk: Lake) -> DataFrame:
-    prepared = pipeline.preprocess(lk.spark, lk.raw)
+    prepared = flow.preprocess(lk.spark, lk.raw)
     return show(prepared.features, KEY, [LEVEL, "usage_roll_mean_24", TARGET], ["hour"])
 
 

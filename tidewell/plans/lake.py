@@ -37,6 +37,8 @@ def stage_series(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     n = bucket_count(spark)
     name = f"tidewell_{uuid.uuid4().hex}"
+    database = spark.conf.get("tidewell.series.database", None)
+    table = f"{database}.{name}" if database else name
     (
         df.repartition(n, *SEGMENT_KEYS)
         .sortWithinPartitions(*SEGMENT_KEYS, TS_US)
@@ -44,9 +46,9 @@ def stage_series(df: DataFrame) -> DataFrame:
         .bucketBy(n, *SEGMENT_KEYS)
         .sortBy(*SEGMENT_KEYS, TS_US)
         .option("path", f"{staging_root(spark)}/{name}")
-        .saveAsTable(name)
+        .saveAsTable(table)
     )
-    return spark.table(name)
+    return spark.table(table)
 
 
 def stage_table(df: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewell.contract import HOT, LAYOUT_DEFAULT, SEGMENT, SEGMENT_KEYS, TANK, TS_US, Layout
+from tidewell.plans.lake import stage_table
+
 
 def in_segment():
     """Rows of one segment in time order."""
@@ -58,7 +60,8 @@ def assign_segments(
     """
     size = F.lit(layout.segment_rows)
     keys = (rows if sizing is None else sizing).select(TANK, TS_US)
-    long_tanks = (
+    # Written out first: at most rows / segment_rows rows, usually none, and then nothing has to be joined.
+    long_tanks = stage_table(
         keys.groupBy(TANK)
         .agg(F.count("*").alias("n"), F.min(TS_US).alias("t0"), F.max(TS_US).alias("t1"))
         .filter(F.col("n") > size)
@@ -71,6 +74,8 @@ def assign_segments(
             ).alias("cell_us"),
         )
     )
+    if long_tanks.isEmpty():
+        return rows.withColumns({HOT: F.lit(False), SEGMENT: F.lit(0).cast("bigint")})
     cell = F.floor((F.col(TS_US) - F.col("t0")) / F.col("cell_us")).alias("cell")
     cells = keys.join(long_tanks, TANK).groupBy(TANK, cell).agg(F.count("*").alias("n"))
     along = Window.partitionBy(TANK).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)

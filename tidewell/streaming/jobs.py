@@ -127,7 +127,8 @@ def _live_row(past: dict[str, deque], row: dict) -> dict:
 def live_rows(stream: DataFrame, rules: ControlRules = CONTROL) -> DataFrame:
     """Feature row per cleaned reading, from a state of the tank's last 48 rows.
 
-    Readings of a micro-batch are taken in event-time order. A reading not newer than the last one of its
+    Readings of a micro-batch are taken in event-time order; how many a tank can have there is set by the
+    source's per-trigger limits. A reading not newer than the last one of its
     tank is late: it is dropped and counted.
     """
     keep, window = rules.history_rows, max(rules.flatline_hours + 2, 8)
