@@ -22,11 +22,14 @@ def test_short_tanks_stay_whole_and_long_ones_are_cut(spark):
 
 
 def test_bursts_get_their_own_segments(spark):
-    dense = [{"t": hour(1000 + i / 60), "level": 1} for i in range(900)]
-    sparse = [{"t": hour(i * 10), "level": 1} for i in range(100)]
-    staged = stage_readings(frame(spark, dense + sparse), Layout(segment_rows=100, cells_per_segment=64))
-    counts = [r["count"] for r in staged.groupBy("segment").count().collect()]
-    assert sum(counts) == 1000 and max(counts) < 500
+    # A third of all rows within two seconds of a ten-year history.
+    dense = [{"t": hour(5000 + i / 900_000), "level": 1} for i in range(500)]
+    sparse = [{"t": hour(i * 90), "level": 1} for i in range(1000)]
+    staged = stage_readings(frame(spark, dense + sparse), Layout(segment_rows=100))
+    spans = staged.groupBy("segment").agg(F.count("*").alias("n"), F.min("ts_us").alias("a"), F.max("ts_us").alias("b"))
+    spans = spans.orderBy("segment").collect()
+    assert sum(s["n"] for s in spans) == 1500 and max(s["n"] for s in spans) <= 200
+    assert all(x["b"] < y["a"] for x, y in zip(spans, spans[1:]))
 
 
 def test_segments_follow_time(spark):

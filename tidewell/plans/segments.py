@@ -50,50 +50,69 @@ def assign_segments(
 ) -> DataFrame:
     """Add ``segment`` and ``is_hot`` to rows that carry ``tank_id`` and ``ts_us``.
 
+    Tanks with at most ``segment_rows`` readings are one segment. The span of a longer tank is cut into time
+    cells; a cell that still holds more than that is cut again, down to single microseconds, so that bursts
+    of any density are spread. Consecutive cells are then packed into segments of ``segment_rows`` readings
+    plus at most one cell. Every table joined back has at most a few rows per ``segment_rows`` readings.
+
     ``sizing`` may be a cheaper frame with the same keys to count on, such as the rows before
     de-duplication: counting too many only makes segments smaller.
-
-    Tanks with at most ``segment_rows`` readings are one segment. The span of a longer tank is cut into
-    fine time cells; consecutive cells are packed into segments of about ``segment_rows`` readings, so
-    bursts get more segments than quiet months. There are at most rows / segment_rows long tanks and
-    cells_per_segment times as many cells, which is all that is joined back to the rows.
     """
-    size = F.lit(layout.segment_rows)
+    size = layout.segment_rows
     keys = (rows if sizing is None else sizing).select(TANK, TS_US)
-    # Written out first: at most rows / segment_rows rows, usually none, and then nothing has to be joined.
-    long_tanks = stage_table(
-        keys.groupBy(TANK)
-        .agg(F.count("*").alias("n"), F.min(TS_US).alias("t0"), F.max(TS_US).alias("t1"))
-        .filter(F.col("n") > size)
-        .select(
-            TANK,
-            "t0",
-            F.greatest(
-                F.ceil((F.col("t1") - F.col("t0") + 1) * (size / (F.col("n") * layout.cells_per_segment))),
-                F.lit(1).cast("bigint"),
-            ).alias("cell_us"),
-        )
+    spans = keys.groupBy(TANK).agg(F.count("*").alias("n"), F.min(TS_US).alias("lo"), F.max(TS_US).alias("hi"))
+    # Written out first: usually no tank is long, and then nothing has to be joined.
+    grid = stage_table(
+        spans.filter(F.col("n") > size).select(TANK, "lo", _cell_width(F.col("hi") - F.col("lo") + 1, layout))
     )
-    if long_tanks.isEmpty():
+    if grid.isEmpty():
         return rows.withColumns({HOT: F.lit(False), SEGMENT: F.lit(0).cast("bigint")})
-    cell = F.floor((F.col(TS_US) - F.col("t0")) / F.col("cell_us")).alias("cell")
-    cells = keys.join(long_tanks, TANK).groupBy(TANK, cell).agg(F.count("*").alias("n"))
+
+    cut = F.floor((F.col(TS_US) - F.col("lo")) / F.col("cell_us")) * F.col("cell_us") + F.col("lo")
+    on_tank = grid
+    placed = keys.join(on_tank, TANK).select(TANK, TS_US, cut.alias("cell"), F.col("cell_us").alias("width"))
+    finer: list[DataFrame] = []
+    leaves = None
+    while True:
+        counts = stage_table(placed.groupBy(TANK, "cell", "width").agg(F.count("*").alias("n")))
+        crowded = (F.col("n") > size) & (F.col("width") > 1)
+        done = counts.filter(~crowded).select(TANK, "cell", "n")
+        leaves = done if leaves is None else leaves.unionByName(done)
+        grid = stage_table(counts.filter(crowded).select(TANK, "cell", _cell_width(F.col("width"), layout)))
+        if grid.isEmpty():
+            break
+        finer.append(grid)
+        # Only rows of crowded cells are counted again.
+        placed = placed.drop("width").join(grid, [TANK, "cell"]).select(
+            TANK, TS_US, _finer_cell().alias("cell"), F.col("cell_us").alias("width")
+        )
     along = Window.partitionBy(TANK).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    packed = cells.select(
-        TANK,
-        "cell",
-        F.floor(F.coalesce(F.sum("n").over(along), F.lit(0)) / size).alias(SEGMENT),
+    packed = leaves.select(
+        TANK, "cell", F.floor(F.coalesce(F.sum("n").over(along), F.lit(0)) / size).alias(SEGMENT)
     )
+    out = rows.join(on_tank, TANK, "left").withColumn("cell", cut).withColumn(HOT, F.col("lo").isNotNull())
+    out = out.drop("lo", "cell_us")
+    for grid in finer:
+        out = out.join(grid, [TANK, "cell"], "left").withColumn("cell", _finer_cell()).drop("cell_us")
     return (
-        rows.join(long_tanks, TANK, "left")
-        .withColumn("cell", cell)
-        .join(packed, [TANK, "cell"], "left")
-        .withColumn(HOT, F.col("t0").isNotNull())
+        out.join(packed, [TANK, "cell"], "left")
         .withColumn(SEGMENT, F.coalesce(F.col(SEGMENT), F.lit(0).cast("bigint")))
-        .drop("t0", "cell_us", "cell")
+        .drop("cell")
     )
 
 
+def _cell_width(span: Column, layout: Layout) -> Column:
+    """Width that splits ``n`` evenly spread readings into cells of a fraction of a segment."""
+    share = F.lit(float(layout.segment_rows)) / (F.col("n") * layout.cells_per_segment)
+    return F.greatest(F.ceil(span * share), F.lit(1).cast("bigint")).alias("cell_us")
+
+
+def _finer_cell() -> Column:
+    """Start of the finer cell of a row whose cell was cut again; the cell itself otherwise."""
+    step = F.floor((F.col(TS_US) - F.col("cell")) / F.col("cell_us")) * F.col("cell_us")
+    return F.coalesce(F.col("cell") + step, F.col("cell"))
+
+
 def has_long_tanks(df: DataFrame) -> bool:
     """Whether any tank spans several segments.
 
