@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import CAPACITY, frame, healthy_rows, hour
+from conftest import CAPACITY, frame, healthy_rows
 
 from pyspark.sql import functions as F
 from tidewell.operators import rules
