@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewell.llm import exact_dedup, language, packing, token_files, tokens
+from tidewell.llm import exact_dedup, language, packing, token_files, tokens, wu_manber
 from tidewell.llm.common import id_remainder, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,15 @@ def query(f: Query) -> Query:
     return f
 
 
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = wu_manber.find_contamination(docs, benchmark, carry={"doc_id": F.col("doc_id")})
+    return wu_manber.verdicts(found).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"
+    )
+
+
 @query
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.find_copies(table(spark, sf_dir, "documents"))

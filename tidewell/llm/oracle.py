@@ -11,3 +11,28 @@ WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM d"""
+
+# Windows are compared as word lists; an item shorter than a window is compared at its own length.
+SQL["op2_decontamination"] = f"""
+WITH b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+                                     '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+                                    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+lengths AS (SELECT DISTINCT least(13, len(w)) AS m FROM b WHERE len(w) > 0),
+windows AS (
+  SELECT DISTINCT item_id, m, array_to_string(w[k : k + m - 1], ' ') AS x
+  FROM (SELECT item_id, w, least(13, len(w)) AS m, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS k
+        FROM b WHERE len(w) > 0)),
+places AS (
+  SELECT doc_id, m, k, array_to_string(w[k : k + m - 1], ' ') AS x
+  FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM d, lengths WHERE len(w) >= m)),
+hits AS (SELECT doc_id, m, k, item_id FROM places JOIN windows USING (m, x)),
+hit_words AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(k, k + m)) AS p FROM hits) GROUP BY doc_id),
+hit_items AS (
+  SELECT doc_id, count(*) AS n, sha256(string_agg(i, ',' ORDER BY i)) AS h
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hw.n, 0)::BIGINT AS n_hit, coalesce(hi.n, 0)::BIGINT AS n_items,
+       coalesce(hi.h, sha256('')) AS items_sha256, coalesce(hw.n, 0) > 0 AND 20 * coalesce(hw.n, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit_words hw USING (doc_id) LEFT JOIN hit_items hi USING (doc_id)"""
