@@ -36,3 +36,13 @@ hit_items AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hw.n, 0)::BIGINT AS n_hit, coalesce(hi.n, 0)::BIGINT AS n_items,
        coalesce(hi.h, sha256('')) AS items_sha256, coalesce(hw.n, 0) > 0 AND 20 * coalesce(hw.n, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit_words hw USING (doc_id) LEFT JOIN hit_items hi USING (doc_id)"""
+
+# The pages keep their main text in one article; its only markup is paragraphs, breaks, one heading and bold type.
+SQL["op1_html_extraction"] = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS x FROM pages),
+t AS (
+  SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(replace(
+    regexp_replace(replace(replace(x, '<b>', ''), '</b>', ''), '</?(p|br|h1)>', ' ', 'g'),
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&amp;', '&'),
+    '\s+', ' ', 'g')) AS text FROM a)
+SELECT page_id, url, text, length(text) AS n_chars FROM t"""
