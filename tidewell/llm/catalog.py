@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewell.llm import exact_dedup, html_paths, language, packing, token_files, tokens, wu_manber
+from tidewell.llm import exact_dedup, html_paths, language, packing, signature_tree, token_files, tokens, wu_manber
 from tidewell.llm.common import id_remainder, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,3 +57,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     remainder = id_remainder(F.col("doc_id"), 3)
     profiles = language.collect_profiles(language.learn_profiles(docs.filter(remainder != 1)))
     return language.identify(docs, profiles, carry={"doc_id": F.col("doc_id"), "held_out": remainder == 1})
+
+
+@query
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_tree.join_near(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -46,3 +46,21 @@ t AS (
     '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&amp;', '&'),
     '\s+', ' ', 'g')) AS text FROM a)
 SELECT page_id, url, text, length(text) AS n_chars FROM t"""
+
+# Every pair of texts that share a shingle is counted; components follow the links to the smallest id.
+SQL["op10_jaccard_join"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k : k + least(4, len(w)) - 1], ' ') AS x
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS k FROM d WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b USING (x)
+  WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * c >= 85 * (s.n + t.n - c)),
+reach AS (SELECT doc_id, doc_id AS component FROM d UNION SELECT l.b, r.component FROM reach r JOIN links l ON l.a = r.doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(component) AS component_id
+FROM d LEFT JOIN sizes USING (doc_id) JOIN reach USING (doc_id) GROUP BY ALL"""

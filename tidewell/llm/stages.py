@@ -1,16 +1,51 @@
-"""The stages of the corpus pipeline: each takes (spark, docs, sf_dir) and returns what it keeps."""
+"""The stages of the corpus pipeline: each takes (spark, docs, sf_dir) and returns what it keeps.
+
+All but the last return the columns of ``docs`` unchanged. Rows without an id pass the near-duplicate stage, as nothing
+names them; every other case is defined by the operator a stage calls.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from tidewell.llm import exact_dedup, language, packing, signature_tree, tokens, wu_manber
+from tidewell.llm.common import id_remainder, table
+
+
+def _numbered(docs: DataFrame) -> dict[str, Column]:
+    """All columns under names of their own, so that they clash with nothing an operator adds."""
+    return {f"d{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)}
 
-from tidewell.llm import language
-from tidewell.llm.common import id_remainder
+
+def _restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*(F.col(f"d{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language cannot be told: no letters, or no n-gram known to any profile."""
     profiles = language.collect_profiles(language.learn_profiles(docs.filter(id_remainder(F.col("doc_id"), 3) != 1)))
-    found = language.identify(docs, profiles, carry={f"d{i}": F.col(c) for i, c in enumerate(docs.columns)})
-    kept = found.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") > 0))
-    return kept.select(*(F.col(f"d{i}").alias(c) for i, c in enumerate(docs.columns)))
+    found = language.identify(docs, profiles, carry=_numbered(docs))
+    return _restored(found.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") > 0)), docs)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, keep the row with the largest id."""
+    return exact_dedup.drop_copies(docs)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are connected by links, keep the one with the smallest id."""
+    joined = signature_tree.join_near(docs)
+    dropped = joined.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents with benchmark passages in one word of twenty or more."""
+    found = wu_manber.find_contamination(docs, table(spark, sf_dir, "benchmark"), carry=_numbered(docs))
+    return _restored(wu_manber.verdicts(found).filter(~F.col("contaminated")), docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their place in the training sequences."""
+    return packing.pack_documents(docs, tokens.vocabulary_path("word_bpe_49k.json"))
