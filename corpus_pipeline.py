@@ -10,6 +10,10 @@ from tidewell.llm.common import staged, table
 #: Each function takes (spark, docs, sf_dir); all but the last return the columns of ``documents``.
 STAGES = [
     ("language", stages.language_stage),
+    ("exact_dedup", stages.dedup_stage),
+    ("near_dedup", stages.near_dedup_stage),
+    ("decontamination", stages.decontamination_stage),
+    ("packing", stages.packing_stage),
 ]
 
 #: SQL cannot express the tokenizer and the learned profiles; the stages are tested against brute force.
