@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewell.llm import exact_dedup, html_paths, language, packing, signature_tree, token_files, tokens, wu_manber
+from tidewell.llm import exact_dedup, html_paths, language, max_entropy, packing, signature_tree, token_files, tokens, wu_manber
 from tidewell.llm.common import id_remainder, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,16 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+@query
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text, remainder = F.coalesce(F.col("text"), F.lit("")), id_remainder(F.col("doc_id"), 7)
+    model, counts = max_entropy.fit(docs, text, remainder, held_out=2)
+    carry = {"doc_id": F.col("doc_id"), "held_out": remainder == 2}
+    scored = max_entropy.score(docs, text, model, counts, carry)
+    return scored.withColumn("train_tokens", F.lit(model.total).cast("long"))
+
+
 @query
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokens.vocabulary_path("byte_bpe_50k.json")
