@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewell.llm import exact_dedup, html_paths, language, max_entropy, packing, signature_tree, token_files, tokens, wu_manber
+from tidewell.llm import exact_dedup, html_paths, language, max_entropy, merkle, packing, signature_tree, token_files, tokens, wu_manber
 from tidewell.llm.common import id_remainder, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,18 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage in a second replica of the pages: a changed byte in one page of 23, and file ends that were lost."""
+    pages = table(spark, sf_dir, "pages")
+    records = merkle.page_records(pages)
+    hit = (F.col("page_id") % 23 == 7) & (F.length("html") > 0)
+    copy = merkle.page_records(pages.withColumn(
+        "html", F.when(hit, F.concat(F.lit("~"), F.substring("html", 2, 2_000_000_000))).otherwise(F.col("html"))
+    )).filter((F.floor(F.col("page_id") / merkle.FILE_PAGES) % 3 != 1) | (F.col("page_id") % merkle.FILE_PAGES < 990))
+    return merkle.find_damage(merkle.build_tree(records), merkle.build_tree(copy))
+
+
 @query
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.find_copies(table(spark, sf_dir, "documents"))

