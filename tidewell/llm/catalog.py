@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewell.llm import exact_dedup, html_paths, language, max_entropy, merkle, packing, signature_tree, token_files, tokens, wu_manber
+from tidewell.llm import exact_dedup, html_paths, language, licenses, max_entropy, merkle, packing, signature_tree, token_files, tokens, wu_manber
 from tidewell.llm.common import id_remainder, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,12 @@ def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.find_damage(merkle.build_tree(records), merkle.build_tree(copy))
 
 
+@query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.licences_of(docs, licenses.train(docs))
+
+
 @query
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.find_copies(table(spark, sf_dir, "documents"))
