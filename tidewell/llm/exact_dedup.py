@@ -3,8 +3,7 @@
 Every row gets an index key, a hash of its normalised text (A-Z lower-cased). Copies collapse on the map side to one
 entry per text, so a text that fills a third of the table is one entry. The directory addresses entries by the
 leading bits of their keys: it starts with one slot and doubles; a bucket that holds more than ``capacity`` entries
-splits in two. Each slot of the final directory is an owner task that writes the entries of its key range, sorted,
-as one file of the index.
+splits in two. Each bucket has an owner task that writes the entries of its key range, sorted, as one file of the index.
 
 Entries whose key occurs more than once are chained: their texts are brought together and compared byte by byte
 (grouping by the text itself). A directory slot without such a key needs no comparison, and its texts are not moved.
@@ -16,6 +15,9 @@ than id and text are not looked at.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewell.llm.common import ascii_lower, shared_folder, staged
@@ -47,23 +49,29 @@ def hash_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key_b
     return rows.select("row", "doc_id", key.alias("key"), F.unhex(F.sha2(F.col("normal"), 256)).alias("sha"), "normal")
 
 
-def grow_directory(entries: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, int]:
-    """Buckets (first, depth) in slots of the deepest directory, and the depth the directory doubles to.
+def grow_directory(
+    leaves: dict[int, int], capacity: int = CAPACITY, max_depth: int = MAX_DEPTH
+) -> tuple[list[tuple[int, int]], int]:
+    """Buckets (first leaf, depth) in key order, and the depth to which the directory doubled.
 
-    A bucket of depth d covers the keys that share d leading bits; it is the shallowest with room for its entries.
+    ``leaves`` counts entries by their ``max_depth`` leading bits, at most 65,536 numbers. A bucket of depth d covers
+    the keys that share d bits. One that holds too many splits; if it is as deep as the directory, that doubles. Keys
+    that agree in all these bits cannot be parted: their bucket stays overfull and is chained.
     """
-    leaves = entries.groupBy(_slot(F.col("key"), max_depth).alias("leaf")).agg(F.count("*").alias("n"))
-    depths = F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth")
-    levels = leaves.select("leaf", "n", depths).withColumn(
-        "first", F.expr(f"shiftleft(shiftright(leaf, {max_depth} - depth), {max_depth} - depth)")
-    )
-    sizes = levels.groupBy("first", "depth").agg(F.sum("n").alias("size"))
-    fits = levels.join(sizes, ["first", "depth"]).filter((F.col("size") <= capacity) | (F.col("depth") == max_depth))
-    buckets = (
-        fits.groupBy("leaf").agg(F.min(F.struct("depth", "first")).alias("b"))
-        .select("b.first", "b.depth").distinct()
-    )
-    depth = buckets.agg(F.max("depth")).first()[0] or 0
+    at = sorted(leaves)
+    total = [0, *accumulate(leaves[k] for k in at)]
+
+    def size(first: int, depth: int) -> int:
+        return total[bisect_left(at, first + (1 << (max_depth - depth)))] - total[bisect_left(at, first)]
+
+    buckets, depth, todo = [], 0, [(0, 0)]
+    while todo:
+        first, own = todo.pop()
+        if size(first, own) <= capacity or own == max_depth:
+            buckets.append((first, own))
+            continue
+        depth = max(depth, own + 1)  # a split at the directory's depth doubles it
+        todo += [(first + (1 << (max_depth - own - 1)), own + 1), (first, own + 1)]
     return buckets, depth
 
 
@@ -74,10 +82,16 @@ def build_index(rows: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_
             F.count("*").alias("n"), F.max(F.struct("doc_id", "row")).alias("keep"),
         ), "dedup-entries",
     )
-    _, depth = grow_directory(entries, capacity, max_depth)
+    leaf = _slot(F.col("key"), max_depth)
+    counted = {r[0]: r[1] for r in entries.groupBy(leaf.alias("leaf")).agg(F.count("*").alias("n")).collect()}
+    buckets, _ = grow_directory(counted, capacity, max_depth)
+    firsts = [first for first, _ in buckets]
+    directory = rows.sparkSession.createDataFrame(
+        [(k, bisect_right(firsts, k) - 1) for k in sorted(counted)], "leaf long, owner int"
+    )
     path = shared_folder(rows.sparkSession, "dedup-index")
-    owned = entries.withColumn("owner", _slot(F.col("key"), depth).cast("int"))
-    owned.repartitionById(1 << depth, F.col("owner")).sortWithinPartitions("key", "sha").write.parquet(path)
+    owned = entries.withColumn("leaf", leaf).join(F.broadcast(directory), "leaf").drop("leaf")
+    owned.repartitionById(len(buckets), F.col("owner")).sortWithinPartitions("key", "sha").write.parquet(path)
     return rows.sparkSession.read.schema(owned.schema).parquet(path)
 
 
