@@ -90,6 +90,34 @@ def test_order_statistics_are_exact_at_every_rank(spark, samples):
     assert got == {(k, i): v for k, vs in samples.items() for i, v in enumerate(sorted(vs))}
 
 
+def test_order_statistics_take_infinities_and_subnormals(spark):
+    inf = float("inf")
+    values = [inf, inf, -inf, 5e-324, -5e-324, 1e-310, 2.2250738585072014e-308, 1.7976931348623157e308, -1.7976931348623157e308,
+              8.98846567431158e307, 0.0, 1.0, 0.9999999999999999, -1.0]
+    df = spark.createDataFrame([("g", v) for v in values], "g string, value double")
+    ranks = spark.createDataFrame([("g", "r", i) for i in range(len(values))], "g string, rank_name string, rank bigint")
+    got = {r["rank"]: r["value"] for r in order_statistics(df, ["g"], ranks).collect()}
+    assert got == dict(enumerate(sorted(values)))
+    assert exact_quantiles(df, ["g"], {"p100": 1.0, "p0": 0.0}).first()["p100"] == inf
+
+
+def test_text_tank_ids_and_infinities_do_not_depend_on_the_cut(spark):
+    from tidewell.operators import balance, clean
+
+    rows = [{"t": hour(i), "level": 2500.0 + i % 9, "inflow": float(i % 7 * 40), "usage": 50.0 + i % 3, "rain": 0.0} for i in range(400)]
+    rows[200]["inflow"] = float("inf")
+    raw = frame(spark, rows).withColumn("tank_id", F.lit("north"))
+
+    def run(layout):
+        staged = stage_readings(raw, layout)
+        flagged = clean.flag_outliers(staged)
+        cleaned = stage_series(clean.clean_segments(flagged))
+        level = balance.clamped_balance(cleaned)
+        return [sorted(map(str, x.drop("segment", "is_hot").collect())) for x in (cleaned, level)]
+
+    assert run(Layout(segment_rows=50)) == run(Layout())
+
+
 def test_last_rows_are_limited_before_the_shuffle(spark):
     from tidewell.operators.features import latest_rows
 

@@ -99,9 +99,9 @@ def test_recombination_modes(spark):
     assert [tuple(r) for r in got] == [(0.0, 0.0, -300.0, -400.0), (150.0, 50.0, 50.0, -50.0), (5000.0, 50.0, 50.0, -4940.0)]
 
 
-def test_leaves_grow_only_for_very_many_rows():
+def test_forest_has_one_shape_at_every_size():
     size = regressors.ForestSize()
-    assert size.leaf_for(3_500) == 20 and size.leaf_for(2_000_000) == 20 and size.leaf_for(10**12) == 10**7
+    assert (size.min_leaf, size.max_depth) == (20, 12)
 
 
 def test_training_tables(trained):

@@ -18,8 +18,16 @@ def test_missing_column_error_names_missing_required_and_found(healthy):
     with pytest.raises(DataValidationError) as error:
         readings.load_readings(healthy.sparkSession, healthy.drop("tank_level_litres"))
     text = str(error.value)
-    assert "Missing required column(s): tank_level_litres." in text
-    assert ", ".join(REQUIRED_COLUMNS) in text and "rainfall_mm" in text.split("Found instead")[1]
+    assert "lack tank_level_litres;" in text and "rainfall_mm" in text.split("the frame has")[1]
+
+
+def test_times_in_other_layouts_are_read(spark):
+    texts = ["2024-04-09 13:00:00", "04/09/2024 13:00", "4/9/2024 13:00:00", "25.04.2024 13:00", "Apr 9 2024 13:00", "9 Apr 2024 13:00",
+             "2024/4/9 13:00", "04/09/2024", "soon", None]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, timestamp string")
+    got = {r.i: str(r.timestamp) for r in readings.parse_timestamps(frame).collect()}
+    noon = "2024-04-09 13:00:00"
+    assert got == {**dict.fromkeys((0, 1, 2, 4, 5, 6), noon), 3: "2024-04-25 13:00:00", 7: "2024-04-09 00:00:00"}
 
 
 def test_optional_columns_get_defaults(healthy):

@@ -18,7 +18,7 @@ from tidewell.operators import (
     balance, baselines, clean, features, interpolate, metrics, recommend, regressors, reports, rules, split,
 )
 from tidewell.plans import flow
-from tidewell.plans.lake import staging_root
+from tidewell.plans.lake import stage_table, staging_root
 from tidewell.sources import events, readings
 from tidewell.streaming import jobs
 from tidewell.streaming.replay import replay
@@ -836,7 +836,7 @@ def exact_quantiles_whole_table(lk: Lake) -> DataFrame:
 # --- streams ------------------------------------------------------------------------------------
 @query
 def stream_ingest_clean(lk: Lake) -> DataFrame:
-    stats = clean.tank_statistics(lk.staged)
+    stats = stage_table(clean.tank_statistics(lk.staged))  # once, not in every micro-batch
     out = replay(lk.raw, TIME, lambda s: jobs.ingest_clean(s, stats))
     flags = ["level_out_of_range", "inflow_was_outlier", "usage_was_outlier"]
     return show(out, KEY, [RAIN, INFLOW, USAGE, LEVEL], plain=flags)

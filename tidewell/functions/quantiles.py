@@ -2,28 +2,33 @@
 
 ``percentile`` keeps every distinct value of a group in one task. That is fine for groups of proven size
 and wrong for a group holding a third of all rows. For those, ranks are found by narrowing: rows are counted
-per order-preserving prefix bin of their value, only the bins that hold a wanted rank are kept, those bins
-are refined once more, and the wanted value is read off the few distinct values left. Each step is an
-aggregate with map-side combining; no step sorts or gathers a group.
+per order-preserving bin of their value, only the bins that hold a wanted rank are kept and cut finer, until a
+bin holds hardly two neighbouring doubles; then the wanted value is read off the distinct values left. Each step
+is an aggregate by bin with map-side combining; no step sorts, gathers or shuffles a group.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-_BITS = (12, 24)
-_EXPONENT_SPAN = 1100
+from tidewell.plans.lake import stage_table
+
+#: Mantissa bits of each round; the widest key still fits 63 bits.
+_BITS = (12, 32, 51)
+#: Added to binary exponents (-1074 to 1023; 1024 stands for infinity) to make them positive.
+_EXPONENT_SPAN = 1075
 
 
 def _prefix(value: Column, bits: int) -> Column:
     """Monotone integer key: sign, binary exponent and the first ``bits`` mantissa bits."""
     size = F.abs(value)
-    exponent = F.floor(F.log2(size))
+    exponent = F.greatest(F.least(F.floor(F.log2(size)), F.lit(1023)), F.lit(-1074))
     scale = 2**bits
+    infinite = F.lit((1024 + _EXPONENT_SPAN) * scale)
     # If log2 rounds across a power of two, the mantissa part leaves [0, scale) by exactly the amount
     # that puts the key back into the right bin, so the key stays monotone.
     mantissa = F.floor((size / F.pow(F.lit(2.0), exponent) - 1.0) * scale)
-    key = (exponent + _EXPONENT_SPAN) * scale + mantissa
+    key = F.when(size == float("inf"), infinite).otherwise((exponent + _EXPONENT_SPAN) * scale + mantissa)
     return F.when(value == 0, F.lit(0).cast("bigint")).when(value > 0, key).otherwise(-key)
 
 
@@ -33,23 +38,21 @@ def order_statistics(values: DataFrame, keys: list[str], ranks: DataFrame) -> Da
     ``values`` has ``keys`` and ``value`` (never NULL); ``ranks`` has ``keys``, ``rank_name`` and the
     0-based ``rank``. Returns ``ranks`` with ``value``. Ranks outside a group yield no row.
     """
-    counted = values.groupBy(*keys, "value").agg(F.count("*").alias("copies"))
+    pool, held = values, []
     wanted = ranks.withColumn("below", F.lit(0).cast("bigint"))
-    held: list[str] = []
-    for bits in _BITS:
-        name = f"bin_{bits}"
-        counted = counted.withColumn(name, _prefix(F.col("value"), bits))
-        # Narrow to the bins of the previous round before counting; round one counts everything.
-        pool = counted
-        if held:
-            pool = counted.join(wanted.select(*keys, *held).distinct(), keys + held)
-        bins = pool.groupBy(*keys, *held, name).agg(F.sum("copies").alias("in_bin"))
-        wanted = _locate(bins, wanted, keys + held, name, "in_bin")
-        held = held + [name]
-    final = counted.join(wanted.select(*keys, *held).distinct(), keys + held).select(
-        *keys, *held, "value", "copies"
-    )
-    located = _locate(final, wanted, keys + held, "value", "copies")
+    for bits in (*_BITS, None):
+        name = f"bin_{bits}" if bits else "value"
+        if bits:
+            pool = pool.withColumn(name, _prefix(F.col("value"), bits))
+        counted = pool.groupBy(*keys, *held, name).agg(F.count("*").alias("in_bin"))
+        wanted = _locate(counted, wanted, keys + held, name, "in_bin")
+        if bits:
+            # The next round sees only rows of the bins that were hit: a row per rank, written so that rounds add up
+            # instead of repeating each other.
+            held = held + [name]
+            wanted = stage_table(wanted)
+            pool = pool.join(wanted.select(*keys, *held).distinct(), keys + held)
+    located = wanted
     return located.select(*keys, "rank_name", "rank", "value")
 
 
@@ -94,7 +97,8 @@ def exact_quantiles(values: DataFrame, keys: list[str], probabilities: dict[str,
     weight = F.col("at") - F.floor("at")
     lower, upper = F.min("value"), F.max("value")
     share = F.first(weight)
-    per_point = pairs.groupBy(*keys, "q").agg((lower + (upper - lower) * share).alias("v"))
+    between = F.when(lower == upper, lower).otherwise(lower + (upper - lower) * share)  # also where both are infinite
+    per_point = pairs.groupBy(*keys, "q").agg(between.alias("v"))
     return per_point.groupBy(*keys).agg(
         *[F.max(F.when(F.col("q") == name, F.col("v"))).alias(name) for name in probabilities]
     )

@@ -99,7 +99,7 @@ def clamp_scan(df: DataFrame, flows: list[str], start: str) -> DataFrame:
 
 def _segment_starts(df: DataFrame, flows: list[str], start: str, starts: dict[str, str]) -> DataFrame:
     """Level at which each segment of a long tank begins."""
-    keys = [T.StructField(TANK, T.LongType()), T.StructField(SEGMENT, T.LongType())]
+    keys = [T.StructField(c, df.schema[c].dataType) for c in (TANK, SEGMENT)]
     parts = [f"{p}_{f}" for f in flows for p in ("a", "lo", "hi")]
     fold_schema = T.StructType(
         [*keys, T.StructField("at", T.DoubleType()), *[T.StructField(p, T.DoubleType()) for p in parts]]

@@ -25,20 +25,15 @@ DELTA, DIRECT = "delta", "direct"
 
 @dataclass(frozen=True)
 class ForestSize:
-    """Forest shape. Depth is Spark ML's limit; leaves grow with the data once there are very many rows.
+    """Forest shape, the same for any number of rows.
 
-    A forest lives on the driver, so its node count must not follow the row count: beyond
-    ``min_leaf * max_leaves`` training rows the leaf size rises to keep trees at ``max_leaves``.
+    A forest lives on the driver; ``max_depth`` bounds a tree to 2^12 leaves.
     """
 
     trees: int = 200
     min_leaf: int = 20
-    max_depth: int = 30
+    max_depth: int = 12
     max_bins: int = 32
-    max_leaves: int = 100_000
-
-    def leaf_for(self, rows: int) -> int:
-        return max(self.min_leaf, -(-rows // self.max_leaves))
 
 
 def delta_target() -> Column:
@@ -64,13 +59,12 @@ def training_rows(df: DataFrame, mode: str = DELTA) -> DataFrame:
 
 
 def random_forest(
-    train: DataFrame, seed: int = SEED, size: ForestSize = ForestSize(), mode: str = DELTA, rows: int | None = None
+    train: DataFrame, seed: int = SEED, size: ForestSize = ForestSize(), mode: str = DELTA
 ) -> PipelineModel:
     """Forest over all features per split."""
-    rows = train.count() if rows is None else rows
     forest = RandomForestRegressor(
         featuresCol="features", labelCol="label", predictionCol="raw", numTrees=size.trees, seed=seed,
-        maxDepth=size.max_depth, maxBins=size.max_bins, minInstancesPerNode=size.leaf_for(rows),
+        maxDepth=size.max_depth, maxBins=size.max_bins, minInstancesPerNode=size.min_leaf,
         featureSubsetStrategy="all", maxMemoryInMB=512, cacheNodeIds=True,
     )
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
@@ -103,7 +97,7 @@ def ridge(
 def make_models(seed: int = SEED, size: ForestSize = ForestSize()) -> dict[str, Callable]:
     """Fitting functions of the candidates, by name."""
     return {
-        FOREST: lambda train, mode=DELTA, rows=None: random_forest(train, seed, size, mode, rows),
+        FOREST: lambda train, mode=DELTA, rows=None: random_forest(train, seed, size, mode),
         RIDGE: lambda train, mode=DELTA, rows=None: ridge(train, mode=mode, rows=rows),
     }
 

@@ -93,7 +93,7 @@ _SIGNALS = [RAIN, INFLOW, USAGE, LEVEL, TEMPERATURE]
 _DERIVED = [f for f in FEATURES if f not in _SIGNALS and f not in ("hour", "day_of_week", "is_weekend")]
 _LIVE = T.StructType(
     [
-        T.StructField(TANK, T.LongType()), T.StructField(TIME, T.TimestampNTZType()),
+        T.StructField(TIME, T.TimestampNTZType()),
         T.StructField("history_rows", T.LongType()), T.StructField("late_dropped", T.LongType()),
         T.StructField(CAPACITY, T.DoubleType()),
         T.StructField("recent_levels", T.ArrayType(T.DoubleType())),
@@ -103,6 +103,11 @@ _LIVE = T.StructType(
 )
 
 
+def _keyed(stream: DataFrame, fields: T.StructType) -> T.StructType:
+    """The fields behind the stream's own tank key."""
+    return T.StructType([stream.schema[TANK], *fields.fields])
+
+
 def _live_row(past: dict[str, deque], row: dict) -> dict:
     """Look-back features of one reading from the tank's remembered rows; missing values are skipped."""
     out = dict(row)
@@ -132,6 +137,7 @@ def live_rows(stream: DataFrame, rules: ControlRules = CONTROL) -> DataFrame:
     tank is late: it is dropped and counted.
     """
     keep, window = rules.history_rows, max(rules.flatline_hours + 2, 8)
+    live = _keyed(stream, _LIVE)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.exists:
@@ -146,22 +152,22 @@ def live_rows(stream: DataFrame, rules: ControlRules = CONTROL) -> DataFrame:
             if times and row[TS_US] <= times[-1]:
                 late += 1
                 continue
-            live = _live_row(past, row)
-            live |= {
+            made = _live_row(past, row)
+            made |= {
                 "history_rows": len(times), "late_dropped": late,
                 "recent_levels": list(past[LEVEL])[-window:], "recent_inflows": list(past[INFLOW])[-window:],
             }
-            out.append(live)
+            out.append(made)
             times.append(int(row[TS_US]))
             for c in _SIGNALS:
                 past[c].append(float(row[c]))
         state.update((late, list(times), *[list(past[c]) for c in _SIGNALS]))
         if out:
-            yield pd.DataFrame(out)[_LIVE.names]
+            yield pd.DataFrame(out)[live.names]
 
     wanted = stream.select(TANK, TIME, CAPACITY, *_SIGNALS, micros(F.col(TIME)).alias(TS_US))
     rows = wanted.groupBy(TANK).applyInPandasWithState(
-        step, _LIVE, _STATE, "append", GroupStateTimeout.NoTimeout
+        step, live, _STATE, "append", GroupStateTimeout.NoTimeout
     )
     day = F.weekday(TIME)
     return rows.withColumns(
@@ -202,7 +208,7 @@ def live_decisions(stream: DataFrame, predictor: Predictor, rules: ControlRules
 _BALANCE_STATE = T.StructType([T.StructField("level", T.DoubleType()), T.StructField("ts", T.LongType())])
 _BALANCE = T.StructType(
     [
-        T.StructField(TANK, T.LongType()), T.StructField(TIME, T.TimestampNTZType()),
+        T.StructField(TIME, T.TimestampNTZType()),
         T.StructField("level", T.DoubleType()), T.StructField("overflow_litres", T.DoubleType()),
     ]
 )
@@ -213,6 +219,7 @@ def running_balance(stream: DataFrame) -> DataFrame:
 
     Late readings cannot be applied any more and are dropped.
     """
+    balance = _keyed(stream, _BALANCE)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         level, last = state.get if state.exists else (None, None)
@@ -227,11 +234,11 @@ def running_balance(stream: DataFrame) -> DataFrame:
         if last is not None:
             state.update((float(level), last))
         if out:
-            yield pd.DataFrame(out, columns=_BALANCE.names)
+            yield pd.DataFrame(out, columns=balance.names)
 
     wanted = stream.select(
         TANK, TIME, micros(F.col(TIME)).alias(TS_US), CAPACITY, LEVEL, (F.col(INFLOW) - F.col(USAGE)).alias("flow")
     )
     return wanted.groupBy(TANK).applyInPandasWithState(
-        step, _BALANCE, _BALANCE_STATE, "append", GroupStateTimeout.NoTimeout
+        step, balance, _BALANCE_STATE, "append", GroupStateTimeout.NoTimeout
     )

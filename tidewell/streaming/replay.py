@@ -55,7 +55,7 @@ def _deliveries(df: DataFrame, time_column: str, chunks: int, closing_row: bool)
         if low is not None:
             part = part.filter(at > low)
         if high is not None:
-            part = part.filter(at <= high)
+            part = part.filter(at <= high if low is not None else at.isNull() | (at <= high))
         parts.append(part)
         low = high
     if closing_row:
