@@ -26,6 +26,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from tidewell.llm.components import connected_components
@@ -384,23 +385,25 @@ def find_links(docs: DataFrame, text: str, words: int = WORDS, percent: int = PE
     partnered = spark.sparkContext.broadcast(slots)
 
     def with_partner(sids, _, texts) -> pa.RecordBatch:
+        pack = zstandard.ZstdCompressor().compress  # texts are what is shuffled most
         s = np.array(sids, np.int64)
         at = s % SLOTS
         keep = np.flatnonzero(partnered.value[at >> 3] >> (at & 7) & 1)
         return pa.RecordBatch.from_arrays(
-            [pa.array(s[keep]), pa.array([texts[k] for k in keep], pa.binary())], names=["sid", "text"]
+            [pa.array(s[keep]), pa.array([pack(texts[k]) for k in keep], pa.binary())], names=["sid", "text"]
         )
 
     texts = _each_set(docs, text, words, with_partner, "sid long, text binary").dropDuplicates(["sid"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for table in _by_key(batches, 4):
             trees, sides, sids = (table.column(i).to_numpy() for i in (0, 1, 2))
             data = table.column(3)
             cut = _runs(trees)
             a, b = [], []
             for x, y in zip(cut[:-1], cut[1:], strict=True):
-                sets = [shingle_set(t.as_py(), words) for t in data.slice(x, y - x)]
+                sets = [shingle_set(unpack(t.as_py()), words) for t in data.slice(x, y - x)]
                 own = sides[x:y]
                 roots = link_sets(sets, None if own[0] == 2 else own, percent)
                 moved = np.flatnonzero(roots != np.arange(len(roots)))
