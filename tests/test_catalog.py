@@ -44,7 +44,7 @@ def test_query_equals_its_sql(spark, tables, name):
     assert canonical(got) == canonical(want)
 
 
-@pytest.mark.parametrize("name", ["ridge", "walk_forward_cv", "recommend_with_model", "seeded_sample"])
+@pytest.mark.parametrize("name", ["ridge", "walk_forward_cv", "recommend_with_model"])
 def test_query_without_sql_runs(spark, name):
     assert not QUERIES[name](spark, str(SF)).isEmpty()
 

@@ -759,6 +759,10 @@ GROUP BY tank_id""",
             f"{settled('1.0 - sum(error * error) / (var_pop(actual_level) * count(*))', 'r2')}, {settled('avg(error)', 'mean_error')}, "
             f"{settled('quantile_cont(abs(error), 0.95)', 'p95_abs_error')} FROM scored", "scored",
         ),
+        "seeded_sample": sql(
+            f"SELECT {KEY}, {settled('actual_level', 'actual_level')}, {settled('pred', 'pred')} FROM (SELECT * FROM scored "
+            "ORDER BY md5('0|' || tank_id || '|' || epoch_us(\"timestamp\")), tank_id, \"timestamp\" LIMIT 1500)", "scored",
+        ),
         "worst_misses": sql(
             f"SELECT {KEY}, " + ", ".join(settled(f"round({c} + 1e-9, 1)", c) for c in ("current_level", "actual_level", "pred", "error"))
             + " FROM (SELECT * FROM scored ORDER BY abs(error) DESC, tank_id, \"timestamp\" LIMIT 8)", "scored",

@@ -8,7 +8,7 @@ from tidewell.contract import (
     CAPACITY, CONTROL, FLAGS, INFLOW, LEVEL, NUMERIC_COLUMNS, RAIN, TANK, TIME, USAGE, ControlRules,
 )
 from tidewell.functions.quantiles import exact_quantiles
-from tidewell.functions.scalars import clip, display, to_number, to_time
+from tidewell.functions.scalars import clip, display, micros, to_number, to_time
 from tidewell.operators.features import latest_rows
 from tidewell.operators.rules import decide_action, decision_reason
 
@@ -144,7 +144,8 @@ def overflow_table(overflow: DataFrame) -> DataFrame:
 # --- errors -------------------------------------------------------------------------------------
 def seeded_sample(df: DataFrame, n: int = 1500, seed: int = 0) -> DataFrame:
     """At most ``n`` rows without replacement, the same ones for the same seed: lowest key hashes win."""
-    return df.orderBy(F.xxhash64(F.lit(seed), TANK, TIME), TANK, TIME).limit(n)
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(TANK).cast("string"), micros(F.col(TIME)).cast("string")))
+    return df.orderBy(draw, TANK, TIME).limit(n)
 
 
 def residual_histogram(df: DataFrame, bins: int = 24) -> DataFrame:
