@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 UPPER_LETTERS, LOWER_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Rows turned into Python objects at a time; Arrow batches hold up to 64 MB.
+SLICE = 1024
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -59,7 +62,7 @@ def per_batch(df: DataFrame, work: Callable[[dict[str, pa.Array]], dict | None],
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             if batch.num_rows:
                 made = work({name: batch.column(i) for i, name in enumerate(batch.schema.names)})
                 if made is not None:

@@ -143,22 +143,29 @@ class Profiles:
 
 
 def collect_profiles(profiles: DataFrame, keep: int = PROFILE) -> Profiles:
-    """Profiles on the driver: ``keep`` rows a language; the number of languages is checked first."""
-    n = profiles.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
-    if n > MOST_LANGUAGES:
+    """Profiles on the driver: ``keep`` rows a language; their number is checked."""
+    rows = profiles.select("lang", "gram", "rank").limit(MOST_LANGUAGES * keep + 1).collect()
+    if len(rows) > MOST_LANGUAGES * keep:
         raise ValueError(f"more than {MOST_LANGUAGES} languages to learn; the label column is not a language")
-    return Profiles([tuple(r) for r in profiles.select("lang", "gram", "rank").collect()], keep)
+    return Profiles([tuple(r) for r in rows], keep)
 
 
 def identify(docs: DataFrame, profiles: Profiles, text: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
-    """``carry``'s columns of each row, its language ``lang_pred`` and ``score``; one narrow pass."""
-    carry = carry or {}
+    """``carry``'s columns of each row, its language ``lang_pred`` and ``score``; one narrow pass.
+
+    ``text`` may name a column of ``carry``, which then travels once.
+    """
+    carry = dict(carry or {})
+    own = carry.pop(text, None)
+    travels = own is not None
     model = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def work(columns: dict[str, pa.Array]) -> dict:
-        found = [model.value.best(x) for x in columns.pop("__text").to_pylist()]
+        texts = columns[text] if travels else columns.pop("__text")
+        found = [model.value.best(x) for x in texts.to_pylist()]
         return columns | {"lang_pred": [x for x, _ in found], "score": [x for _, x in found]}
 
-    rows = docs.select(F.col(text).alias("__text"), *(c.alias(name) for name, c in carry.items()))
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
+    first = F.col(text).alias("__text") if own is None else own.alias(text)
+    rows = docs.select(first, *(c.alias(name) for name, c in carry.items()))
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "__text")
     return per_batch(rows, work, f"{kept}lang_pred string, score double")

@@ -17,6 +17,10 @@ def _numbered(docs: DataFrame) -> dict[str, Column]:
     return {f"d{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)}
 
 
+def _text_of(docs: DataFrame) -> str:
+    return f"d{docs.columns.index('text')}"
+
+
 def _restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select(*(F.col(f"d{i}").alias(c) for i, c in enumerate(docs.columns)))
 
@@ -24,7 +28,7 @@ def _restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language cannot be told: no letters, or no n-gram known to any profile."""
     profiles = language.collect_profiles(language.learn_profiles(docs.filter(id_remainder(F.col("doc_id"), 3) != 1)))
-    found = language.identify(docs, profiles, carry=_numbered(docs))
+    found = language.identify(docs, profiles, _text_of(docs), _numbered(docs))
     return _restored(found.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") > 0)), docs)
 
 
@@ -42,7 +46,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents with benchmark passages in one word of twenty or more."""
-    found = wu_manber.find_contamination(docs, table(spark, sf_dir, "benchmark"), carry=_numbered(docs))
+    benchmark = table(spark, sf_dir, "benchmark")
+    found = wu_manber.find_contamination(docs, benchmark, _text_of(docs), _numbered(docs))
     return _restored(wu_manber.verdicts(found).filter(~F.col("contaminated")), docs)
 
 

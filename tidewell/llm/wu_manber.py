@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewell.llm.common import LOWER
+from tidewell.llm.common import LOWER, SLICE
 
 WINDOW = 13
 #: Windows searched for in one pass; a larger benchmark is searched in several blocks of items, one pass each.
@@ -183,7 +183,9 @@ def find_contamination(
     The benchmark is the query set: it is counted first and searched for in as many blocks of items as that needs,
     each a narrow pass over the documents, one behind the other.
     """
-    carry = carry or {}
+    carry = dict(carry or {})
+    own = carry.pop(text, None)  # ``text`` may name a column of ``carry``, which then travels once
+    at_text = "__text" if own is None else text
     spark = docs.sparkSession
     query = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("binary").alias("text")
@@ -192,7 +194,8 @@ def find_contamination(
     size = query.agg(F.sum((F.length("text") + 1) / 2)).first()[0] or 0
     blocks = max(1, -(-int(size) // block_windows))
     rows = docs.select(
-        *(c.alias(n) for n, c in carry.items()), F.col(text).cast("binary").alias("__text"), F.lit(0).cast("long").alias("n_words"),
+        *(c.alias(n) for n, c in carry.items()),
+        F.col(text).cast("binary").alias("__text") if own is None else own.alias(text), F.lit(0).cast("long").alias("n_words"),
         F.expr("cast(array() as array<array<long>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"),
     )
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
@@ -201,12 +204,10 @@ def find_contamination(
         patterns = spark.sparkContext.broadcast(Patterns([(r[0], bytes(r[1])) for r in own]))
 
         def search(batches: Iterator[pa.RecordBatch], patterns=patterns) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
                 at = {n: i for i, n in enumerate(batch.schema.names)}
                 counts, spans, items = [], [], []
-                found = _hits(patterns.value, batch.column(at["__text"]).to_pylist())
+                found = _hits(patterns.value, batch.column(at[at_text]).cast(pa.binary()).to_pylist())
                 for (n, own, names), old, known in zip(
                     found, batch.column(at["spans"]).to_pylist(), batch.column(at["items"]).to_pylist(), strict=True
                 ):
