@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -107,6 +108,22 @@ def test_families_are_told_apart(spark):
     assert {out[i] for i in range(len(names), len(out))} == {"unknown"}
 
 
+def test_wrapped_notices_are_found(spark):
+    templates = list(licenses._templates())
+    texts = []
+    for width in (24, 40, 72):
+        for mark in ("", " * ", "# "):
+            texts += ["Some opening line.\n\n" + "\n".join(mark + x for x in textwrap.wrap(t, width)) + "\n\nA closing line." for _, t in templates]
+    first, second = templates[1][1], templates[11][1]
+    close = "\n".join(["An opening line.", *textwrap.wrap(first, 40), "Words between them.", *textwrap.wrap(first, 50), *textwrap.wrap(second, 30)])
+    apart = "Permission is hereby granted, free of charge,\n\nto any person obtaining a copy of this software\n\nand associated documentation files."
+    frame = spark.createDataFrame(list(enumerate([*texts, close, apart])), "doc_id bigint, text string")
+    out = {r.doc_id: (r.licences, r.n_notices) for r in licenses.licences_of(frame, licenses.train(frame)).collect()}
+    assert [out[i] for i in range(len(texts))] == [(f, 1) for f, _ in templates] * 9
+    assert out[len(texts)] == (",".join(sorted({templates[1][0], templates[11][0]})), 3)
+    assert out[len(texts) + 1] == ("unknown", 0)
+
+
 # ---- fixity
 
 
