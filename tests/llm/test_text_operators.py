@@ -94,6 +94,22 @@ def test_hosts_vote_and_pages_without_the_path_keep_their_own(spark):
     assert html_paths.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_articles_split_over_blocks_are_kept_whole(spark):
+    split = ("<body><div class='post'><p>intro {0} of one</p><div class='body'><p>" + "long text {0} " * 6
+             + "</p><div class='more'>" + "further words {0} " * 30 + "</div></div></div><div class='bar'>same on all</div></body>")
+    plain = "<body><div class='post'><div class='body'><div class='more'>" + "only words {0} " * 9 + "</div></div></div></body>"
+    pages = {i: (split if i % 2 else plain).format(i) for i in range(8)} | {8: split.format(8), 9: plain.format(9)}
+    want = {
+        i: f"intro {i} of one " + f"long text {i} " * 6 + f"further words {i} " * 29 + f"further words {i}"
+        + " same on all" if i % 2 or i == 8 else (f"only words {i} " * 9).strip() for i in pages
+    }
+    for i in (1, 8):
+        assert html_paths.extract(pages[i], html_paths.vote(pages[0])[0]) == want[i]
+    frame = spark.createDataFrame([(i, "http://a.example/x", p) for i, p in pages.items()], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html_paths.extract_pages(frame).collect()}
+    assert all(got[i].removesuffix(" same on all") == want[i].removesuffix(" same on all") for i in pages)
+
+
 def test_deep_and_long_pages_end():
     assert html_paths.extract("<div>" * 3000 + "x" + "</div>" * 3000, None) == "x"
     assert len(html_paths.extract("<article>" + "<p>word word" * 50_000 + "</article>", None).split()) == 100_000

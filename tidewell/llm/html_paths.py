@@ -3,7 +3,11 @@
 Each page is read once to score its containers: the text they hold outside boilerplate. The page votes for the path of
 its best container, tags with generalised classes from the root down (``html>body>div.post-#>article``). Spark counts
 the votes of every host; then each page is read again and the text comes from the elements on its host's winning path,
-or from the page's own best container where the host's path is not on the page.
+or from the page's own best container where the host's path is not on the page or holds only a part of that container.
+
+A page's whole container is the deepest one outside of which no text is left. A narrower one, with at least ``SHARE`` of
+the text at each step, takes its place only where every piece of text it leaves out is the host's furniture: pieces that
+half of the host's pages or more leave out alike, with different main texts.
 
 Defined cases. Null, empty and textless pages: empty text. Pages without a host in the url vote under the empty host.
 Ties of votes: more text, then the path that sorts last. Repeated rows vote each and stay rows. Unclosed and misplaced
@@ -12,6 +16,7 @@ tags are repaired as browsers do for blocks. Texts are read whole. Other columns
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from dataclasses import dataclass, field
@@ -19,7 +24,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidewell.llm.common import per_batch
+from tidewell.llm.common import per_batch, staged
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,7 +55,7 @@ BOILERPLATE_WORDS = frozenset(
     "notices notification pagination pager popup promo promoted promotion related replies reply respond search share "
     "sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
 )
-#: A child with at least this share of its parent's text takes its place as the best container.
+#: A child with at least this share of its parent's text may take its place, if what it leaves out is furniture.
 SHARE = 0.8
 
 _TOKEN = re.compile(
@@ -198,22 +203,43 @@ def text_of(top: Node) -> str:
     return " ".join("".join(pieces).split())
 
 
-def best_container(root: Node) -> tuple[Node, int]:
-    """The deepest container that holds most of the page's text, and how much it holds."""
+@dataclass
+class Found:
+    """A page's whole and narrow container, the text in them, and marks of the pieces between the two."""
+
+    whole: Node
+    whole_size: int
+    narrow: Node
+    narrow_size: int
+    rest: list[int]
+
+    def best(self, furniture: frozenset[int] = frozenset()) -> Node:
+        return self.narrow if furniture.issuperset(self.rest) else self.whole
+
+
+def _mark(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def containers(root: Node) -> Found:
+    """The deepest container that holds all of the page's text, and the deepest that holds most of it."""
     sizes: dict[int, int] = {}
     for node, x in _walk(root):
         if isinstance(x, str):
             sizes[id(node)] = sizes.get(id(node), 0) + len("".join(x.split()))
         elif x is True and node.parent is not None:
             sizes[id(node.parent)] = sizes.get(id(node.parent), 0) + sizes.get(id(node), 0)
+    top, tags = root, CONTAINERS
     for node, x in _walk(root):  # an article or main with most of the text ends the search
         if x is None and node.tag in ("article", "main") and sizes.get(id(node), 0) >= sizes.get(id(root), 0) / 2:
-            return (node if node.tag == "article" else _deepest(node, sizes, {"article"})), sizes.get(id(node), 0)
-    best = _deepest(root, sizes, CONTAINERS)
-    return best, sizes.get(id(best), 0)
+            top, tags = node, frozenset() if node.tag == "article" else frozenset({"article"})
+            break
+    whole, narrow, rest = _deepest(top, sizes, tags)
+    return Found(whole, sizes.get(id(whole), 0), narrow, sizes.get(id(narrow), 0), rest)
 
 
-def _deepest(node: Node, sizes: dict[int, int], tags: frozenset[str] | set[str]) -> Node:
+def _deepest(node: Node, sizes: dict[int, int], tags: frozenset[str]) -> tuple[Node, Node, list[int]]:
+    whole, rest = node, []
     while True:
         down = [
             c for c in node.content
@@ -222,8 +248,15 @@ def _deepest(node: Node, sizes: dict[int, int], tags: frozenset[str] | set[str])
         ]
         headed = any(isinstance(c, Node) and c.tag == "h1" for c in node.content)
         if not down or headed:
-            return node
+            return whole, node, rest
+        for c in node.content:
+            if isinstance(c, str) and c.strip():
+                rest.append(_mark(" ".join(c.split())))
+            elif isinstance(c, Node) and c is not down[0] and not c.boilerplate and sizes.get(id(c), 0):
+                rest.append(_mark(text_of(c)))
         node = down[0]
+        if not rest:
+            whole = node
 
 
 def on_path(root: Node, path: str) -> list[Node]:
@@ -242,37 +275,85 @@ def _inside(node: Node | None, other: Node) -> bool:
 
 
 def vote(page: str | None) -> tuple[str | None, int]:
-    """Path of the page's best container and the text in it; no vote without text."""
+    """Path of the page's whole container and the text in it; no vote without text."""
     if not page:
         return None, 0
-    node, size = best_container(parse(page))
-    return (node.path or None, size) if size else (None, 0)
+    found = containers(parse(page))
+    return (found.whole.path or None, found.whole_size) if found.whole_size else (None, 0)
+
+
+def _ballot(page: str | None) -> tuple:
+    """Path and text of the whole and of the narrow container, the pieces between them, and a mark of the narrow text."""
+    found = containers(parse(page)) if page else None
+    if found is None or not found.whole_size:
+        return None, 0, None, 0, [], 0
+    mark = _mark(text_of(found.narrow)) if found.rest else 0
+    return (
+        found.whole.path or None, found.whole_size, found.narrow.path or None, found.narrow_size, sorted(set(found.rest)), mark,
+    )
 
 
-def extract(page: str | None, path: str | None) -> str:
-    """Text on the given path, else of the page's own best container."""
+def extract(page: str | None, path: str | None, furniture: frozenset[int] = frozenset()) -> str:
+    """Text on the given path, else, or where the path is only a part of it, of the page's own best container."""
     if not page:
         return ""
     root = parse(page)
-    text = " ".join(filter(None, map(text_of, on_path(root, path)))) if path else ""
-    return text or text_of(best_container(root)[0])
+    own = containers(root).best(furniture)
+    nodes = on_path(root, path) if path else []
+    if any(n is own or not _inside(n, own) for n in nodes):
+        text = " ".join(filter(None, map(text_of, nodes)))
+        if text:
+            return text
+    return text_of(own)
 
 
 def _host(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def host_paths(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """(host, path): the winner of each host's votes. Votes are added up before they are shuffled."""
+def host_votes(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
+    """(host, path, furniture): the winner of each host's votes. Votes are added up before they are shuffled."""
     rows = pages.select(_host(F.col(url)).alias("host"), F.col(page).alias("html"))
+    names = ("whole", "whole_size", "narrow", "narrow_size", "rest", "mark")
 
     def work(columns: dict[str, pa.Array]) -> dict:
-        found = [vote(x) for x in columns["html"].to_pylist()]
-        return {"host": columns["host"], "path": [p for p, _ in found], "size": [n for _, n in found]}
+        found = [_ballot(x) for x in columns["html"].to_pylist()]
+        made = {n: [x[k] for x in found] for k, n in enumerate(names)}
+        return {"host": columns["host"]} | made | {"rest": pa.array(made["rest"], pa.list_(pa.int64()))}
+
+    ballots = per_batch(
+        rows, work, "host string, whole string, whole_size long, narrow string, narrow_size long, rest array<long>, mark long"
+    ).filter("whole is not null or narrow is not null")
+    counted = staged(ballots.groupBy("host", "whole", "narrow", "rest").agg(
+        F.count("*").alias("n"), F.sum("whole_size").alias("whole_size"), F.sum("narrow_size").alias("narrow_size"),
+        F.min("mark").alias("low"), F.max("mark").alias("high"),
+    ), "host-votes")
+    pieces = counted.select("host", F.explode("rest").alias("piece"), "n", "low", "high").groupBy("host", "piece").agg(
+        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")
+    )
+    totals = counted.groupBy("host").agg(F.sum("n").alias("total"))
+    furniture = pieces.filter("low < high").join(totals, "host").filter("2 * n >= total").groupBy("host").agg(
+        F.collect_list("piece").alias("furniture")
+    )
+    met = counted.join(furniture, "host", "left").withColumn(
+        "furniture", F.coalesce("furniture", F.array().cast("array<bigint>"))
+    )
+    narrow = F.size(F.array_except("rest", "furniture")) == 0
+    votes = met.select(
+        "host", "n", "furniture", F.when(narrow, F.col("narrow")).otherwise(F.col("whole")).alias("path"),
+        F.when(narrow, F.col("narrow_size")).otherwise(F.col("whole_size")).alias("size"),
+    ).filter("path is not null")
+    summed = votes.groupBy("host", "path").agg(
+        F.sum("n").alias("votes"), F.sum("size").alias("size"), F.first("furniture").alias("furniture")
+    )
+    return summed.groupBy("host").agg(F.max(F.struct("votes", "size", "path", "furniture")).alias("won")).select(
+        "host", "won.path", "won.furniture"
+    )
 
-    votes = per_batch(rows, work, "host string, path string, size long").filter("path is not null")
-    counted = votes.groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("size").alias("size"))
-    return counted.groupBy("host").agg(F.max(F.struct("votes", "size", "path"))["path"].alias("path"))
+
+def host_paths(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
+    """(host, path) of ``host_votes``."""
+    return host_votes(pages, url, page).select("host", "path")
 
 
 def extract_pages(
@@ -282,11 +363,12 @@ def extract_pages(
     rows = pages.select(
         F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"), _host(F.col(url)).alias("host")
     )
-    routed = rows.join(host_paths(pages, url, page), "host", "left").drop("host")
+    routed = rows.join(host_votes(pages, url, page), "host", "left").drop("host")
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in routed.schema if f.name in ("page_id", "url"))
 
     def work(columns: dict[str, pa.Array]) -> dict:
         pages, paths = columns.pop("html").to_pylist(), columns["path"].to_pylist()
-        return columns | {"text": [extract(x, p) for x, p in zip(pages, paths, strict=True)]}
+        furniture = [frozenset(x or ()) for x in columns.pop("furniture").to_pylist()]
+        return columns | {"text": [extract(*x) for x in zip(pages, paths, furniture, strict=True)]}
 
     return per_batch(routed, work, f"{kept}path string, text string")
