@@ -4,6 +4,7 @@ from conftest import CAPACITY, by_time, frame, healthy_rows, hour
 
 from pyspark.sql import functions as F
 from tidewell.operators import baselines, clean, recommend
+from tidewell.sources.events import read_events, telemetry
 from tidewell.sources.readings import stage_readings
 from tidewell.streaming import jobs
 from tidewell.streaming.replay import replay
@@ -55,6 +56,19 @@ def test_hours_stay_open_without_a_newer_event(spark):
     assert still_open.count() < 4
 
 
+def test_rolled_up_hours_equal_the_batch_view(spark, tmp_path):
+    kinds = ("view", "click", "purchase", "signup", "error")
+    rows = [(i, hour(i / 7), i % 3, kinds[(i * i + i // 5) % 5], 10.0 + i / 4, "") for i in range(150)]
+    spark.createDataFrame(
+        rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    source = read_events(spark, str(tmp_path))
+    out = replay(source, "ts", lambda s: jobs.hourly_rollup(s, "10 minutes"), closing_row=True)
+    view = telemetry(spark, str(tmp_path))
+    assert by_time(out, *view.columns) == by_time(view, *view.columns)
+    assert out.filter("tank_level_litres is not null and temperature_c is not null").count()
+
+
 def test_copies_arriving_later_are_dropped(spark):
     df = frame(spark, [{"t": hour(i // 2), "level": float(i)} for i in range(10)])
     out = replay(df, "timestamp", lambda s: jobs.dedupe(s, "1 hour"), chunks=3)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewell.contract import (
-    CAPACITY, CLEANING, CONTROL, COERCED, FEATURES, INFLOW, LEVEL, RAIN, TANK, TEMPERATURE, TIME, TS_US, USAGE,
+    CAPACITY, CLEANING, CONTROL, COERCED, DEFAULT_CAPACITY, FEATURES, INFLOW, LEVEL, RAIN, TANK, TEMPERATURE, TIME, TS_US, USAGE,
     CleaningRules, ControlRules,
 )
 from tidewell.functions.scalars import clip, flag, micros
@@ -63,7 +63,10 @@ def dedupe(stream: DataFrame, delay: str) -> DataFrame:
 
 
 def hourly_rollup(events: DataFrame, delay: str) -> DataFrame:
-    """Hourly readings per tank from raw events, each hour emitted once when the watermark closes it."""
+    """Hourly readings per tank from raw events, each hour emitted once when the watermark closes it.
+
+    All meters of ``sources.events.telemetry``, so that cleaning and decisions can read the result.
+    """
     kind = F.col("event_type")
 
     def signal(name: str, scale: float, offset: float):
@@ -78,10 +81,14 @@ def hourly_rollup(events: DataFrame, delay: str) -> DataFrame:
             signal("view", 0.1, -0.1).alias(RAIN),
             signal("click", 4.0, -4.0).alias(INFLOW),
             signal("purchase", 2.0, -2.0).alias(USAGE),
+            (F.expr("max_by(value, ts) filter (where event_type = 'signup')") * 25.0 - 100.0).alias(LEVEL),
+            F.lit(DEFAULT_CAPACITY).alias(CAPACITY),
+            (signal("error", 1.0, 0.0) / F.count_if(kind == "error")).alias(TEMPERATURE),
             F.count("*").alias("events"),
         )
     )
-    return hours.select(TANK, F.col("window.start").cast("timestamp_ntz").alias(TIME), RAIN, INFLOW, USAGE, "events")
+    start = F.col("window.start").cast("timestamp_ntz").alias(TIME)
+    return hours.select(TANK, start, RAIN, INFLOW, USAGE, LEVEL, CAPACITY, TEMPERATURE, "events")
 
 
 # --- live decisions -----------------------------------------------------------------------------
