@@ -45,6 +45,30 @@ def test_late_readings_are_dropped_and_counted(spark):
     assert by_time(out, "late_dropped")[-1] == 2
 
 
+def test_readings_inside_the_delay_are_kept_in_order(spark):
+    rows = [r | {"tank": t, "t": hour(i)} for t in (1, 2) for i, r in enumerate(healthy_rows(24))]
+    df = frame(spark, rows)
+    six_hours = 6 * 3600 * 1_000_000
+    for job, columns in (
+        (lambda s, d: jobs.running_balance(s, d), ("timestamp", "level", "overflow_litres")),
+        (lambda s, d: jobs.live_decisions(s, persistence, delay=d), ("timestamp", "predicted_level", "used_fallback", "action")),
+    ):
+        plain = replay(df, "timestamp", lambda s: job(s, None), chunks=1)
+        out = replay(df, "timestamp", lambda s: job(s, "7 hours"), chunks=5, closing_row=True, shuffled_us=six_hours)
+        assert by_time(out, *columns) == by_time(plain, *columns) and out.count() == 48
+        assert out.agg({"late_dropped": "max"}).first()[0] == 0
+
+
+def test_readings_behind_the_delay_are_counted(spark):
+    order = [0, 1, 9, 10, 2, 11, 30]
+    df = frame(spark, [healthy_rows(31)[i] | {"t": hour(i), "seq": n} for n, i in enumerate(order)])
+    arrival = df.withColumn("arrived", F.make_timestamp_ntz(F.lit(2024), F.lit(1), F.lit(1), F.lit(0), F.col("ingest_seq").cast("int"), F.lit(0)))
+    for job in (lambda s: jobs.running_balance(s, "0 seconds"), lambda s: jobs.live_decisions(s, persistence, delay="0 seconds")):
+        out = replay(arrival, "arrived", job, chunks=7)
+        assert by_time(out, "timestamp")[:5] == [hour(i) for i in (0, 1, 9, 10, 11)]
+        assert max(by_time(out, "late_dropped")) == 1
+
+
 def test_hours_stay_open_without_a_newer_event(spark):
     events = spark.createDataFrame(
         [(i, hour(i / 2), 7, "view", 10.0, "") for i in range(8)],

@@ -834,6 +834,10 @@ def exact_quantiles_whole_table(lk: Lake) -> DataFrame:
 
 
 # --- streams ------------------------------------------------------------------------------------
+#: Readings reach the replays up to so much later than their order in time; the jobs wait longer than that.
+_SHUFFLED_US = 36 * 3600 * 1_000_000
+
+
 @query
 def stream_ingest_clean(lk: Lake) -> DataFrame:
     stats = stage_table(clean.tank_statistics(lk.staged))  # once, not in every micro-batch
@@ -857,10 +861,15 @@ def stream_hourly_rollup(lk: Lake) -> DataFrame:
 
 @query
 def stream_live_decisions(lk: Lake) -> DataFrame:
-    out = replay(lk.clean, TIME, lambda s: jobs.live_decisions(s, _persistence))
+    out = replay(
+        lk.clean, TIME, lambda s: jobs.live_decisions(s, _persistence, delay="2 days"), closing_row=True, shuffled_us=_SHUFFLED_US
+    )
     return show(out, KEY, ["predicted_level", "predicted_fill_pct"], [], ["used_fallback", "action"])
 
 
 @query
 def stream_balance(lk: Lake) -> DataFrame:
-    return show(replay(lk.clean, TIME, jobs.running_balance), KEY, ["level", "overflow_litres"])
+    out = replay(
+        lk.clean, TIME, lambda s: jobs.running_balance(s, delay="2 days"), closing_row=True, shuffled_us=_SHUFFLED_US
+    )
+    return show(out, KEY, ["level", "overflow_litres"])

@@ -5,8 +5,9 @@ Event time is a zoned TIMESTAMP inside a stream (watermarks accept nothing else)
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -91,12 +92,70 @@ def hourly_rollup(events: DataFrame, delay: str) -> DataFrame:
     return hours.select(TANK, start, RAIN, INFLOW, USAGE, LEVEL, CAPACITY, TEMPERATURE, "events")
 
 
+# --- readings in event order --------------------------------------------------------------------
+def _held(columns: list[str]) -> list[T.StructField]:
+    """State of readings that wait for the watermark: their times and one array per column."""
+    return [T.StructField("held_ts", T.ArrayType(T.LongType()))] + [
+        T.StructField(f"held_{c}", T.ArrayType(T.DoubleType())) for c in columns
+    ]
+
+
+def _by_tank(
+    rows: DataFrame, delay: str | None, step: Callable, out: T.StructType, state: T.StructType
+) -> DataFrame:
+    """Apply ``step`` per tank to rows with ``TS_US``; with ``delay`` it is also called when held readings fall due.
+
+    Spark drops rows behind the watermark without a word before ``step`` could count them. So the event time travels
+    in rows of its own, which have no ``TS_US``; the readings have no event time and all arrive.
+    """
+    rows = rows.filter(F.col(TS_US).isNotNull())
+    timeout = GroupStateTimeout.NoTimeout
+    if delay is not None:
+        at = F.col(TIME).cast("timestamp")
+        rows = rows.withColumn(EVENT_TIME, F.explode(F.array(F.lit(None).cast("timestamp"), at)))
+        rows = rows.withColumn(TS_US, F.when(F.col(EVENT_TIME).isNull(), F.col(TS_US)))
+        rows = rows.withWatermark(EVENT_TIME, delay)
+        timeout = GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy(TANK).applyInPandasWithState(step, out, state, "append", timeout)
+
+
+def _due(
+    batches: Iterator[pd.DataFrame], state: GroupState, held: list[list], columns: list[str], last: int | None, waits: bool
+) -> tuple[list[tuple], list[list], int]:
+    """(time, *columns) of readings that are due, in event order; what is held on; how many came too late.
+
+    Too late is a reading that is not newer than the last one handed out, or has the time of one that arrived before.
+    """
+    times = {t: values for t, *values in zip(*held, strict=True)}
+    late = 0
+    for batch in batches:
+        batch = batch[batch[TS_US].notna()]
+        for stamp, *values in zip(batch[TS_US], *(batch[c] for c in columns), strict=True):
+            stamp = int(stamp)
+            if stamp in times or (last is not None and stamp <= last):
+                late += 1
+            else:
+                times[stamp] = [float(v) if v is not None else float("nan") for v in values]
+    until = state.getCurrentWatermarkMs() * 1000 if waits else None
+    ordered = sorted(times)
+    ready = ordered if until is None else ordered[: bisect_right(ordered, until)]
+    rest = ordered[len(ready) :]
+    kept = [rest, *([times[t][k] for t in rest] for k in range(len(columns)))]
+    return [(t, *times[t]) for t in ready], kept, late
+
+
+def _wait(state: GroupState, held: list[list]) -> None:
+    if held[0]:
+        state.setTimeoutTimestamp(held[0][0] // 1000 + 1)
+
+
 # --- live decisions -----------------------------------------------------------------------------
+_SIGNALS = [RAIN, INFLOW, USAGE, LEVEL, TEMPERATURE]
 _STATE = T.StructType(
     [T.StructField("late", T.LongType()), T.StructField("ts", T.ArrayType(T.LongType()))]
-    + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in (RAIN, INFLOW, USAGE, LEVEL, TEMPERATURE)]
+    + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in _SIGNALS]
+    + _held([CAPACITY, *_SIGNALS])
 )
-_SIGNALS = [RAIN, INFLOW, USAGE, LEVEL, TEMPERATURE]
 _DERIVED = [f for f in FEATURES if f not in _SIGNALS and f not in ("hour", "day_of_week", "is_weekend")]
 _LIVE = T.StructType(
     [
@@ -136,59 +195,62 @@ def _live_row(past: dict[str, deque], row: dict) -> dict:
     return out
 
 
-def live_rows(stream: DataFrame, rules: ControlRules = CONTROL) -> DataFrame:
+def live_rows(stream: DataFrame, rules: ControlRules = CONTROL, delay: str | None = None) -> DataFrame:
     """Feature row per cleaned reading, from a state of the tank's last 48 rows.
 
-    Readings of a micro-batch are taken in event-time order; how many a tank can have there is set by the
-    source's per-trigger limits. A reading not newer than the last one of its
-    tank is late: it is dropped and counted.
+    With ``delay`` readings wait in the state until the watermark has passed them and come out in event-time order,
+    however deliveries are cut. Without it those of a micro-batch come out at once, in order. A reading not newer than
+    the last one that came out is late: it is dropped and counted.
     """
     keep, window = rules.history_rows, max(rules.flatline_hours + 2, 8)
     live = _keyed(stream, _LIVE)
+    carried = [CAPACITY, *_SIGNALS]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.exists:
             late, times, *columns = state.get
+            columns, held = columns[: len(_SIGNALS)], columns[len(_SIGNALS) :]
             past = {c: deque(v, keep) for c, v in zip(_SIGNALS, columns)}
             times = deque(times, keep)
         else:
             late, times, past = 0, deque(maxlen=keep), {c: deque(maxlen=keep) for c in _SIGNALS}
-        batch = pd.concat(list(batches)).sort_values(TS_US)
+            held = [[] for _ in range(1 + len(carried))]
+        due, held, missed = _due(batches, state, held, carried, times[-1] if times else None, delay is not None)
+        late += missed
         out = []
-        for row in batch.to_dict("records"):
-            if times and row[TS_US] <= times[-1]:
-                late += 1
-                continue
+        for stamp, *values in due:
+            row = {TANK: key[0], TIME: pd.Timestamp(stamp, unit="us"), **dict(zip(carried, values))}
             made = _live_row(past, row)
             made |= {
                 "history_rows": len(times), "late_dropped": late,
                 "recent_levels": list(past[LEVEL])[-window:], "recent_inflows": list(past[INFLOW])[-window:],
             }
             out.append(made)
-            times.append(int(row[TS_US]))
+            times.append(stamp)
             for c in _SIGNALS:
-                past[c].append(float(row[c]))
-        state.update((late, list(times), *[list(past[c]) for c in _SIGNALS]))
+                past[c].append(row[c])
+        state.update((late, list(times), *[list(past[c]) for c in _SIGNALS], *held))
+        _wait(state, held)
         if out:
             yield pd.DataFrame(out)[live.names]
 
     wanted = stream.select(TANK, TIME, CAPACITY, *_SIGNALS, micros(F.col(TIME)).alias(TS_US))
-    rows = wanted.groupBy(TANK).applyInPandasWithState(
-        step, live, _STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    rows = _by_tank(wanted, delay, step, live, _STATE)
     day = F.weekday(TIME)
     return rows.withColumns(
         {"hour": F.hour(TIME), "day_of_week": day, "is_weekend": (day >= 5).cast("int")}
     )
 
 
-def live_decisions(stream: DataFrame, predictor: Predictor, rules: ControlRules = CONTROL) -> DataFrame:
-    """Next-hour prediction and action per arriving reading.
+def live_decisions(
+    stream: DataFrame, predictor: Predictor, rules: ControlRules = CONTROL, delay: str | None = None
+) -> DataFrame:
+    """Next-hour prediction and action per reading; ``delay`` as in ``live_rows``.
 
     The tank's previous readings are checked for a suspect sensor (empty history, out-of-range or frozen
     levels, negative inflow); then the water balance answers instead of the predictor.
     """
-    rows = predictor(live_rows(stream, rules))
+    rows = predictor(live_rows(stream, rules, delay))
     levels, cap = F.col("recent_levels"), F.col(CAPACITY)
     fault = (
         (F.col("history_rows") == 0)
@@ -212,40 +274,42 @@ def live_decisions(stream: DataFrame, predictor: Predictor, rules: ControlRules
 
 
 # --- running balance ----------------------------------------------------------------------------
-_BALANCE_STATE = T.StructType([T.StructField("level", T.DoubleType()), T.StructField("ts", T.LongType())])
+_FLOWS = [CAPACITY, LEVEL, "flow"]
+_BALANCE_STATE = T.StructType(
+    [T.StructField("level", T.DoubleType()), T.StructField("ts", T.LongType()), T.StructField("late", T.LongType())]
+    + _held(_FLOWS)
+)
 _BALANCE = T.StructType(
     [
         T.StructField(TIME, T.TimestampNTZType()),
         T.StructField("level", T.DoubleType()), T.StructField("overflow_litres", T.DoubleType()),
+        T.StructField("late_dropped", T.LongType()),
     ]
 )
 
 
-def running_balance(stream: DataFrame) -> DataFrame:
+def running_balance(stream: DataFrame, delay: str | None = None) -> DataFrame:
     """Clamped balance carried from reading to reading; the tank's first recorded level starts it.
 
-    Late readings cannot be applied any more and are dropped.
+    ``delay`` as in ``live_rows``. Late readings cannot be applied any more; they are dropped and counted.
     """
     balance = _keyed(stream, _BALANCE)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        level, last = state.get if state.exists else (None, None)
+        level, last, late, *held = state.get if state.exists else (None, None, 0, *([] for _ in range(1 + len(_FLOWS))))
+        due, held, missed = _due(batches, state, held, _FLOWS, last, delay is not None)
+        late += missed
         out = []
-        for row in pd.concat(list(batches)).sort_values(TS_US).itertuples(index=False):
-            tank, at, stamp, cap, first, flow = row
-            if last is not None and stamp <= last:
-                continue
+        for stamp, cap, first, flow in due:
             wish = (first if level is None else level) + flow
-            level, last = min(cap, max(0.0, wish)), int(stamp)
-            out.append((tank, at, level, max(wish - cap, 0.0)))
-        if last is not None:
-            state.update((float(level), last))
+            level, last = min(cap, max(0.0, wish)), stamp
+            out.append((key[0], pd.Timestamp(stamp, unit="us"), level, max(wish - cap, 0.0), late))
+        state.update((level, last, late, *held))
+        _wait(state, held)
         if out:
             yield pd.DataFrame(out, columns=balance.names)
 
     wanted = stream.select(
         TANK, TIME, micros(F.col(TIME)).alias(TS_US), CAPACITY, LEVEL, (F.col(INFLOW) - F.col(USAGE)).alias("flow")
     )
-    return wanted.groupBy(TANK).applyInPandasWithState(
-        step, balance, _BALANCE_STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    return _by_tank(wanted, delay, step, balance, _BALANCE_STATE)

@@ -12,19 +12,21 @@ from tidewell.plans.lake import staging_root
 
 
 def replay(
-    df: DataFrame, time_column: str, job: Callable[[DataFrame], DataFrame], chunks: int = 3, closing_row: bool = False
+    df: DataFrame, time_column: str, job: Callable[[DataFrame], DataFrame], chunks: int = 3, closing_row: bool = False,
+    shuffled_us: int = 0,
 ) -> DataFrame:
     """Result of ``job`` over ``df`` delivered as ``chunks`` consecutive deliveries.
 
     Every delivery appends files to the source folder and restarts the query from its checkpoint until all
     input is used, so state, watermark and sink carry over as they would across restarts. ``closing_row``
     delivers one more row far in the future, which pushes the watermark past every real one; its own window
-    stays open and is never emitted.
+    stays open and is never emitted. ``shuffled_us`` deals the rows by times that are later by up to so many
+    microseconds, each by a hash of its own, so that deliveries overlap.
     """
     spark = df.sparkSession
     root = f"{staging_root(spark)}/replay_{uuid.uuid4().hex}"
     stream = job(_source(df, f"{root}/in"))
-    for part in _deliveries(df, time_column, chunks, closing_row):
+    for part in _deliveries(df, time_column, chunks, closing_row, shuffled_us):
         part.write.mode("append").parquet(f"{root}/in")
         query = (
             stream.writeStream.format("parquet")
@@ -45,8 +47,10 @@ def _source(df: DataFrame, path: str) -> DataFrame:
     return spark.readStream.schema(df.schema).parquet(path)
 
 
-def _deliveries(df: DataFrame, time_column: str, chunks: int, closing_row: bool) -> list[DataFrame]:
+def _deliveries(df: DataFrame, time_column: str, chunks: int, closing_row: bool, shuffled_us: int) -> list[DataFrame]:
     at = micros(F.col(time_column))
+    if shuffled_us:
+        at = at + F.pmod(F.xxhash64(*df.columns), F.lit(shuffled_us))
     shares = [i / chunks for i in range(1, chunks)]
     edges = df.agg(F.approx_percentile(at, F.array(*map(F.lit, shares)), 1000)).first()[0] if shares else []
     low, parts = None, []
