@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewell.llm import exact_dedup, html_paths, language, licenses, max_entropy, merkle, packing, signature_tree, token_files, tokens, wu_manber
+from tidewell.llm import (
+    alignment, exact_dedup, html_paths, language, lattice, licenses, max_entropy, merkle, multi_index, packing, signature_tree, token_files,
+    tokens, wu_manber,
+)
 from tidewell.llm.common import id_remainder, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +93,21 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signature_tree.join_near(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.find_near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = (tokens.vocabulary_path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align_corpus(table(spark, sf_dir, "documents"), *paths)
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of ids divisible by 7 are moved on by one first, so that some rows near an anchor have another label."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return multi_index.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved))

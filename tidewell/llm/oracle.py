@@ -80,3 +80,40 @@ SELECT 'pages-' || f || '.warc' AS file, record_no,
        CASE WHEN f % 3 = 1 AND page_id % 1000 >= 990 THEN 'missing' ELSE 'changed' END AS status,
        first::BIGINT AS first, (first + n)::BIGINT AS "end"
 FROM p WHERE (f % 3 = 1 AND page_id % 1000 >= 990) OR (page_id % 23 = 7 AND length(html) > 0 AND html[1] <> '~')"""
+
+_USABLE = (
+    "embedding IS NOT NULL AND len(embedding) > 0 AND "
+    "len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+)
+
+# Cosines of all pairs; components follow the links to the smallest id.
+SQL["op11_embedding_near_dedup"] = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE {_USABLE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a),
+reach AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.vec_id)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, min(c) AS component_id, e.vec_id = min(c) AS kept
+FROM embeddings e LEFT JOIN counts USING (vec_id) JOIN reach USING (vec_id) GROUP BY e.vec_id, n"""
+
+# Every anchor is scored against every row.
+SQL["op13_hard_negatives"] = f"""
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND {_USABLE}),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id,
+       row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)::INTEGER AS rank,
+       other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) <= 3"""
