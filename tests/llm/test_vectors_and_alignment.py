@@ -245,7 +245,7 @@ def test_groups_join_to_both_sequences(spark):
     tool = alignment.aligner(BYTE, PIECE)
     for row in alignment.align_groups(frame, BYTE, PIECE).collect():
         pair = tool.tokens([TEXTS[row.doc_id]])[0] or ([], [])
-        assert [x for g in row.groups for x in g.a] == pair[0] and [x for g in row.groups for x in g.b] == pair[1]
+        assert [x for g in row.groups for x in g.a] == list(pair[0]) and [x for g in row.groups for x in g.b] == list(pair[1])
     assert alignment.align_corpus(frame.limit(0), BYTE, PIECE).count() == 0
     repeated = frame.filter("doc_id = 4").unionByName(frame.filter("doc_id = 4"))
     assert len({tuple(r) for r in alignment.align_corpus(repeated, BYTE, PIECE).collect()}) == 1

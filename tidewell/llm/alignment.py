@@ -81,19 +81,21 @@ class Aligner:
         self.plain = [str(k) for k in range(top)]
         self.opening = [f";{k}|" for k in range(top)]
 
-    def tokens(self, texts: list[str | None]) -> list[tuple[list[int], list[int]] | None]:
+    def tokens(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """Ids of both sides, None for texts without tokens."""
         at = [k for k, t in enumerate(texts) if t]
-        out: list[tuple[list[int], list[int]] | None] = [None] * len(texts)
+        out: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(texts)
         some = [texts[k] for k in at]
-        for k, text, a, b in zip(at, some, *(side.encode(some) for side in self.sides), strict=True):
+        for k, text, *pair in zip(at, some, *(side.encode(some) for side in self.sides), strict=True):
             whole = b" " + text.encode()
-            pair = a.tolist(), b.tolist()
-            if all(b"".join(map(side.bytes.__getitem__, ids)) == whole for side, ids in zip(self.sides, pair, strict=True)):
-                out[k] = pair
+            if all(
+                b"".join(itemgetter(*ids.tolist())(side.bytes) if len(ids) > 1 else [side.bytes[i] for i in ids]) == whole
+                for side, ids in zip(self.sides, pair, strict=True)
+            ):
+                out[k] = tuple(pair)
         return out
 
-    def ends(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+    def ends(self, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
         return np.cumsum(self.lengths[0][a]).tolist(), np.cumsum(self.lengths[1][b]).tolist()
 
 
@@ -163,13 +165,13 @@ def groups_of(a: list[int], b: list[int], ends: tuple[list[int], list[int]]) ->
 
 def _digest(tool: Aligner, a: list[int], b: list[int], runs: list, groups: list) -> str:
     many = lambda table, ids: itemgetter(*ids)(table) if len(ids) > 1 else (table[ids[0]],)
-    opening, plain, closing = many(tool.opening, a), many(tool.plain, a), many(tool.plain, b)
+    opening, closing, plain = many(tool.opening, a), many(tool.plain, b), tool.plain
     parts: list[str] = []
     for k, (i, j, n) in enumerate(runs):
         parts.extend(chain.from_iterable(zip(opening[i : i + n], closing[j : j + n], strict=True)))
         if k < len(groups):
             p, p_end, q, q_end = groups[k]
-            parts += (";", ",".join(plain[p:p_end]), "|", ",".join(closing[q:q_end]))
+            parts += (";", ",".join([plain[x] for x in a[p:p_end]]), "|", ",".join(closing[q:q_end]))
     return hashlib.sha256("".join(parts)[1:].encode()).hexdigest()
 
 
@@ -202,7 +204,7 @@ def _chunk(tool: Aligner, chunk: int, ids: list, texts: list[str | None]) -> dic
             continue
         a, b = pair
         runs, groups, link_a, link_b = align(*tool.ends(a, b))
-        row["groups_sha256"][k] = _digest(tool, a, b, runs, groups)
+        row["groups_sha256"][k] = _digest(tool, a.tolist(), b.tolist(), runs, groups)
         first = np.array(runs, np.int64)
         first = first[first[:, 2] > 0]
         length = first[:, 2]
@@ -211,7 +213,7 @@ def _chunk(tool: Aligner, chunk: int, ids: list, texts: list[str | None]) -> dic
         at_b = np.concatenate([np.repeat(first[:, 1], length) + within, np.array(link_b, np.int64)])
         row["n_a"][k], row["n_b"][k] = len(a), len(b)
         row["n_groups"][k], row["n_links"][k] = int(length.sum()) + len(groups), len(at_a)
-        found.append((np.array(a, np.int64)[at_a] << 32) | np.array(b, np.int64)[at_b])
+        found.append((a[at_a].astype(np.int64) << 32) | b[at_b])
     codes = np.concatenate(found) if found else np.empty(0, np.int64)
     pairs, at, n = np.unique(codes, return_inverse=True, return_counts=True)
     common = np.argsort(-n, kind="stable")  # frequent pairs get small numbers
@@ -307,7 +309,7 @@ def align_groups(docs: DataFrame, byte_path: str, piece_path: str, doc_id: str =
         tool = aligner(byte_path, piece_path)
         out = []
         for pair in tool.tokens(columns["text"].to_pylist()):
-            found = groups_of(*pair, tool.ends(*pair)) if pair else []
+            found = groups_of(*(ids.tolist() for ids in pair), tool.ends(*pair)) if pair else []
             out.append([{"a": a, "b": b} for a, b in found])
         return {"doc_id": columns["doc_id"], "groups": out}
 
