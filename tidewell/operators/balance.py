@@ -19,6 +19,7 @@ from tidewell.contract import (
     CAPACITY, CONSERVE, CONTROL, HARVEST, HOT, INFLOW, LEVEL, PREVENT, SEGMENT, SEGMENT_KEYS, TANK,
     TIME, TS_US, USAGE, ControlRules,
 )
+from tidewell.functions.scan import clamp_levels, compose, fold
 from tidewell.operators.rules import decide_action
 from tidewell.plans.segments import (
     along_tank, attach, earlier, has_long_tanks, in_segment, so_far, summarise, with_tank_values,
@@ -48,19 +49,17 @@ def _in_order(df: DataFrame) -> DataFrame:
     return df.withColumn("row_in_segment", F.row_number().over(in_segment()))
 
 
-def _walk(rows: Iterator[tuple], level: float, at: int) -> tuple[list, list, float, int]:
-    """Clamp one batch of (row number, start, flow, capacity); returns levels around every row."""
-    before, after = [], []
-    for number, begin, flow, cap in rows:
-        if number == 1:
-            level = begin
-        elif number != at + 1:
-            raise RuntimeError("rows of a segment are not in order")
-        at = number
-        before.append(level)
-        level = min(cap, max(0.0, level + flow))
-        after.append(level)
-    return before, after, level, at
+def _floats(column: pa.Array) -> np.ndarray:
+    """Values as doubles of their own, missing ones as NaN."""
+    return np.array(column.to_numpy(zero_copy_only=False), float)
+
+
+def _numbers(column: pa.Array, before: int) -> np.ndarray:
+    """Row numbers within segments; each must follow the one before it or begin a segment."""
+    number = column.to_numpy()
+    if ((number != 1) & (number != np.concatenate([[before], number[:-1]]) + 1)).any():
+        raise RuntimeError("rows of a segment are not in order")
+    return number
 
 
 def clamp_scan(df: DataFrame, flows: list[str], start: str) -> DataFrame:
@@ -83,15 +82,19 @@ def clamp_scan(df: DataFrame, flows: list[str], start: str) -> DataFrame:
     schema = T.StructType(kept + [T.StructField(a, T.DoubleType()) for a in added])
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = {f: (0.0, 0) for f in flows}
+        level, at = dict.fromkeys(flows, 0.0), 0
         for batch in batches:
             column = {n: batch.column(n) for n in batch.schema.names}
-            number, cap = column["row_in_segment"].to_pylist(), column[CAPACITY].to_pylist()
+            number, cap = _numbers(column["row_in_segment"], at), _floats(column[CAPACITY])
+            begins, at = number == 1, int(number[-1])
             out = {f.name: column[f.name] for f in kept}
             for f in flows:
-                rows = zip(number, column[starts[f]].to_pylist(), column[f].to_pylist(), cap)
-                before, after, *state[f] = _walk(rows, *state[f])
-                out[f"before_{f}"], out[f"after_{f}"] = pa.array(before, pa.float64()), pa.array(after, pa.float64())
+                start = _floats(column[starts[f]])
+                if not begins[0]:  # the segment goes on from the batch before
+                    start[0] = level[f]
+                before, after = clamp_levels(_floats(column[f]), cap, begins, start)
+                level[f] = after[-1]
+                out[f"before_{f}"], out[f"after_{f}"] = pa.array(before), pa.array(after)
             yield pa.RecordBatch.from_pydict(out)
 
     return rows.mapInArrow(replay, schema)
@@ -105,20 +108,23 @@ def _segment_starts(df: DataFrame, flows: list[str], start: str, starts: dict[st
         [*keys, T.StructField("at", T.DoubleType()), *[T.StructField(p, T.DoubleType()) for p in parts]]
     )
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fold_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One triple per segment and flow; a segment may go on in the next batch."""
         done: list[list] = []
+        at = 0
         for batch in batches:
-            names = [TANK, SEGMENT, "row_in_segment", CAPACITY, start, *flows]
-            for tank, segment, number, cap, at, *values in zip(*[batch.column(n).to_pylist() for n in names]):
-                if number == 1:
-                    done.append([tank, segment, at, *[0.0, -np.inf, np.inf] * len(flows)])
-                triple = done[-1]
-                for i, a in enumerate(values):
+            column = {n: batch.column(n) for n in batch.schema.names}
+            number = _numbers(column["row_in_segment"], at)
+            at = int(number[-1])
+            cap, values = _floats(column[CAPACITY]), [_floats(column[f]) for f in flows]
+            edges = np.union1d([0], np.flatnonzero(number == 1)).tolist()
+            for low, high in zip(edges, [*edges[1:], len(number)], strict=True):
+                if number[low] == 1:
+                    keys = [column[c][low].as_py() for c in (TANK, SEGMENT, start)]
+                    done.append([*keys, *[0.0, -np.inf, np.inf] * len(flows)])
+                for i, flow in enumerate(values):
                     k = 3 + 3 * i
-                    triple[k] += a
-                    triple[k + 1] = min(cap, max(0.0, triple[k + 1] + a))
-                    triple[k + 2] = min(cap, max(0.0, triple[k + 2] + a))
+                    done[-1][k : k + 3] = map(float, compose(tuple(done[-1][k : k + 3]), fold(flow[low:high], cap[low:high])))
         if done:
             yield pa.RecordBatch.from_pydict(
                 {n: list(v) for n, v in zip(fold_schema.names, zip(*done))}
@@ -139,7 +145,7 @@ def _segment_starts(df: DataFrame, flows: list[str], start: str, starts: dict[st
         return out
 
     long_tanks = df.filter(F.col(HOT)).select(*SEGMENT_KEYS, TS_US, CAPACITY, start, *flows)
-    triples = _in_order(long_tanks).mapInArrow(fold, fold_schema)
+    triples = _in_order(long_tanks).mapInArrow(fold_segments, fold_schema)
     return triples.groupBy(TANK).applyInPandas(chain, chain_schema)
 
 
