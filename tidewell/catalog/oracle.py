@@ -826,7 +826,7 @@ GROUP BY tank_id""",
         ),
         "stream_dedupe": "SELECT DISTINCT user_id AS tank_id, date_trunc('hour', ts) AS \"timestamp\" FROM events",
         "stream_hourly_rollup": (
-            f"SELECT {KEY}, {d('rainfall_mm', 'inflow_litres', 'usage_litres')}, events FROM ({TELEMETRY}) JOIN "
+            f"SELECT {KEY}, {d('rainfall_mm', 'inflow_litres', 'usage_litres', 'tank_level_litres', 'temperature_c')}, events FROM ({TELEMETRY}) JOIN "
             "(SELECT user_id AS tank_id, date_trunc('hour', ts) AS \"timestamp\", count(*) AS events FROM events GROUP BY 1, 2) USING (tank_id, \"timestamp\")"
         ),
         "stream_live_decisions": sql(
@@ -840,5 +840,13 @@ GROUP BY tank_id""",
             "featured",
         ),
         "stream_balance": sql(f"SELECT {KEY}, {d('level', 'overflow_litres')} FROM plain_balance", "plain_balance"),
+        # a tank whose only reading has the newest hour of all still waits for one that is newer
+        "stream_missed_readings": sql(
+            "SELECT tank_id, count(*) FILTER (t < newest) AS late, count(*) FILTER (t = newest) AS repeated FROM ("
+            "SELECT tank_id, \"timestamp\" AS t, max(\"timestamp\") OVER w AS newest, count(*) OVER w AS n, "
+            "max(\"timestamp\") OVER () AS latest FROM cleaned WINDOW w AS (PARTITION BY tank_id)) "
+            "WHERE (n > 1 OR t < latest) AND (day(t) + hour(t)) % 3 = 0 GROUP BY tank_id",
+            "cleaned",
+        ),
     }
     return out

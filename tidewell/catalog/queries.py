@@ -856,7 +856,7 @@ def stream_dedupe(lk: Lake) -> DataFrame:
 def stream_hourly_rollup(lk: Lake) -> DataFrame:
     source = events.read_events(lk.spark, lk.sf_dir)
     out = replay(source, "ts", lambda s: jobs.hourly_rollup(s, "2 hours"), closing_row=True)
-    return show(out, KEY, [RAIN, INFLOW, USAGE], ["events"])
+    return show(out, KEY, [RAIN, INFLOW, USAGE, LEVEL, TEMPERATURE], ["events"])
 
 
 @query
@@ -864,7 +864,8 @@ def stream_live_decisions(lk: Lake) -> DataFrame:
     out = replay(
         lk.clean, TIME, lambda s: jobs.live_decisions(s, _persistence, delay="2 days"), closing_row=True, shuffled_us=_SHUFFLED_US
     )
-    return show(out, KEY, ["predicted_level", "predicted_fill_pct"], [], ["used_fallback", "action"])
+    taken = out.filter(F.col(jobs.OUTCOME) == jobs.TAKEN)
+    return show(taken, KEY, ["predicted_level", "predicted_fill_pct"], [], ["used_fallback", "action"])
 
 
 @query
@@ -872,4 +873,14 @@ def stream_balance(lk: Lake) -> DataFrame:
     out = replay(
         lk.clean, TIME, lambda s: jobs.running_balance(s, delay="2 days"), closing_row=True, shuffled_us=_SHUFFLED_US
     )
-    return show(out, KEY, ["level", "overflow_litres"])
+    return show(out.filter(F.col(jobs.OUTCOME) == jobs.TAKEN), KEY, ["level", "overflow_litres"])
+
+
+@query
+def stream_missed_readings(lk: Lake) -> DataFrame:
+    """Every third reading is delivered once more when the stream has passed it: late, or the tank's last one again."""
+    again = (F.dayofmonth(TIME) + F.hour(TIME)) % 3 == 0
+    first, then = (F.lit(f"{year}-01-01").cast("timestamp_ntz").alias("sent") for year in (2000, 2001))
+    sent = lk.clean.select("*", first).unionByName(lk.clean.filter(again).select("*", then))
+    out = replay(sent, "sent", lambda s: jobs.running_balance(s, delay="0 seconds"), chunks=2)
+    return show(jobs.missed_readings(out), [TANK], [], ["late", "repeated"])

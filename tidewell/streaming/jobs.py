@@ -1,29 +1,30 @@
 """Structured Streaming forms of the live path: ingest, de-duplication, hourly rollup, decisions, balance.
 
-Event time is a zoned TIMESTAMP inside a stream (watermarks accept nothing else) and naive outside.
+Event time is a zoned TIMESTAMP inside a stream (watermarks accept nothing else) and naive outside. Live decisions and
+the balance keep state in ``transformWithState``, which needs the RocksDB state store (``streaming.replay`` sets it).
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from tidewell.contract import (
     CAPACITY, CLEANING, CONTROL, COERCED, DEFAULT_CAPACITY, FEATURES, INFLOW, LEVEL, RAIN, TANK, TEMPERATURE, TIME, TS_US, USAGE,
     CleaningRules, ControlRules,
 )
-from tidewell.functions.scalars import clip, flag, micros
+from tidewell.functions.scalars import clip, flag, from_micros, micros, no_nan
+from tidewell.functions.scan import clamp_levels
 from tidewell.operators.baselines import physics_prediction
 from tidewell.operators.clean import clip_nonnegative, level_out_of_range, zscore_mask
 from tidewell.operators.features import LAG_SOURCES, LAGS, RAIN_WINDOWS, USAGE_WINDOWS
 from tidewell.operators.recommend import Predictor
-from tidewell.operators.rules import decide_action, decision_reason, flat_run_in_window
+from tidewell.operators.rules import decide_action, decision_reason
 from tidewell.sources.readings import type_readings
 
 EVENT_TIME = "event_time"
@@ -93,151 +94,201 @@ def hourly_rollup(events: DataFrame, delay: str) -> DataFrame:
 
 
 # --- readings in event order --------------------------------------------------------------------
-def _held(columns: list[str]) -> list[T.StructField]:
-    """State of readings that wait for the watermark: their times and one array per column."""
-    return [T.StructField("held_ts", T.ArrayType(T.LongType()))] + [
-        T.StructField(f"held_{c}", T.ArrayType(T.DoubleType())) for c in columns
-    ]
+#: What became of a reading: it was taken in its turn, it came after its turn, or its time had come before.
+TAKEN, LATE, REPEATED = "taken", "late", "repeated"
+OUTCOME = "outcome"
 
 
-def _by_tank(
-    rows: DataFrame, delay: str | None, step: Callable, out: T.StructType, state: T.StructType
-) -> DataFrame:
-    """Apply ``step`` per tank to rows with ``TS_US``; with ``delay`` it is also called when held readings fall due.
+class _InOrder(StatefulProcessor):
+    """Hands the readings of each tank to ``take`` in event order; sub-classes keep what they need from reading to reading.
+
+    With a delay, readings wait in a list state, which a delivery only appends to, and a timer of the tank's earliest
+    waiting reading drains what the watermark has passed: also for tanks that send nothing any more. Without one the
+    readings of a micro-batch are due at once. ``last`` is the tank's own watermark, the newest time that was taken.
+    """
 
-    Spark drops rows behind the watermark without a word before ``step`` could count them. So the event time travels
-    in rows of its own, which have no ``TS_US``; the readings have no event time and all arrive.
+    def __init__(self, tank: str, columns: list[str], made: list[str], waits: bool) -> None:
+        self.tank, self.columns, self.made, self.waits = tank, columns, made, waits
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        fields = ", ".join(f"{c} double" for c in self.columns)
+        self.held = handle.getListState("held", f"ts long, {fields}")
+        self.last = handle.getValueState("last", "ts long")
+
+    def close(self) -> None:
+        pass
+
+    def take(self, times: np.ndarray, values: np.ndarray) -> dict[str, np.ndarray]:
+        """The ``made`` columns of readings that are newer than every reading taken before."""
+        raise NotImplementedError
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        frames = list(rows)
+        times = np.concatenate([f[TS_US].to_numpy(np.int64) for f in frames])
+        values = np.concatenate([f[self.columns].to_numpy(float) for f in frames])
+        known = self.last.get()
+        if known is not None:
+            behind = times <= known[0]
+            if behind.any():
+                yield self._missed(key, times[behind], np.where(times[behind] == known[0], REPEATED, LATE))
+                times, values = times[~behind], values[~behind]
+        if not len(times):
+            return
+        if self.waits:
+            self.held.appendList([(t, *v) for t, v in zip(times.tolist(), values.tolist(), strict=True)])
+            self._wake(int(times.min()))
+        else:
+            yield from self._drain(key, times, values)
+
+    def handleExpiredTimer(
+        self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo
+    ) -> Iterator[pd.DataFrame]:
+        waiting = list(self.held.get()) if self.held.exists() else []
+        if not waiting:
+            return
+        times = np.array([w[0] for w in waiting], np.int64)
+        values = np.array([w[1:] for w in waiting], float)  # missing values as NaN
+        due = times <= timerValues.getCurrentWatermarkInMs() * 1000
+        if due.all():
+            self.held.clear()
+        else:
+            self._wake(int(times[~due].min()))
+            if due.any():
+                self.held.put([w for w, gone in zip(waiting, due.tolist(), strict=True) if not gone])
+        if due.any():
+            yield from self._drain(key, times[due], values[due])
+
+    def _wake(self, earliest: int) -> None:
+        self.handle.registerTimer(earliest // 1000 + 1)
+
+    def _drain(self, key: tuple, times: np.ndarray, values: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Of readings with one time the first to arrive is taken."""
+        order = np.argsort(times, kind="stable")
+        times, values = times[order], values[order]
+        again = np.concatenate([[False], times[1:] == times[:-1]])
+        if again.any():
+            yield self._missed(key, times[again], np.full(int(again.sum()), REPEATED))
+            times, values = times[~again], values[~again]
+        made = self.take(times, values)
+        self.last.update((int(times[-1]),))
+        yield pd.DataFrame({self.tank: key[0], TS_US: times, OUTCOME: TAKEN} | {c: made[c] for c in self.made})
+
+    def _missed(self, key: tuple, times: np.ndarray, outcome: np.ndarray) -> pd.DataFrame:
+        empty = dict.fromkeys(self.made)
+        return pd.DataFrame({self.tank: key[0], TS_US: times, OUTCOME: outcome} | empty)
+
+
+def _by_tank(rows: DataFrame, delay: str | None, processor: _InOrder, made: list[T.StructField]) -> DataFrame:
+    """Apply a processor per tank. The result has TIME, OUTCOME and the made columns.
+
+    Spark drops rows behind the watermark where it sees their event time, before anything could count them. So the
+    watermark is taken below and the operator gets the time as a plain number.
     """
     rows = rows.filter(F.col(TS_US).isNotNull())
-    timeout = GroupStateTimeout.NoTimeout
     if delay is not None:
-        at = F.col(TIME).cast("timestamp")
-        rows = rows.withColumn(EVENT_TIME, F.explode(F.array(F.lit(None).cast("timestamp"), at)))
-        rows = rows.withColumn(TS_US, F.when(F.col(EVENT_TIME).isNull(), F.col(TS_US)))
-        rows = rows.withWatermark(EVENT_TIME, delay)
-        timeout = GroupStateTimeout.EventTimeTimeout
-    return rows.groupBy(TANK).applyInPandasWithState(step, out, state, "append", timeout)
-
+        rows = rows.withColumn(EVENT_TIME, F.col(TIME).cast("timestamp")).withWatermark(EVENT_TIME, delay)
+    out = T.StructType([
+        rows.schema[TANK], T.StructField(TS_US, T.LongType()), T.StructField(OUTCOME, T.StringType()), *made
+    ])
+    found = rows.select(TANK, TS_US, *processor.columns).groupBy(TANK).transformWithStateInPandas(
+        processor, out, "append", "none" if delay is None else "eventTime"
+    )
+    return found.withColumn(TIME, from_micros(F.col(TS_US))).drop(TS_US)
 
-def _due(
-    batches: Iterator[pd.DataFrame], state: GroupState, held: list[list], columns: list[str], last: int | None, waits: bool
-) -> tuple[list[tuple], list[list], int]:
-    """(time, *columns) of readings that are due, in event order; what is held on; how many came too late.
 
-    Too late is a reading that is not newer than the last one handed out, or has the time of one that arrived before.
-    """
-    times = {t: values for t, *values in zip(*held, strict=True)}
-    late = 0
-    for batch in batches:
-        batch = batch[batch[TS_US].notna()]
-        for stamp, *values in zip(batch[TS_US], *(batch[c] for c in columns), strict=True):
-            stamp = int(stamp)
-            if stamp in times or (last is not None and stamp <= last):
-                late += 1
-            else:
-                times[stamp] = [float(v) if v is not None else float("nan") for v in values]
-    until = state.getCurrentWatermarkMs() * 1000 if waits else None
-    ordered = sorted(times)
-    ready = ordered if until is None else ordered[: bisect_right(ordered, until)]
-    rest = ordered[len(ready) :]
-    kept = [rest, *([times[t][k] for t in rest] for k in range(len(columns)))]
-    return [(t, *times[t]) for t in ready], kept, late
-
-
-def _wait(state: GroupState, held: list[list]) -> None:
-    if held[0]:
-        state.setTimeoutTimestamp(held[0][0] // 1000 + 1)
+def missed_readings(table: DataFrame) -> DataFrame:
+    """(tank, late, repeated): readings of a job's output table that came too late or again; tanks without any are left out."""
+    return table.filter(F.col(OUTCOME) != TAKEN).groupBy(TANK).agg(
+        *(F.count_if(F.col(OUTCOME) == o).alias(o) for o in (LATE, REPEATED))
+    )
 
 
 # --- live decisions -----------------------------------------------------------------------------
 _SIGNALS = [RAIN, INFLOW, USAGE, LEVEL, TEMPERATURE]
-_STATE = T.StructType(
-    [T.StructField("late", T.LongType()), T.StructField("ts", T.ArrayType(T.LongType()))]
-    + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in _SIGNALS]
-    + _held([CAPACITY, *_SIGNALS])
-)
 _DERIVED = [f for f in FEATURES if f not in _SIGNALS and f not in ("hour", "day_of_week", "is_weekend")]
-_LIVE = T.StructType(
-    [
-        T.StructField(TIME, T.TimestampNTZType()),
-        T.StructField("history_rows", T.LongType()), T.StructField("late_dropped", T.LongType()),
-        T.StructField(CAPACITY, T.DoubleType()),
-        T.StructField("recent_levels", T.ArrayType(T.DoubleType())),
-        T.StructField("recent_inflows", T.ArrayType(T.DoubleType())),
-    ]
-    + [T.StructField(c, T.DoubleType()) for c in _SIGNALS + _DERIVED]
-)
 
 
-def _keyed(stream: DataFrame, fields: T.StructType) -> T.StructType:
-    """The fields behind the stream's own tank key."""
-    return T.StructType([stream.schema[TANK], *fields.fields])
+def _last_rows(values: np.ndarray, n: int, rows: int) -> np.ndarray:
+    """(rows, n): each of the last ``rows`` values and the ones before it; NaN before the first."""
+    padded = np.concatenate([np.full(max(0, n + rows - 1 - len(values)), np.nan), values])
+    return np.lib.stride_tricks.sliding_window_view(padded[len(padded) - (n + rows - 1) :], n)
+
 
+def look_back(past: np.ndarray, now: np.ndarray, cap: np.ndarray, rules: ControlRules) -> dict[str, np.ndarray]:
+    """Features of the readings ``now``, and whether the ones before each make its sensor suspect.
 
-def _live_row(past: dict[str, deque], row: dict) -> dict:
-    """Look-back features of one reading from the tank's remembered rows; missing values are skipped."""
-    out = dict(row)
-    series = {c: np.array([*past[c], row[c]], dtype=float) for c in _SIGNALS}
+    Columns of ``past`` and ``now`` are the signals; ``past`` are the tank's readings right before. Missing values are
+    skipped. A sensor is suspect without any reading before, if one of the last few lacks a level, is out of range
+    or has negative inflow, or if enough levels in a row are the same.
+    """
+    n = len(now)
+    both = {c: np.concatenate([past[:, k], now[:, k]]) for k, c in enumerate(_SIGNALS)}
+    out = {c: now[:, k] for k, c in enumerate(_SIGNALS)} | {CAPACITY: cap}
     for prefix, column in LAG_SOURCES.items():
         for k in LAGS:
-            out[f"{prefix}_lag_{k}"] = series[column][-1 - k] if len(series[column]) > k else None
-    for n in RAIN_WINDOWS:
-        out[f"rain_roll_{n}"] = float(np.nansum(series[RAIN][-n:]))
-    for n in USAGE_WINDOWS:
-        known = series[USAGE][-n:]
-        known = known[~np.isnan(known)]
-        out[f"usage_roll_mean_{n}"] = float(known.mean()) if len(known) else None
-    level, cap = row[LEVEL], row[CAPACITY]
-    out["fill_pct"] = max(level / cap * 100.0, 0.0)
-    out["net_flow_litres"] = row[INFLOW] - row[USAGE]
+            out[f"{prefix}_lag_{k}"] = _last_rows(both[column], k + 1, n)[:, 0]
+    for width in RAIN_WINDOWS:
+        out[f"rain_roll_{width}"] = np.nansum(_last_rows(both[RAIN], width, n), axis=1)
+    for width in USAGE_WINDOWS:
+        seen = _last_rows(both[USAGE], width, n)
+        known = np.count_nonzero(~np.isnan(seen), axis=1)
+        out[f"usage_roll_mean_{width}"] = np.where(known > 0, np.nansum(seen, axis=1) / np.maximum(known, 1), np.nan)
+    level = out[LEVEL]
+    out["fill_pct"] = np.maximum(level / cap * 100.0, 0.0)
+    out["net_flow_litres"] = out[INFLOW] - out[USAGE]
     out["headroom_litres"] = cap - level
-    out["delta_lag_1"] = None if out["level_lag_1"] is None else level - out["level_lag_1"]
+    out["delta_lag_1"] = level - out["level_lag_1"]
+
+    window, flat = max(rules.flatline_hours + 2, 8), rules.flatline_hours
+    rank = len(past) + np.arange(n)  # how many readings there are before
+    before = _last_rows(both[LEVEL], window + 1, n)[:, :-1]
+    there = np.arange(window, 0, -1) <= rank[:, None]
+    wrong = there & (np.isnan(before) | (before < 0) | (before > cap[:, None]))
+    negative = _last_rows(both[INFLOW], window + 1, n)[:, :-1] < 0
+    same = before[:, 1:] == before[:, :-1]
+    runs = np.lib.stride_tricks.sliding_window_view(same, flat - 1, axis=1).all(axis=2)
+    out["fault"] = (rank == 0) | wrong.any(axis=1) | negative.any(axis=1) | runs.any(axis=1)
     return out
 
 
+class _LiveRows(_InOrder):
+    """Keeps as many of a tank's last readings as the features look back to."""
+
+    def __init__(self, tank: str, waits: bool, rules: ControlRules) -> None:
+        super().__init__(tank, [CAPACITY, *_SIGNALS], [CAPACITY, *_SIGNALS, *_DERIVED, "fault"], waits)
+        self.rules = rules
+        self.keep = max(*LAGS, *RAIN_WINDOWS, *USAGE_WINDOWS, rules.flatline_hours + 2, 8)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.recent = handle.getListState("recent", ", ".join(f"{c} double" for c in _SIGNALS))
+
+    def take(self, times: np.ndarray, values: np.ndarray) -> dict[str, np.ndarray]:
+        past = list(self.recent.get()) if self.recent.exists() else []
+        past = np.array(past, float).reshape(len(past), len(_SIGNALS))
+        cap, now = values[:, 0], values[:, 1:]
+        made = look_back(past, now, cap, self.rules)
+        kept = np.concatenate([past, now])[-self.keep :]
+        self.recent.put([tuple(r) for r in kept.tolist()])
+        return made
+
+
 def live_rows(stream: DataFrame, rules: ControlRules = CONTROL, delay: str | None = None) -> DataFrame:
-    """Feature row per cleaned reading, from a state of the tank's last 48 rows.
+    """Feature row per cleaned reading, from a state of the tank's last readings.
 
     With ``delay`` readings wait in the state until the watermark has passed them and come out in event-time order,
-    however deliveries are cut. Without it those of a micro-batch come out at once, in order. A reading not newer than
-    the last one that came out is late: it is dropped and counted.
+    however deliveries are cut. Without it those of a micro-batch come out at once, in order. ``outcome`` tells the
+    readings that were taken from those that were not newer than the last one taken (``late``) or had the time of
+    one that came before (``repeated``); those have nothing but their tank and time.
     """
-    keep, window = rules.history_rows, max(rules.flatline_hours + 2, 8)
-    live = _keyed(stream, _LIVE)
-    carried = [CAPACITY, *_SIGNALS]
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            late, times, *columns = state.get
-            columns, held = columns[: len(_SIGNALS)], columns[len(_SIGNALS) :]
-            past = {c: deque(v, keep) for c, v in zip(_SIGNALS, columns)}
-            times = deque(times, keep)
-        else:
-            late, times, past = 0, deque(maxlen=keep), {c: deque(maxlen=keep) for c in _SIGNALS}
-            held = [[] for _ in range(1 + len(carried))]
-        due, held, missed = _due(batches, state, held, carried, times[-1] if times else None, delay is not None)
-        late += missed
-        out = []
-        for stamp, *values in due:
-            row = {TANK: key[0], TIME: pd.Timestamp(stamp, unit="us"), **dict(zip(carried, values))}
-            made = _live_row(past, row)
-            made |= {
-                "history_rows": len(times), "late_dropped": late,
-                "recent_levels": list(past[LEVEL])[-window:], "recent_inflows": list(past[INFLOW])[-window:],
-            }
-            out.append(made)
-            times.append(stamp)
-            for c in _SIGNALS:
-                past[c].append(row[c])
-        state.update((late, list(times), *[list(past[c]) for c in _SIGNALS], *held))
-        _wait(state, held)
-        if out:
-            yield pd.DataFrame(out)[live.names]
-
+    made = [T.StructField(c, T.DoubleType()) for c in [CAPACITY, *_SIGNALS, *_DERIVED]]
     wanted = stream.select(TANK, TIME, CAPACITY, *_SIGNALS, micros(F.col(TIME)).alias(TS_US))
-    rows = _by_tank(wanted, delay, step, live, _STATE)
+    rows = _by_tank(
+        wanted, delay, _LiveRows(TANK, delay is not None, rules), [*made, T.StructField("fault", T.BooleanType())]
+    )
     day = F.weekday(TIME)
-    return rows.withColumns(
+    return rows.withColumns({f.name: no_nan(F.col(f.name)) for f in made}).withColumns(
         {"hour": F.hour(TIME), "day_of_week": day, "is_weekend": (day >= 5).cast("int")}
     )
 
@@ -245,71 +296,55 @@ def live_rows(stream: DataFrame, rules: ControlRules = CONTROL, delay: str | Non
 def live_decisions(
     stream: DataFrame, predictor: Predictor, rules: ControlRules = CONTROL, delay: str | None = None
 ) -> DataFrame:
-    """Next-hour prediction and action per reading; ``delay`` as in ``live_rows``.
+    """Next-hour prediction and action per reading; ``delay`` and ``outcome`` as in ``live_rows``.
 
     The tank's previous readings are checked for a suspect sensor (empty history, out-of-range or frozen
     levels, negative inflow); then the water balance answers instead of the predictor.
     """
     rows = predictor(live_rows(stream, rules, delay))
-    levels, cap = F.col("recent_levels"), F.col(CAPACITY)
-    fault = (
-        (F.col("history_rows") == 0)
-        | F.exists(levels, lambda v: v.isNull() | F.isnan(v) | (v < 0) | (v > cap))
-        | (flat_run_in_window(levels) >= rules.flatline_hours)
-        | F.exists("recent_inflows", lambda v: v < 0)
-    )
+    taken, cap = F.col(OUTCOME) == TAKEN, F.col(CAPACITY)
     physics = physics_prediction(F.col(LEVEL), F.col(INFLOW), F.col("usage_roll_mean_24"), cap)
     predicted = F.when(F.col("used_fallback"), physics).otherwise(clip(F.col("model_level"), 0.0, cap))
     args = (F.col("predicted_fill_pct"), F.col("rain_roll_3"), F.col("rain_roll_24"))
     return (
-        rows.withColumn("used_fallback", fault)
-        .withColumn("predicted_level", predicted)
+        rows.withColumnRenamed("fault", "used_fallback")
+        .withColumn("predicted_level", F.when(taken, predicted))
         .withColumn("predicted_fill_pct", F.col("predicted_level") / cap * 100.0)
         .select(
-            TANK, TIME, "used_fallback", "predicted_level", "predicted_fill_pct",
-            decide_action(*args, rules).alias("action"), decision_reason(*args, rules).alias("reason"),
-            "late_dropped",
+            TANK, TIME, OUTCOME, "used_fallback", "predicted_level", "predicted_fill_pct",
+            F.when(taken, decide_action(*args, rules)).alias("action"),
+            F.when(taken, decision_reason(*args, rules)).alias("reason"),
         )
     )
 
 
 # --- running balance ----------------------------------------------------------------------------
-_FLOWS = [CAPACITY, LEVEL, "flow"]
-_BALANCE_STATE = T.StructType(
-    [T.StructField("level", T.DoubleType()), T.StructField("ts", T.LongType()), T.StructField("late", T.LongType())]
-    + _held(_FLOWS)
-)
-_BALANCE = T.StructType(
-    [
-        T.StructField(TIME, T.TimestampNTZType()),
-        T.StructField("level", T.DoubleType()), T.StructField("overflow_litres", T.DoubleType()),
-        T.StructField("late_dropped", T.LongType()),
-    ]
-)
+class _Balance(_InOrder):
+    """Keeps the tank's level."""
+
+    def __init__(self, tank: str, waits: bool) -> None:
+        super().__init__(tank, [CAPACITY, LEVEL, "flow"], ["level", "overflow_litres"], waits)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.level = handle.getValueState("level", "level double")
+
+    def take(self, times: np.ndarray, values: np.ndarray) -> dict[str, np.ndarray]:
+        cap, first, flow = values.T
+        known = self.level.get()
+        start = np.full(len(times), first[0] if known is None else known[0])
+        before, after = clamp_levels(flow, cap, np.zeros(len(times), bool), start)
+        self.level.update((float(after[-1]),))
+        return {"level": after, "overflow_litres": np.maximum(before + flow - cap, 0.0)}
 
 
 def running_balance(stream: DataFrame, delay: str | None = None) -> DataFrame:
     """Clamped balance carried from reading to reading; the tank's first recorded level starts it.
 
-    ``delay`` as in ``live_rows``. Late readings cannot be applied any more; they are dropped and counted.
+    ``delay`` and ``outcome`` as in ``live_rows``. Late readings cannot be applied any more.
     """
-    balance = _keyed(stream, _BALANCE)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        level, last, late, *held = state.get if state.exists else (None, None, 0, *([] for _ in range(1 + len(_FLOWS))))
-        due, held, missed = _due(batches, state, held, _FLOWS, last, delay is not None)
-        late += missed
-        out = []
-        for stamp, cap, first, flow in due:
-            wish = (first if level is None else level) + flow
-            level, last = min(cap, max(0.0, wish)), stamp
-            out.append((key[0], pd.Timestamp(stamp, unit="us"), level, max(wish - cap, 0.0), late))
-        state.update((level, last, late, *held))
-        _wait(state, held)
-        if out:
-            yield pd.DataFrame(out, columns=balance.names)
-
     wanted = stream.select(
         TANK, TIME, micros(F.col(TIME)).alias(TS_US), CAPACITY, LEVEL, (F.col(INFLOW) - F.col(USAGE)).alias("flow")
     )
-    return _by_tank(wanted, delay, step, balance, _BALANCE_STATE)
+    made = [T.StructField("level", T.DoubleType()), T.StructField("overflow_litres", T.DoubleType())]
+    return _by_tank(wanted, delay, _Balance(TANK, delay is not None), made)

@@ -3,14 +3,38 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewell.functions.scalars import micros
 from tidewell.plans.lake import staging_root
 
 
+#: Settings of the state store that jobs with keyed state need, for queries started by a user as well.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, with the log of changes as checkpoint; later ones as before."""
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def replay(
     df: DataFrame, time_column: str, job: Callable[[DataFrame], DataFrame], chunks: int = 3, closing_row: bool = False,
     shuffled_us: int = 0,
@@ -28,15 +52,16 @@ def replay(
     stream = job(_source(df, f"{root}/in"))
     for part in _deliveries(df, time_column, chunks, closing_row, shuffled_us):
         part.write.mode("append").parquet(f"{root}/in")
-        query = (
-            stream.writeStream.format("parquet")
-            .option("path", f"{root}/out")
-            .option("checkpointLocation", f"{root}/checkpoint")
-            .outputMode("append")
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
+        with state_store(spark):
+            query = (
+                stream.writeStream.format("parquet")
+                .option("path", f"{root}/out")
+                .option("checkpointLocation", f"{root}/checkpoint")
+                .outputMode("append")
+                .trigger(availableNow=True)
+                .start()
+            )
+            query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
