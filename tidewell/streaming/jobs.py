@@ -100,11 +100,12 @@ OUTCOME = "outcome"
 
 
 class _InOrder(StatefulProcessor):
-    """Hands the readings of each tank to ``take`` in event order; sub-classes keep what they need from reading to reading.
+    """Hands the readings of each tank to ``take`` in event order, with what sub-classes carry from reading to reading.
 
     With a delay, readings wait in a list state, which a delivery only appends to, and a timer of the tank's earliest
     waiting reading drains what the watermark has passed: also for tanks that send nothing any more. Without one the
-    readings of a micro-batch are due at once. ``last`` is the tank's own watermark, the newest time that was taken.
+    readings of a micro-batch are due at once. The carried value holds the newest time that was taken, the tank's own
+    watermark, and a bounded number of doubles.
     """
 
     def __init__(self, tank: str, columns: list[str], made: list[str], waits: bool) -> None:
@@ -112,29 +113,20 @@ class _InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        fields = ", ".join(f"{c} double" for c in self.columns)
-        self.held = handle.getListState("held", f"ts long, {fields}")
-        self.last = handle.getValueState("last", "ts long")
+        self.held = handle.getListState("held", ", ".join(["ts long", *(f"{c} double" for c in self.columns)]))
+        self.carried = handle.getValueState("carried", "ts long, past array<double>")
 
     def close(self) -> None:
         pass
 
-    def take(self, times: np.ndarray, values: np.ndarray) -> dict[str, np.ndarray]:
-        """The ``made`` columns of readings that are newer than every reading taken before."""
+    def take(self, past: np.ndarray | None, values: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """The ``made`` columns of readings newer than all taken before, and what to carry on; ``past`` is None at first."""
         raise NotImplementedError
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         frames = list(rows)
         times = np.concatenate([f[TS_US].to_numpy(np.int64) for f in frames])
         values = np.concatenate([f[self.columns].to_numpy(float) for f in frames])
-        known = self.last.get()
-        if known is not None:
-            behind = times <= known[0]
-            if behind.any():
-                yield self._missed(key, times[behind], np.where(times[behind] == known[0], REPEATED, LATE))
-                times, values = times[~behind], values[~behind]
-        if not len(times):
-            return
         if self.waits:
             self.held.appendList([(t, *v) for t, v in zip(times.tolist(), values.tolist(), strict=True)])
             self._wake(int(times.min()))
@@ -144,7 +136,7 @@ class _InOrder(StatefulProcessor):
     def handleExpiredTimer(
         self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo
     ) -> Iterator[pd.DataFrame]:
-        waiting = list(self.held.get()) if self.held.exists() else []
+        waiting = list(self.held.get())
         if not waiting:
             return
         times = np.array([w[0] for w in waiting], np.int64)
@@ -163,38 +155,44 @@ class _InOrder(StatefulProcessor):
         self.handle.registerTimer(earliest // 1000 + 1)
 
     def _drain(self, key: tuple, times: np.ndarray, values: np.ndarray) -> Iterator[pd.DataFrame]:
-        """Of readings with one time the first to arrive is taken."""
+        """Take readings in order; of those with one time the first to arrive."""
         order = np.argsort(times, kind="stable")
         times, values = times[order], values[order]
-        again = np.concatenate([[False], times[1:] == times[:-1]])
-        if again.any():
-            yield self._missed(key, times[again], np.full(int(again.sum()), REPEATED))
-            times, values = times[~again], values[~again]
-        made = self.take(times, values)
-        self.last.update((int(times[-1]),))
-        yield pd.DataFrame({self.tank: key[0], TS_US: times, OUTCOME: TAKEN} | {c: made[c] for c in self.made})
-
-    def _missed(self, key: tuple, times: np.ndarray, outcome: np.ndarray) -> pd.DataFrame:
-        empty = dict.fromkeys(self.made)
-        return pd.DataFrame({self.tank: key[0], TS_US: times, OUTCOME: outcome} | empty)
-
-
-def _by_tank(rows: DataFrame, delay: str | None, processor: _InOrder, made: list[T.StructField]) -> DataFrame:
-    """Apply a processor per tank. The result has TIME, OUTCOME and the made columns.
+        carried = self.carried.get()
+        last, past = (None, None) if carried is None else (carried[0], np.array(carried[1], float))
+        outcome = np.full(len(times), TAKEN, dtype=object)
+        outcome[1:][times[1:] == times[:-1]] = REPEATED
+        if last is not None:
+            outcome[times == last], outcome[times < last] = REPEATED, LATE
+        taken = outcome == TAKEN
+        made = np.full((len(times), len(self.made)), np.nan)
+        if taken.any():
+            found, past = self.take(past, values[taken])
+            made[taken] = np.stack([found[c] for c in self.made], axis=1)
+            self.carried.update((int(times[taken][-1]), past.tolist()))
+        yield pd.DataFrame({self.tank: key[0], TS_US: times, OUTCOME: outcome, "made": list(made)})
+
+
+def _by_tank(rows: DataFrame, delay: str | None, processor: _InOrder) -> DataFrame:
+    """Apply a processor per tank. The result has the tank, TIME, OUTCOME and the made columns.
 
     Spark drops rows behind the watermark where it sees their event time, before anything could count them. So the
-    watermark is taken below and the operator gets the time as a plain number.
+    watermark is taken below and the operator gets the time as a plain number. Made values travel as one array a row.
     """
     rows = rows.filter(F.col(TS_US).isNotNull())
     if delay is not None:
         rows = rows.withColumn(EVENT_TIME, F.col(TIME).cast("timestamp")).withWatermark(EVENT_TIME, delay)
     out = T.StructType([
-        rows.schema[TANK], T.StructField(TS_US, T.LongType()), T.StructField(OUTCOME, T.StringType()), *made
+        rows.schema[TANK], T.StructField(TS_US, T.LongType()), T.StructField(OUTCOME, T.StringType()),
+        T.StructField("made", T.ArrayType(T.DoubleType())),
     ])
     found = rows.select(TANK, TS_US, *processor.columns).groupBy(TANK).transformWithStateInPandas(
         processor, out, "append", "none" if delay is None else "eventTime"
     )
-    return found.withColumn(TIME, from_micros(F.col(TS_US))).drop(TS_US)
+    return found.select(
+        TANK, from_micros(F.col(TS_US)).alias(TIME), OUTCOME,
+        *(no_nan(F.col("made")[k]).alias(c) for k, c in enumerate(processor.made)),
+    )
 
 
 def missed_readings(table: DataFrame) -> DataFrame:
@@ -253,25 +251,18 @@ def look_back(past: np.ndarray, now: np.ndarray, cap: np.ndarray, rules: Control
 
 
 class _LiveRows(_InOrder):
-    """Keeps as many of a tank's last readings as the features look back to."""
+    """Carries as many of a tank's last readings as the features look back to."""
 
     def __init__(self, tank: str, waits: bool, rules: ControlRules) -> None:
         super().__init__(tank, [CAPACITY, *_SIGNALS], [CAPACITY, *_SIGNALS, *_DERIVED, "fault"], waits)
         self.rules = rules
         self.keep = max(*LAGS, *RAIN_WINDOWS, *USAGE_WINDOWS, rules.flatline_hours + 2, 8)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.recent = handle.getListState("recent", ", ".join(f"{c} double" for c in _SIGNALS))
-
-    def take(self, times: np.ndarray, values: np.ndarray) -> dict[str, np.ndarray]:
-        past = list(self.recent.get()) if self.recent.exists() else []
-        past = np.array(past, float).reshape(len(past), len(_SIGNALS))
-        cap, now = values[:, 0], values[:, 1:]
-        made = look_back(past, now, cap, self.rules)
-        kept = np.concatenate([past, now])[-self.keep :]
-        self.recent.put([tuple(r) for r in kept.tolist()])
-        return made
+    def take(self, past: np.ndarray | None, values: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        past = np.empty((0, len(_SIGNALS))) if past is None else past.reshape(-1, len(_SIGNALS))
+        now = values[:, 1:]
+        made = look_back(past, now, values[:, 0], self.rules)
+        return made, np.concatenate([past, now])[-self.keep :].ravel()
 
 
 def live_rows(stream: DataFrame, rules: ControlRules = CONTROL, delay: str | None = None) -> DataFrame:
@@ -282,15 +273,12 @@ def live_rows(stream: DataFrame, rules: ControlRules = CONTROL, delay: str | Non
     readings that were taken from those that were not newer than the last one taken (``late``) or had the time of
     one that came before (``repeated``); those have nothing but their tank and time.
     """
-    made = [T.StructField(c, T.DoubleType()) for c in [CAPACITY, *_SIGNALS, *_DERIVED]]
     wanted = stream.select(TANK, TIME, CAPACITY, *_SIGNALS, micros(F.col(TIME)).alias(TS_US))
-    rows = _by_tank(
-        wanted, delay, _LiveRows(TANK, delay is not None, rules), [*made, T.StructField("fault", T.BooleanType())]
-    )
+    rows = _by_tank(wanted, delay, _LiveRows(TANK, delay is not None, rules))
     day = F.weekday(TIME)
-    return rows.withColumns({f.name: no_nan(F.col(f.name)) for f in made}).withColumns(
-        {"hour": F.hour(TIME), "day_of_week": day, "is_weekend": (day >= 5).cast("int")}
-    )
+    return rows.withColumns({
+        "fault": F.col("fault") == 1.0, "hour": F.hour(TIME), "day_of_week": day, "is_weekend": (day >= 5).cast("int"),
+    })
 
 
 def live_decisions(
@@ -320,22 +308,16 @@ def live_decisions(
 
 # --- running balance ----------------------------------------------------------------------------
 class _Balance(_InOrder):
-    """Keeps the tank's level."""
+    """Carries the tank's level."""
 
     def __init__(self, tank: str, waits: bool) -> None:
         super().__init__(tank, [CAPACITY, LEVEL, "flow"], ["level", "overflow_litres"], waits)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.level = handle.getValueState("level", "level double")
-
-    def take(self, times: np.ndarray, values: np.ndarray) -> dict[str, np.ndarray]:
+    def take(self, past: np.ndarray | None, values: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         cap, first, flow = values.T
-        known = self.level.get()
-        start = np.full(len(times), first[0] if known is None else known[0])
-        before, after = clamp_levels(flow, cap, np.zeros(len(times), bool), start)
-        self.level.update((float(after[-1]),))
-        return {"level": after, "overflow_litres": np.maximum(before + flow - cap, 0.0)}
+        start = np.full(len(flow), first[0] if past is None else past[0])
+        before, after = clamp_levels(flow, cap, np.zeros(len(flow), bool), start)
+        return {"level": after, "overflow_litres": np.maximum(before + flow - cap, 0.0)}, after[-1:]
 
 
 def running_balance(stream: DataFrame, delay: str | None = None) -> DataFrame:
@@ -346,5 +328,4 @@ def running_balance(stream: DataFrame, delay: str | None = None) -> DataFrame:
     wanted = stream.select(
         TANK, TIME, micros(F.col(TIME)).alias(TS_US), CAPACITY, LEVEL, (F.col(INFLOW) - F.col(USAGE)).alias("flow")
     )
-    made = [T.StructField("level", T.DoubleType()), T.StructField("overflow_litres", T.DoubleType())]
-    return _by_tank(wanted, delay, _Balance(TANK, delay is not None), made)
+    return _by_tank(wanted, delay, _Balance(TANK, delay is not None))
