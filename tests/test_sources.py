@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 import pytest
 from conftest import by_time, frame, hour
 
 from pyspark.sql import functions as F
 from tidewell.contract import REQUIRED_COLUMNS, DataValidationError
 from tidewell.functions.scalars import from_micros, micros, to_number, truncate_hour
-from tidewell.sources import readings
+from tidewell.sources import readings, times
 
 
 def test_missing_columns_are_listed_in_required_order(spark):
@@ -21,13 +23,71 @@ def test_missing_column_error_names_missing_required_and_found(healthy):
     assert "lack tank_level_litres;" in text and "rainfall_mm" in text.split("the frame has")[1]
 
 
-def test_times_in_other_layouts_are_read(spark):
-    texts = ["2024-04-09 13:00:00", "04/09/2024 13:00", "4/9/2024 13:00:00", "25.04.2024 13:00", "Apr 9 2024 13:00", "9 Apr 2024 13:00",
-             "2024/4/9 13:00", "04/09/2024", "soon", None]
-    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, timestamp string")
-    got = {r.i: str(r.timestamp) for r in readings.parse_timestamps(frame).collect()}
-    noon = "2024-04-09 13:00:00"
-    assert got == {**dict.fromkeys((0, 1, 2, 4, 5, 6), noon), 3: "2024-04-25 13:00:00", 7: "2024-04-09 00:00:00"}
+FILES = {
+    "year_first": ["2024-04-09 13:00:00", "2024/4/9 13:00", "2024-04-09T15:00:00+02:00", "2024-04-09T13:00:00Z", "2024-04-09 08:30:00.000-0430", "2024-13-09", "4/9/2024 13:00"],
+    "month_first": ["04/09/2024 13:00", "4/9/2024 1:00 PM", "4-9-2024, 1:00:00 p.m.", "12/25/2024", "12/25/2024 0:00", "13/04/2024 10:00", "soon"],
+    "day_first": ["09.04.2024 13:00", "9/4/2024 01:00 pm", "25/12/2024", "25.12.2024", "12/25/2024", None],
+    "month_name": ["Apr 9, 2024 13:00", "April 9 2024 1:00PM", "Foo 9 2024", "Apr 9, 2024 13:00 PM"],
+    "day_name": ["9 Apr 2024 13:00", "09-APR-2024 13:00:00", "31 Feb 2024"],
+    "compact": ["20240409T130000", "202404091300", "20240409", "20241309"],
+    "epoch": ["1712667600", "1712667600000", "1712667600000000", "1712667600.25", "17126676000"],
+    "none": ["x", "yesterday", None],
+}
+NOON, NIGHT, XMAS = datetime(2024, 4, 9, 13), datetime(2024, 4, 9), datetime(2024, 12, 25)
+READ = {
+    "year_first": [NOON] * 5 + [None] * 2, "month_first": [NOON] * 3 + [XMAS, XMAS, None, None], "day_first": [NOON, NOON, XMAS, XMAS, None, None],
+    "month_name": [NOON, NOON, None, None], "day_name": [NOON, NOON, None], "compact": [NOON, NOON, NIGHT, None],
+    "epoch": [NOON] * 3 + [NOON + timedelta(milliseconds=250), None], "none": [None] * 3,
+}
+
+
+@pytest.fixture(params=["UTC", "Europe/Berlin"])
+def zone(spark, request):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_every_file_is_read_in_one_layout(spark, zone):
+    data = [(f, i, t) for f, texts in FILES.items() for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(data, "source_file string, i int, timestamp string").repartition(3)
+    out = {(r.source_file, r.i): r.timestamp for r in times.with_times(frame).collect()}
+    assert out == {(f, i): t for f, wanted in READ.items() for i, t in enumerate(wanted)}
+    chosen = {r.source_file: r.layout for r in times.settle(times.vote(frame)).collect()}
+    assert chosen == {f: None if f == "none" else f for f in FILES}
+    for f, texts in FILES.items():  # a file alone is read as it is among others
+        alone = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, timestamp string")
+        assert [r.timestamp for r in times.with_times(alone).orderBy("i").collect()] == READ[f]
+    assert readings.parse_timestamps(frame).count() == sum(t is not None for wanted in READ.values() for t in wanted)
+
+
+def test_unclear_layouts_are_refused_unless_told(spark):
+    frame = spark.createDataFrame([("4/9/2024 13:00",), ("5/9/2024",), ("x",)], "timestamp string")
+    with pytest.raises(DataValidationError, match="month_first or day_first"):
+        times.with_times(frame)
+    read = lambda **told: [r[0] and (r[0].month, r[0].day) for r in times.with_times(frame, **told).collect()]
+    assert read(prefer="month_first") == [(4, 9), (5, 9), None] and read(prefer="day_first") == [(9, 4), (9, 5), None]
+    assert read(layout="day_first") == [(9, 4), (9, 5), None]
+    clear = frame.union(spark.createDataFrame([("13/9/2024",)], frame.schema))
+    assert [r[0] and r[0].month for r in times.with_times(clear, prefer="month_first").collect()] == [9, 9, None, 9]
+    assert times.with_times(frame.limit(0)).count() == 0
+
+
+def test_hours_that_a_session_zone_skips_are_kept(spark, zone):
+    frame = spark.createDataFrame([("3/31/2024 2:30",), ("3/31/2024 3:30",)], "timestamp string")
+    assert [r[0].hour for r in times.with_times(frame).collect()] == [2, 3]
+    typed = spark.range(1).select(F.timestamp_seconds(F.lit(1711852200)).alias("timestamp"))
+    assert times.with_times(typed).first()[0] == datetime(2024, 3, 31, 2, 30)
+
+
+def test_files_of_a_folder_may_differ(spark, tmp_path):
+    head = "timestamp,rainfall_mm,inflow_litres,usage_litres,tank_level_litres\n"
+    for name, texts in (("a", ["13/04/2024 10:00", "12/04/2024 10:00"]), ("b", ["4/13/2024 11:00 AM", "4/12/2024 11:00 AM"])):
+        (tmp_path / f"{name}.csv").write_text(head + "".join(f'"{t}",0,1,2,3\n' for t in texts))
+    staged = readings.stage_readings(readings.load_readings(spark, str(tmp_path)))
+    assert sorted(r.timestamp for r in staged.collect()) == [datetime(2024, 4, d, h) for d in (12, 13) for h in (10, 11)]
+    assert times.SOURCE not in staged.columns
 
 
 def test_optional_columns_get_defaults(healthy):

@@ -17,6 +17,12 @@ KEY = 'tank_id, "timestamp"'
 W = 'PARTITION BY tank_id ORDER BY "timestamp"'
 
 
+FILE_OF_EVENT = (
+    "CASE event_id % 6 WHEN 0 THEN 'iso' WHEN 1 THEN 'zoned' WHEN 2 THEN 'month' WHEN 3 THEN 'day' WHEN 4 THEN 'name' ELSE 'epoch' END "
+    "AS source_file"
+)
+
+
 def settled(expr: str, name: str | None = None) -> str:
     return f"round(CAST({expr} AS DOUBLE) + {NUDGE}, 6) AS {name or expr}"
 
@@ -513,6 +519,15 @@ def oracle_sql() -> dict[str, str]:
         ),
         # cleaning
         "parse_timestamps": f"SELECT tank_id, \"timestamp\", ingest_seq FROM ({TEXT}) WHERE \"timestamp\" IS NOT NULL",
+        "parse_timestamps_mixed": (
+            f"SELECT event_id, {FILE_OF_EVENT}, CASE WHEN event_id % 41 <> 7 THEN date_trunc('second', ts) END AS \"timestamp\" FROM events"
+        ),
+        # the day-first file has days above 12 and so is certain; a word is a cell that nothing reads
+        "time_layouts": (
+            "SELECT source_file, count(*) AS cells, count(*) FILTER (event_id % 41 <> 7) AS reads, CASE source_file WHEN 'iso' THEN 'year_first' "
+            "WHEN 'zoned' THEN 'year_first' WHEN 'month' THEN 'month_first' WHEN 'day' THEN 'day_first' WHEN 'name' THEN 'month_name' ELSE 'epoch' END AS layout "
+            f"FROM (SELECT event_id, {FILE_OF_EVENT} FROM events) GROUP BY source_file"
+        ),
         "sort_by_time": sql(f"SELECT {KEY}, {d('tank_level_litres')} {tele}", "telemetry"),
         "dedupe_keep_first": (
             f"SELECT {KEY}, {d(*MEASURES)}, ingest_seq FROM ({EVENT_READINGS}) "

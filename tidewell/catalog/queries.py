@@ -19,7 +19,7 @@ from tidewell.operators import (
 )
 from tidewell.plans import flow
 from tidewell.plans.lake import stage_table, staging_root
-from tidewell.sources import events, readings
+from tidewell.sources import events, readings, times
 from tidewell.streaming import jobs
 from tidewell.streaming.replay import replay
 
@@ -131,6 +131,20 @@ def parse_timestamps(lk: Lake) -> DataFrame:
     return readings.parse_timestamps(events.text_readings(lk.spark, lk.sf_dir)).select(TANK, TIME, "ingest_seq")
 
 
+@query
+def parse_timestamps_mixed(lk: Lake) -> DataFrame:
+    """Event times as six files would write them, one in a zone of its own; each file is read in its layout."""
+    return times.with_times(events.mixed_times(lk.spark, lk.sf_dir), prefer="month_first").select("event_id", times.SOURCE, TIME)
+
+
+@query
+def time_layouts(lk: Lake) -> DataFrame:
+    """The vote on those files: how many cells each layout chosen has read."""
+    voted = times.vote(events.mixed_times(lk.spark, lk.sf_dir))
+    settled = times.settle(voted, prefer="month_first")
+    return voted.select(times.SOURCE, "cells", "reads").join(settled, times.SOURCE)
+
+
 @query
 def sort_by_time(lk: Lake) -> DataFrame:
     return show(lk.raw.orderBy(TANK, TIME), KEY, [LEVEL])

@@ -35,20 +35,6 @@ def to_number(c: Column, dtype: str) -> Column:
     return no_nan(c)
 
 
-#: Layouts tried after ISO, in this order: month first, then day first, as spreadsheets write them.
-TIME_LAYOUTS = [
-    *(f"{a}{sep}{b}{sep}yyyy[ H:mm[:ss]]" for sep in "/.-" for a, b in (("M", "d"), ("d", "M"))),
-    "yyyy/M/d[ H:mm[:ss]]", "MMM d yyyy[ H:mm[:ss]]", "d MMM yyyy[ H:mm[:ss]]",
-]
-
-
-def to_time(c: Column, layouts: list[str] | None = None) -> Column:
-    """Naive timestamp from ISO text or one of ``layouts``, NULL when unparseable."""
-    text = F.trim(c.cast("string"))
-    other = [F.try_to_timestamp(text, F.lit(x)).cast("timestamp_ntz") for x in (TIME_LAYOUTS if layouts is None else layouts)]
-    return F.coalesce(c.try_cast("timestamp_ntz"), *other)
-
-
 def micros(c: Column) -> Column:
     """Microseconds since the epoch of a naive timestamp, independent of the session time zone."""
     day = F.unix_date(c.cast("date")).cast("bigint")

@@ -12,9 +12,10 @@ from tidewell.contract import (
     NUMERIC_COLUMNS, RAIN, SEGMENT_KEYS, TANK, TEMPERATURE, TIME, TS_US, USAGE, CleaningRules,
 )
 from tidewell.functions.quantiles import exact_quantiles
-from tidewell.functions.scalars import at_least, clip, finite, flag, to_time
+from tidewell.functions.scalars import at_least, clip, finite, flag
 from tidewell.operators.interpolate import time_interpolate
 from tidewell.plans.segments import along_tank, attach, has_long_tanks, in_segment, summarise, with_tank_values
+from tidewell.sources.times import with_times
 
 
 # --- physical limits ----------------------------------------------------------------------------
@@ -268,11 +269,11 @@ def clean_telemetry(
 
 
 # --- report -------------------------------------------------------------------------------------
-def ingest_counts(raw: DataFrame) -> DataFrame:
+def ingest_counts(raw: DataFrame, prefer: str | None = None) -> DataFrame:
     """Rows received and rows with an unreadable time, per tank."""
-    return raw.groupBy(TANK).agg(
+    return with_times(raw, prefer=prefer).groupBy(TANK).agg(
         F.count("*").alias("rows_raw"),
-        F.count_if(to_time(F.col(TIME)).isNull()).alias("bad_timestamps_dropped"),
+        F.count_if(F.col(TIME).isNull()).alias("bad_timestamps_dropped"),
     )
 
 

@@ -8,9 +8,10 @@ from tidewell.contract import (
     CAPACITY, CONTROL, FLAGS, INFLOW, LEVEL, NUMERIC_COLUMNS, RAIN, TANK, TIME, USAGE, ControlRules,
 )
 from tidewell.functions.quantiles import exact_quantiles
-from tidewell.functions.scalars import clip, display, micros, to_number, to_time
+from tidewell.functions.scalars import clip, display, micros, to_number
 from tidewell.operators.features import latest_rows
 from tidewell.operators.rules import decide_action, decision_reason
+from tidewell.sources.times import with_times
 
 
 def _long(df: DataFrame, keys: list[str], entries: dict[str, dict[str, Column]], label: str) -> DataFrame:
@@ -52,7 +53,7 @@ def raw_level_series(raw: DataFrame) -> DataFrame:
     """Recorded levels with a readable time, globally sorted by range partitioning."""
     dtype = dict(raw.dtypes)[LEVEL]
     return (
-        raw.select(TANK, to_time(F.col(TIME)).alias(TIME), to_number(F.col(LEVEL), dtype).alias(LEVEL))
+        with_times(raw).select(TANK, TIME, to_number(F.col(LEVEL), dtype).alias(LEVEL))
         .dropna(subset=[LEVEL, TIME])
         .orderBy(TANK, TIME)
     )
@@ -60,7 +61,7 @@ def raw_level_series(raw: DataFrame) -> DataFrame:
 
 def raw_vs_clean_join(raw: DataFrame, clean: DataFrame) -> DataFrame:
     """Recorded next to cleaned level; a duplicated raw time fans out."""
-    recorded = raw.select(TANK, to_time(F.col(TIME)).alias(TIME), F.col(LEVEL).alias("raw")).dropna()
+    recorded = with_times(raw).select(TANK, TIME, F.col(LEVEL).alias("raw")).dropna()
     return recorded.join(clean.select(TANK, TIME, F.col(LEVEL).alias("cleaned")), [TANK, TIME])
 
 

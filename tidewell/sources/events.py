@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidewell.contract import (
     CAPACITY, DEFAULT_CAPACITY, INFLOW, LEVEL, RAIN, SEQ, TANK, TEMPERATURE, TIME, USAGE,
 )
-from tidewell.functions.scalars import truncate_hour
+from tidewell.functions.scalars import micros, truncate_hour
+from tidewell.sources.times import SOURCE
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,3 +85,29 @@ def text_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == "purchase", words).otherwise(value).alias(USAGE),
         value.alias(LEVEL),
     )
+
+
+def mixed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, source_file, timestamp as text): whole seconds in a layout per file, with a word now and then."""
+    ts = F.col("ts")
+    ahead = ts + F.expr("interval 150 minutes")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    clock = lambda t: F.concat_ws(":", two(F.hour(t)), two(F.minute(t)), two(F.floor(F.extract(F.lit("SECOND"), t))))
+    dated = lambda t, mark, *parts: F.concat_ws(mark, *(p(t).cast("string") for p in parts))
+    twelve = F.concat(
+        ((F.hour(ts) + 11) % 12 + 1).cast("string"), F.lit(":"), F.substring(clock(ts), 4, 5), F.when(F.hour(ts) < 12, " AM").otherwise(" PM")
+    )
+    names = F.array(*map(F.lit, "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()))
+    files = {
+        "iso": F.concat_ws(" ", dated(ts, "-", F.year, F.month, F.day), clock(ts)),
+        "zoned": F.concat(dated(ahead, "-", F.year, F.month, F.day), F.lit("T"), clock(ahead), F.lit("+02:30")),
+        "month": F.concat_ws(" ", dated(ts, "/", F.month, F.day, F.year), twelve),
+        "day": F.concat_ws(" ", dated(ts, ".", F.day, F.month, F.year), clock(ts)),
+        "name": F.concat(F.element_at(names, F.month(ts)), F.lit(" "), F.day(ts), F.lit(", "), F.year(ts), F.lit(" "), clock(ts)),
+        "epoch": F.floor(micros(ts) / F.lit(1_000_000)).cast("string"),
+    }
+    file = F.element_at(F.array(*map(F.lit, files)), (F.col("event_id") % len(files)).cast("int") + 1)
+    text = F.coalesce(*(F.when(F.col("name") == n, t) for n, t in files.items()))
+    return read_events(spark, sf_dir).withColumn("name", file).select(
+        "event_id", F.col("name").alias(SOURCE), F.when(F.col("event_id") % 41 == 7, F.lit("n/k")).otherwise(text).alias(TIME)
+    )
