@@ -61,7 +61,7 @@ def _assembled(part: Column) -> Column:
 def _epoch(text: Column) -> Column:
     digits = F.length(F.regexp_extract(text, r"^(\d+)", 1))
     scale = F.when(digits == 10, 1_000_000).when(digits == 13, 1_000).otherwise(1)
-    return F.when(text.rlike(_EPOCH), from_micros((text.try_cast("decimal(20,6)") * scale).cast("bigint")))
+    return F.when(text.rlike(_EPOCH), from_micros((text.try_cast("decimal(26,6)") * scale).cast("bigint")))
 
 
 #: Every layout's reader: text to a naive timestamp, NULL where it does not fit.
@@ -115,7 +115,7 @@ def with_times(df: DataFrame, layout: str | None = None, prefer: str | None = No
         return df.withColumn(column, from_micros(F.unix_micros(column)))
     if kind == "date":
         return df.withColumn(column, F.col(column).cast("timestamp_ntz"))
-    text = F.trim(F.col(column).cast("decimal(20,6)" if kind in ("double", "float") else "string").cast("string"))
+    text = F.trim(F.col(column).cast("decimal(26,6)" if kind in ("double", "float") else "string").cast("string"))
     if layout is None and df.isStreaming:
         layout = "year_first"
     if layout is not None:
