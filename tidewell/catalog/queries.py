@@ -15,7 +15,7 @@ from tidewell.contract import (
 from tidewell.functions.quantiles import exact_quantiles
 from tidewell.functions.scalars import micros
 from tidewell.operators import (
-    balance, baselines, clean, features, interpolate, metrics, recommend, regressors, reports, rules, split,
+    balance, baselines, clean, features, interpolate, metrics, moments, recommend, regressors, reports, rules, split,
 )
 from tidewell.plans import flow
 from tidewell.plans.lake import stage_table, staging_root
@@ -476,15 +476,28 @@ def ridge(lk: Lake) -> DataFrame:
     return regressors.predict_level(regressors.ridge(lk.features), lk.features).select(*KEY, "model_level")
 
 
+def _folds(lk: Lake) -> tuple[DataFrame, list[tuple[int, int]], str]:
+    train = split.pooled_split(lk.features).filter(F.col("split") == "train")
+    return train, split.pooled_fold_bounds(train), TS_US
+
+
 @query
 def walk_forward_cv(lk: Lake) -> DataFrame:
-    parts = split.pooled_split(lk.features)
-    train = parts.filter(F.col("split") == "train")
-    bounds = split.pooled_fold_bounds(train)
-    errors = regressors.fold_errors(train, regressors.make_models()[regressors.RIDGE], bounds, TS_US)
+    errors = moments.ridge_fold_errors(*_folds(lk))
     return metrics.regression_metrics(errors, ["fold"]).select("fold", F.round("mae", 3).alias("mae"), "n")
 
 
+@query
+def cv_summary(lk: Lake) -> DataFrame:
+    """Mean and deviation over the folds of the model that won on the test window."""
+    return regressors.cv_summary(lk.trained.tables["cv"])
+
+
+@query
+def fold_normal_equations(lk: Lake) -> DataFrame:
+    return show(moments.normal_equations(*_folds(lk)), [], ["residual"], ["fold", "train_rows", "valid_rows"])
+
+
 @query
 def direct_vs_delta(lk: Lake) -> DataFrame:
     return lk.trained.tables["target_mode"]
