@@ -7,6 +7,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.llm import exact_dedup, html_paths, language, wu_manber
 
@@ -110,6 +111,85 @@ def test_articles_split_over_blocks_are_kept_whole(spark):
     assert all(got[i].removesuffix(" same on all") == want[i].removesuffix(" same on all") for i in pages)
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ('<div class="content has-sidebar"><p>The text of the page.</p></div>', "The text of the page."),
+    ('<div id=wrap class="no-sidebar"><p>The text of the page.</p></div>', "The text of the page."),
+    ('<div class="elementor-widget-container"><p>The text of the page.</p></div>', "The text of the page."),
+    ('<div class="post job-search-tips"><p>The text of the page.</p></div>', "The text of the page."),
+    ('<div><p>Up.</p><p class="share-price">It is 12.</p></div>', "Up. It is 12."),
+    ("<div>Hello<aside>ad</aside>World</div>", "Hello World"),
+    ("<div>one<form>f</form>two</div>", "one two"),
+    ("<div>on<script>f()</script>ly <b>bo</b>ld</div>", "only bold"),
+    ('<div><p title="un>Hello</p></div>', "Hello"),
+    ("<div><p data-x='it's ok'>Hello</p></div>", "Hello"),
+    ('<div><p title="a>b" data-y = \'c>d\' z=e">Hello</p></div>', "Hello"),
+    ("<div>a<!-->b<!---->c</3>d</>e<!x>f</div>", "abcdef"),
+    ('<div><p>The article has a few words.</p><div class="responses"><p>Well said.</p></div></div>', "The article has a few words."),
+    ('<form id="page-form"><div><h1>Title</h1><p>All pages of this site lie in a form.</p></div></form>',
+     "Title All pages of this site lie in a form."),
+    ('<div><h1>Title</h1><p>Short.</p></div><div id="comments"><article><p>' + "I like it very much. " * 40 + "</p></article></div>",
+     "Title Short."),
+    ('<div class="widget"><h1>Title</h1><p>The text.</p><div class="share-buttons">Share this</div></div>', "Title The text."),
+    ('<p>Text.</p><div class="related-posts"><article><a href=x>Another story with a long name</a></article></div>', "Text."),
+    ('<div role="navigation">Menu</div><div><p>Text.</p></div>', "Text."),
+    ("x < y and <b", "x < y and"),
+])
+def test_words_of_classes_are_evidence_and_tags_are_no_text(page, text):
+    assert html_paths.extract(page, html_paths.vote(page)[0]) == text
+
+
+def _templates():
+    """Pages of common templates: a frame around the article times the furniture around it."""
+    frames = {
+        "wordpress": '<div id="page" class="site has-sidebar"><div id="content" class="site-content"><main class="site-main">{}</main></div>{}</div>',
+        "elementor": '<div class="elementor-section"><div class="elementor-widget-wrap"><div class="elementor-widget-container">{}</div></div></div>{}',
+        "plain": "<div><div>{}</div></div>{}",
+        "genesis": '<div class="content-sidebar-wrap"><div class="post-1 hentry">{}</div>{}</div>',
+        "form": '<form action="/page.aspx"><div class="main">{}</div>{}</form>',
+        "widget": '<div class="widget">{}</div>{}',
+        "table": "<table><tr><td>{}</td><td>{}</td></tr></table>",
+    }
+    furniture = {
+        "none": "",
+        "sidebar": '<div class="sidebar"><h3>Archive</h3><ul><li><a href="/1">May</a></li><li><a href="/2">June</a></li></ul></div>',
+        "comments": '<div id="comments"><h3>2 comments</h3><p>Thanks for this.</p></div>',
+        "responses": '<section class="post-responses"><p>I see it another way.</p></section>',
+        "related": '<div class="related-posts"><a href="/3">More on pumps</a><a href="/4">More on tanks</a></div>',
+        "footer": '<footer>All rights reserved</footer><div class="cookie-banner">We use cookies</div>',
+    }
+    for frame in frames:
+        for around in furniture:
+            yield frame, around, frames[frame], furniture[around]
+
+
+@pytest.mark.parametrize(("frame", "around", "page", "rest"), list(_templates()), ids=lambda x: x if "<" not in x else "")
+def test_templates_give_their_article(frame, around, page, rest):
+    words = [f"Tank {k} was filled at {k % 24} o'clock, as every day." for k in range(9)]
+    article = "<h1>Report</h1>" + "".join(f'<p class="p{k}">{w}</p>' for k, w in enumerate(words))
+    html = f'<html><head><title>t</title></head><body class="right-sidebar"><nav>Home</nav>{page.format(article, rest)}</body></html>'
+    assert html_paths.extract(html, html_paths.vote(html)[0]) == " ".join(["Report", *words])
+
+
+def test_consensus_of_the_host_takes_marked_elements(spark):
+    long = "of the town to all who live in it. " * 5
+    rows = [(i, "http://n.example/", f"<div class=notices><p>Notice {i} {long}</p></div>") for i in range(8)]
+    rows += [(8, "http://n.example/", "<div class=lead><p>The office moves.</p></div><div class=notices><p>Closed.</p></div>")]
+    rows += [(9, None, None), (10, "http://e.example/", ""), (11, "http://o.example/", rows[8][2])]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("path", F.lit("x"))
+    got = {r.page_id: r.text for r in html_paths.extract_pages(pages).collect()}
+    assert got[8] == "The office moves. Closed." and got[9] == got[10] == "" and got[11] == "The office moves."
+    assert all(f"Notice {i} of the town" in got[i] for i in range(8))
+
+
+def test_pages_of_large_and_of_small_hosts_meet_their_paths(spark, monkeypatch):
+    rows = [(i, f"http://{'big' if i % 3 else i}.example/", f"<div><p>Page {i}.</p></div>") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    want = sorted(map(tuple, html_paths.extract_pages(pages).collect()))
+    monkeypatch.setattr(html_paths, "COPIED_BYTES", 0)
+    monkeypatch.setattr(html_paths, "LARGE_HOSTS", 3)
+    assert sorted(map(tuple, html_paths.extract_pages(pages).collect())) == want
+
+
 def test_deep_and_long_pages_end():
     assert html_paths.extract("<div>" * 3000 + "x" + "</div>" * 3000, None) == "x"
     assert len(html_paths.extract("<article>" + "<p>word word" * 50_000 + "</article>", None).split()) == 100_000

@@ -9,9 +9,16 @@ A page's whole container is the deepest one outside of which no text is left. A
 the text at each step, takes its place only where every piece of text it leaves out is the host's furniture: pieces that
 half of the host's pages or more leave out alike, with different main texts.
 
+Words of a class or id are evidence, not a veto. A class token counts where all its parts are words of boilerplate or of
+layout (``related-posts``; not ``has-sidebar``, ``share-price``), and an element so marked stays where it holds the page's
+prose: as much text outside links as all unmarked elements together if a heading or article is in it, else four times
+as much. Comments stay only around the page's main heading. An element on the host's winning path is taken, marked or
+not, where the page has no unmarked one there.
+
 Defined cases. Null, empty and textless pages: empty text. Pages without a host in the url vote under the empty host.
 Ties of votes: more text, then the path that sorts last. Repeated rows vote each and stay rows. Unclosed and misplaced
-tags are repaired as browsers do for blocks. Texts are read whole. Other columns are not looked at.
+tags are repaired as browsers do for blocks; a tag whose quotes never close ends at its first ``>``. What is left out
+separates its neighbours unless it is inline or a script. Texts are read whole. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -45,25 +52,50 @@ SIBLINGS = {
 SCOPES = frozenset("ul ol dl table tbody thead tfoot select article section div main body html td th".split())
 #: Elements that are never main text.
 BOILERPLATE_TAGS = frozenset(
-    "head nav header footer aside form script style noscript template svg math button select option input textarea "
+    "head nav header footer aside script style noscript template svg math button select option input textarea "
     "iframe object menu dialog title fieldset".split()
 )
-#: Words of a class, id or role that mark boilerplate.
+#: Roles that say the same of any element.
+BOILERPLATE_ROLES = frozenset(
+    "alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split()
+)
+#: Left-out elements that do not separate the text around them.
+SEAMLESS = INLINE | frozenset("script style noscript template".split())
+#: Words of a class or id that are evidence of boilerplate.
 BOILERPLATE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
-    "cookies copyright disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice "
-    "notices notification pagination pager popup promo promoted promotion related replies reply respond search share "
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie "
+    "cookies copyright footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice "
+    "notices notification pagination pager popup promo promoted promotion related search share "
     "sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+#: Words of a class or id that are evidence of what readers wrote.
+COMMENT_WORDS = frozenset(
+    "comment commentlist comments discussion disqus replies reply respond response responses".split()
+)
+#: Words that say where or how a part is laid out, not what it is.
+LAYOUT_WORDS = frozenset(
+    "area article articles bar block body bottom box btn button buttons card cards center col column container content "
+    "count desktop entry feed fixed floating form global group icon icons inner item items label layout left link links "
+    "list main media mobile module outer page panel post posts primary region right row secondary section site slot "
+    "sticky stories story strip text thread title top unit wrap wrapper".split()
+)
+#: A class token with one of these tells of the layout around a part, or that the part is missing.
+MODIFIERS = frozenset("has is no non not with without".split())
 #: A child with at least this share of its parent's text may take its place, if what it leaves out is furniture.
 SHARE = 0.8
+#: Paths of all hosts up to this size are copied to every task; beyond it only those of hosts with one page in
+#: ``LARGE_HOSTS`` or more, so of ``LARGE_HOSTS`` hosts at most.
+COPIED_BYTES, LARGE_HOSTS = 64 << 20, 1000
 
+# Attributes as the HTML tokenizer reads them: quotes matter after an equals sign only.
+_ATTRS = r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?>"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))?+)*+"""
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|</(?:>|[^A-Za-z>][^>]*+(?:>|\Z))"
+    rf"|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?:(?P<attrs>{_ATTRS})>|(?P<rough>[^>]*+)(?:>|\Z))",
     re.S,
 )
-_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+_ATTR = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
 _NAME = re.compile(r"[a-z]+|\d+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -74,12 +106,24 @@ class Node:
     path: str
     parent: Node | None
     boilerplate: bool
+    #: Marked by words only, so that ``boilerplate`` is a verdict on the page's text; 2 for comments.
+    suspect: int = 0
+    #: Characters inside links.
+    linked: int = 0
     #: Text pieces, child nodes and ``None`` for a break, in page order.
     content: list = field(default_factory=list)
 
 
-def _words(value: str) -> set[str]:
-    return set(_NAME.findall(_CAMEL.sub(" ", value).lower()))
+def suspicion(names: str) -> int:
+    """What the class tokens and ids of an element are evidence of: 0 nothing, 1 boilerplate, 2 comments."""
+    found = 0
+    for token in names.split():
+        parts = _NAME.findall(_CAMEL.sub(" ", token).lower())
+        if MODIFIERS.isdisjoint(parts) and all(
+            x in BOILERPLATE_WORDS or x in COMMENT_WORDS or x in LAYOUT_WORDS or len(x) < 3 or x.isdigit() for x in parts
+        ):
+            found = max(found, 2 * (not COMMENT_WORDS.isdisjoint(parts)), 1 * (not BOILERPLATE_WORDS.isdisjoint(parts)))
+    return found
 
 
 def _generalised(classes: str) -> str:
@@ -91,12 +135,15 @@ def _generalised(classes: str) -> str:
 def parse(page: str) -> Node:
     """A tree of the page's elements; inline elements are looked through."""
     root = node = Node("", "", None, False)
-    at = 0
+    at, in_link, suspects = 0, False, False
     while at < len(page):
         found = _TOKEN.search(page, at)
         end = found.start() if found else len(page)
         if end > at:
-            node.content.append(html.unescape(page[at:end]))
+            text = html.unescape(page[at:end])
+            node.content.append(text)
+            if in_link:
+                node.linked += len("".join(text.split()))
         if not found:
             break
         at = found.end()
@@ -105,39 +152,99 @@ def parse(page: str) -> Node:
             node.content.append(found["cdata"])
         if not tag:
             continue
+        if tag == "a":
+            in_link = not found["close"]
         if found["close"]:
             if tag == "br" or tag == "p" and not _open(node, "p"):
                 node.content.append(None)
             elif tag not in INLINE or _hidden_inline(node, tag):
                 node = _closed(node, tag)
             continue
+        written = found["attrs"] or found["rough"] or ""
         attrs = {
-            k.lower(): html.unescape(a or b or c or "") for k, a, b, c in _ATTR.findall(found["attrs"])
-        } if found["attrs"].strip(" /") else {}
-        marks = _words(" ".join(attrs.get(k, "") for k in ("class", "id", "role")))
+            k.lower(): html.unescape(a or b or c or "") for k, a, b, c in _ATTR.findall(written)
+        } if written.strip(" /") else {}
         hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(
             re.search(r"display\s*:\s*none", attrs.get("style", ""))
         )
-        boilerplate = tag in BOILERPLATE_TAGS or hidden or (
-            bool(marks & BOILERPLATE_WORDS) and tag not in ("html", "body", "article", "main")
-        ) or (tag == "article" and bool(marks & {"comment", "comments", "reply", "replies", "ad", "advert"}))
+        suspect = 0
+        if tag not in ("html", "body", "main"):
+            suspect = suspicion(f"{attrs.get('class', '')} {attrs.get('id', '')}") if attrs else 0
+            suspect = suspect or int(tag == "form")
+            hidden = hidden or not BOILERPLATE_ROLES.isdisjoint(attrs.get("role", "").lower().split())
+        boilerplate = tag in BOILERPLATE_TAGS or hidden
+        suspect = 0 if boilerplate else suspect
         if tag in VOID:
             node.content.append(None if tag not in ("wbr", "img") else "")
             continue
         if tag in RAW:
+            if tag not in SEAMLESS:
+                node.content.append(None)
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = close.end() if close else len(page)
             continue
+        if suspect:
+            boilerplate = suspects = True
         if tag in INLINE and not boilerplate:
             continue
         node = _made_room(node, tag)
         name = tag + _generalised(attrs.get("class", ""))
-        child = Node(tag, f"{node.path}>{name}" if node.path else name, node, boilerplate)
+        child = Node(tag, f"{node.path}>{name}" if node.path else name, node, boilerplate, suspect)
         node.content.append(child)
         node = child
+    if suspects:
+        _settle(root)
     return root
 
 
+def _settle(root: Node) -> None:
+    """Take back the verdict on marked elements that hold the page's prose."""
+    size: dict[int, int] = {}
+    linked: dict[int, int] = {}
+    heads: dict[int, set[str]] = {}
+    for node, x in _walk(root, marked=True):
+        if isinstance(x, str):
+            size[id(node)] = size.get(id(node), 0) + len("".join(x.split()))
+        elif x is True:
+            linked[id(node)] = linked.get(id(node), 0) + node.linked
+            own = heads.setdefault(id(node), set())
+            if node.tag in ("h1", "main") or node.tag == "article" and not node.suspect:
+                own.add(node.tag)
+            if node.parent is not None:
+                up = id(node.parent)
+                size[up] = size.get(up, 0) + size.get(id(node), 0)
+                linked[up] = linked.get(up, 0) + linked[id(node)]
+                heads.setdefault(up, set()).update(own)
+    front = _outermost(root)
+    outside = size.get(id(root), 0) - sum(size.get(id(x), 0) for x in front)
+    while front:
+        front.sort(key=lambda x: size.get(id(x), 0))
+        node = front.pop()
+        whole, held = size.get(id(node), 0), heads.get(id(node), set())
+        prose = whole - linked.get(id(node), 0)
+        if node.suspect == 2:
+            held = held - {"article"}
+        if 2 * prose < whole or not whole or prose < (1 if held else 4) * outside or node.suspect == 2 and not held:
+            continue
+        node.boilerplate = False
+        inner = _outermost(node)
+        outside += whole - sum(size.get(id(x), 0) for x in inner)
+        front += inner
+
+
+def _outermost(top: Node) -> list[Node]:
+    """Marked elements below ``top`` that are in no other one."""
+    found, stack = [], [top]
+    while stack:
+        for x in stack.pop().content:
+            if isinstance(x, Node):
+                if x.suspect:
+                    found.append(x)
+                elif not x.boilerplate:
+                    stack.append(x)
+    return found
+
+
 def _open(node: Node | None, tag: str) -> Node | None:
     while node is not None and node.tag != tag:
         node = node.parent
@@ -171,19 +278,19 @@ def _near(node: Node | None, tags: set[str]) -> Node | None:
     return None
 
 
-def _walk(top: Node):
-    """(node, entering) in page order without recursion; boilerplate is left out."""
+def _walk(top: Node, marked: bool = False):
+    """(node, entering) in page order without recursion; boilerplate is left out, but if wanted not what words mark."""
     stack = [(top, iter(top.content))]
     yield top, None
     while stack:
         node, rest = stack[-1]
         for x in rest:
             if isinstance(x, Node):
-                if not x.boilerplate:
+                if not x.boilerplate or marked and x.suspect:
                     stack.append((x, iter(x.content)))
                     yield x, None
                     break
-                yield node, ""  # what is left out still separates blocks, unless it is inline
+                yield node, "" if x.tag in SEAMLESS else "\n"
             else:
                 yield node, "\n" if x is None else x
         else:
@@ -260,12 +367,21 @@ def _deepest(node: Node, sizes: dict[int, int], tags: frozenset[str]) -> tuple[N
 
 
 def on_path(root: Node, path: str) -> list[Node]:
-    """Outermost elements on a path, in page order."""
-    found: list[Node] = []
-    for node, x in _walk(root):
-        if x is None and node.path == path and not any(_inside(node, f) for f in found[-1:]):
-            found.append(node)
-    return found
+    """Outermost elements on a path, in page order; marked ones where there are no others, comments never."""
+    plain: list[Node] = []
+    marked: list[Node] = []
+    for node, x in _walk(root, marked=True):
+        if x is None and node.path == path and node.suspect < 2:
+            found = marked if _left_out(node) else plain
+            if not any(_inside(node, f) for f in found[-1:]):
+                found.append(node)
+    return plain or marked
+
+
+def _left_out(node: Node | None) -> bool:
+    while node is not None and not node.boilerplate:
+        node = node.parent
+    return node is not None
 
 
 def _inside(node: Node | None, other: Node) -> bool:
@@ -298,8 +414,11 @@ def extract(page: str | None, path: str | None, furniture: frozenset[int] = froz
     if not page:
         return ""
     root = parse(page)
-    own = containers(root).best(furniture)
     nodes = on_path(root, path) if path else []
+    for node in nodes:  # the host's pages agree that this is text, whatever it is called
+        while node is not None:
+            node.boilerplate, node = False, node.parent
+    own = containers(root).best(furniture)
     if any(n is own or not _inside(n, own) for n in nodes):
         text = " ".join(filter(None, map(text_of, nodes)))
         if text:
@@ -312,7 +431,7 @@ def _host(url):
 
 
 def host_votes(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """(host, path, furniture): the winner of each host's votes. Votes are added up before they are shuffled."""
+    """(host, path, furniture, pages): the winner of each host's votes. Votes are added up before they are shuffled."""
     rows = pages.select(_host(F.col(url)).alias("host"), F.col(page).alias("html"))
     names = ("whole", "whole_size", "narrow", "narrow_size", "rest", "mark")
 
@@ -323,7 +442,7 @@ def host_votes(pages: DataFrame, url: str = "url", page: str = "html") -> DataFr
 
     ballots = per_batch(
         rows, work, "host string, whole string, whole_size long, narrow string, narrow_size long, rest array<long>, mark long"
-    ).filter("whole is not null or narrow is not null")
+    )
     counted = staged(ballots.groupBy("host", "whole", "narrow", "rest").agg(
         F.count("*").alias("n"), F.sum("whole_size").alias("whole_size"), F.sum("narrow_size").alias("narrow_size"),
         F.min("mark").alias("low"), F.max("mark").alias("high"),
@@ -331,7 +450,7 @@ def host_votes(pages: DataFrame, url: str = "url", page: str = "html") -> DataFr
     pieces = counted.select("host", F.explode("rest").alias("piece"), "n", "low", "high").groupBy("host", "piece").agg(
         F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")
     )
-    totals = counted.groupBy("host").agg(F.sum("n").alias("total"))
+    totals = counted.filter("whole is not null or narrow is not null").groupBy("host").agg(F.sum("n").alias("total"))
     furniture = pieces.filter("low < high").join(totals, "host").filter("2 * n >= total").groupBy("host").agg(
         F.collect_list("piece").alias("furniture")
     )
@@ -342,18 +461,39 @@ def host_votes(pages: DataFrame, url: str = "url", page: str = "html") -> DataFr
     votes = met.select(
         "host", "n", "furniture", F.when(narrow, F.col("narrow")).otherwise(F.col("whole")).alias("path"),
         F.when(narrow, F.col("narrow_size")).otherwise(F.col("whole_size")).alias("size"),
-    ).filter("path is not null")
+    )
     summed = votes.groupBy("host", "path").agg(
         F.sum("n").alias("votes"), F.sum("size").alias("size"), F.first("furniture").alias("furniture")
     )
-    return summed.groupBy("host").agg(F.max(F.struct("votes", "size", "path", "furniture")).alias("won")).select(
-        "host", "won.path", "won.furniture"
-    )
+    return summed.groupBy("host").agg(
+        F.max(F.when(F.col("path").isNotNull(), F.struct("votes", "size", "path", "furniture"))).alias("won"),
+        F.sum("votes").alias("pages"),
+    ).select("host", "won.path", F.coalesce("won.furniture", F.array().cast("array<bigint>")).alias("furniture"), "pages")
 
 
 def host_paths(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """(host, path) of ``host_votes``."""
-    return host_votes(pages, url, page).select("host", "path")
+    """(host, path) of ``host_votes``, for hosts with any text."""
+    return host_votes(pages, url, page).select("host", "path").filter("path is not null")
+
+
+def _routed(rows: DataFrame, votes: DataFrame) -> DataFrame:
+    """Rows with their host's path and furniture; no host's pages meet in one task.
+
+    All hosts are copied to the tasks where they are few. Otherwise this is done for the large hosts, of which there are
+    at most ``LARGE_HOSTS`` by their definition, and only pages of the other hosts are shuffled.
+    """
+    votes = staged(votes, "host-paths")
+    size = votes.agg(
+        F.sum("pages").alias("pages"),
+        F.sum(F.octet_length("host") + F.coalesce(F.octet_length("path"), F.lit(0)) + 8 * F.size("furniture") + 64).alias("bytes"),
+    ).first()
+    if (size["bytes"] or 0) <= COPIED_BYTES:
+        return rows.join(F.broadcast(votes.drop("pages")), "host", "left")
+    large = F.col("pages") * LARGE_HOSTS >= size["pages"]
+    few, many = votes.filter(large).drop("pages"), votes.filter(~large).drop("pages")
+    return rows.join(F.broadcast(few), "host").unionByName(
+        rows.join(F.broadcast(few.select("host")), "host", "left_anti").join(many, "host", "left")
+    )
 
 
 def extract_pages(
@@ -363,7 +503,7 @@ def extract_pages(
     rows = pages.select(
         F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"), _host(F.col(url)).alias("host")
     )
-    routed = rows.join(host_votes(pages, url, page), "host", "left").drop("host")
+    routed = _routed(rows, host_votes(pages, url, page)).drop("host")
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in routed.schema if f.name in ("page_id", "url"))
 
     def work(columns: dict[str, pa.Array]) -> dict:
