@@ -2,9 +2,8 @@
 
 All but the last return the columns of ``docs`` unchanged. The near-duplicate stage names a row by its id and a hash of
 its text, so that rows which share an id but not their text are judged apart; ids that are missing come last among
-linked rows, rows equal in id and text stay or go together. It takes shingles of five words and a similarity of 0.8, the
-rule for stages, not the four words and 0.85 of the operator's own query. Every other case is defined by the operator a
-stage calls: ties, repeated rows, empty tables, very long texts.
+linked rows, rows equal in id and text stay or go together. It takes the four words and 0.85 of the operator's query.
+Every other case is defined by the operator a stage calls: ties, repeated rows, empty tables, very long texts.
 """
 
 from __future__ import annotations
@@ -40,15 +39,11 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
-#: Words of a shingle and percent of similarity from which on the stage links documents.
-NEAR_WORDS, NEAR_PERCENT = 5, 80
-
-
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are connected by links, keep the one with the smallest id."""
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
     rows = docs.select(key.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = signature_tree.join_near(rows, "row", "text", NEAR_WORDS, NEAR_PERCENT).withColumnRenamed("doc_id", "row")
+    joined = signature_tree.join_near(rows, "row", "text").withColumnRenamed("doc_id", "row")
     others = joined.filter(F.col("row") != F.col("component_id")).select("row", "component_id")
     heads = others.select(F.col("component_id").alias("row"), "component_id")
     linked = staged(others.unionByName(heads).distinct().join(rows.select("row", "doc_id").distinct(), "row"), "near-rows")
