@@ -97,6 +97,7 @@ def missing_fixed_table(report: DataFrame) -> DataFrame:
     return _long(report, [TANK], entries, "column_name")
 
 
+#: The published names of the counters, in the order of the report.
 OUTLIER_COUNTERS = [
     "level_negative_repaired", "level_over_capacity_repaired", "level_impossible_jump_repaired",
     "level_values_repaired_total", "rainfall_negative_clipped", "inflow_negative_clipped",
@@ -276,6 +277,7 @@ def live_comparison(recommended: DataFrame, current: DataFrame, history: DataFra
     )
     cap = F.col(CAPACITY)
     physics = clip(F.col(LEVEL) + F.col(INFLOW) - F.col("usual_usage"), 0.0, cap)
+    # The published labels of the lines.
     entries = {
         "prediction": {"value": F.col("predicted_level")},
         "persistence baseline (current level)": {"value": F.col(LEVEL)},
