@@ -131,13 +131,21 @@ def test_bundle_is_reused_for_the_same_data_only(spark, raw, trained, tmp_path):
     with pytest.raises(FileNotFoundError):
         flow.load_bundle(spark, path)
     flow.save_bundle(trained, path)
-    _, again = flow.load_or_train(spark, raw, path, size=SMALL, run_cv=False)
-    assert again.loaded_from_disk and again.model_name == trained.model_name
+    again = flow.load_or_train(spark, raw, path, size=SMALL, run_cv=False)
+    assert again.trained.loaded_from_disk and again.trained.model_name == trained.model_name
     shorter = raw.filter("ingest_seq < 240")
-    _, other = flow.load_or_train(spark, shorter, path, size=SMALL, run_cv=False)
-    assert not other.loaded_from_disk
-    _, third = flow.load_or_train(spark, shorter, path, size=SMALL, run_cv=False)
-    assert third.loaded_from_disk
+    other = flow.load_or_train(spark, shorter, path, size=SMALL, run_cv=False)
+    assert not other.trained.loaded_from_disk
+    third = flow.load_or_train(spark, shorter, path, size=SMALL, run_cv=False)
+    assert third.trained.loaded_from_disk
+    # both branches report the impact, and the same one
+    told = [sorted(tuple(r) for r in o.impact.collect()) for o in (other, third)]
+    assert told[0] and told[0] == told[1]
+    # a version that lost a file is passed over: its data is trained anew, the older version still serves its own
+    newest = max((tmp_path / "bundle" / "versions").iterdir(), key=lambda p: p.stat().st_mtime)
+    next((newest / "tables" / "test_frame").glob("part-*")).unlink()
+    assert flow.load_or_train(spark, raw, path, size=SMALL, run_cv=False).trained.loaded_from_disk
+    assert not flow.load_or_train(spark, shorter, path, size=SMALL, run_cv=False).trained.loaded_from_disk
 
 
 CURRENT = f"{TANK} bigint, {CAP} double, rainfall_mm double, inflow_litres double, usage_litres double, {LEVEL} double, temperature_c double"

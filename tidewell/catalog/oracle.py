@@ -517,6 +517,16 @@ def oracle_sql() -> dict[str, str]:
             "FROM complete GROUP BY tank_id",
             "complete",
         ),
+        "save_and_load_model": sql(f"SELECT {KEY}, TRUE AS \"same_RandomForest\", TRUE AS \"same_Ridge\" FROM complete", "complete"),
+        # the test side begins at the moment four fifths of a run's rows are reached
+        "reuse_or_retrain": sql(
+            "SELECT * FROM (WITH runs AS (SELECT run, c.tank_id, c.\"timestamp\" AS t FROM complete c "
+            "CROSS JOIN (VALUES ('same'), ('fewer'), ('fewer again')) r(run) WHERE run = 'same' OR c.tank_id % 2 = 0), "
+            "placed AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY run) AS n FROM runs), "
+            "cut AS (SELECT run, t AS begins FROM placed WHERE i = CAST(floor(n * CAST(0.8 AS DOUBLE)) AS BIGINT)) "
+            "SELECT run, tank_id, count(*) AS test_hours, run <> 'fewer' AS reused FROM placed JOIN cut USING (run) WHERE t >= begins GROUP BY run, tank_id)",
+            "complete",
+        ),
         # cleaning
         "parse_timestamps": f"SELECT tank_id, \"timestamp\", ingest_seq FROM ({TEXT}) WHERE \"timestamp\" IS NOT NULL",
         "parse_timestamps_mixed": (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -112,17 +113,26 @@ def dataset_signature(lk: Lake) -> DataFrame:
 
 @query
 def save_and_load_model(lk: Lake) -> DataFrame:
+    """Levels of both models before saving and after loading, row by row."""
     path = flow.save_bundle(lk.trained, f"{staging_root(lk.spark)}/bundle_{uuid.uuid4().hex}")
     loaded = flow.load_bundle(lk.spark, path)
-    model = loaded.models[regressors.RIDGE]
-    return regressors.predict_level(model, lk.features).select(*KEY, "model_level")
+    rows = lk.features
+    for name in regressors.MODELS:
+        rows = regressors.predict_level(lk.trained.models[name], rows, f"{name}_before")
+        rows = regressors.predict_level(loaded.models[name], rows, f"{name}_after")
+    return rows.select(*KEY, *[(F.col(f"{m}_before") == F.col(f"{m}_after")).alias(f"same_{m}") for m in regressors.MODELS])
 
 
 @query
 def reuse_or_retrain(lk: Lake) -> DataFrame:
+    """The same readings twice, then those of every other tank: which run reuses the stored models, and its hours of impact."""
     path = flow.save_bundle(lk.trained, f"{staging_root(lk.spark)}/bundle_{uuid.uuid4().hex}")
-    _, trained = flow.load_or_train(lk.spark, lk.raw, path)
-    return trained.tables["leaderboard"].withColumn("reused", F.lit(trained.loaded_from_disk))
+    fewer = lk.raw.filter(F.col(TANK) % 2 == 0)
+    runs = [
+        flow.load_or_train(lk.spark, source, path, run_cv=False).impact_rows(name)
+        for name, source in (("same", lk.raw), ("fewer", fewer), ("fewer again", fewer))
+    ]
+    return reduce(DataFrame.unionByName, runs)
 
 
 # --- cleaning -----------------------------------------------------------------------------------
