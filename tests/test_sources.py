@@ -120,6 +120,44 @@ def test_csv_words_blanks_and_broken_times(spark, tmp_path):
     assert [r[0] for r in staged.orderBy("timestamp").select("coerced_cells").collect()] == [0, 1]
 
 
+HEAD = "timestamp,rainfall_mm,inflow_litres,usage_litres,tank_level_litres\n"
+
+
+@pytest.fixture(params=[None, 300, 41])
+def split_bytes(spark, request):
+    """Splits of Spark's own size, of a few lines, and of less than one line."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    if request.param:
+        for n in names:
+            spark.conf.set(n, str(request.param))
+    yield request.param
+    for n, value in zip(names, before, strict=True):
+        spark.conf.set(n, value)
+
+
+@pytest.mark.parametrize("files", [1, 7])
+def test_lines_are_numbered_by_file_then_line(spark, tmp_path, split_bytes, files):
+    lines = [f"2024-03-{1 + i % 3:02d} 00:00:00,{i},0,{'1' * (i % 40)},{1000 + i}\n" for i in range(140)]
+    for f in range(files):  # unequal files, the longest last, as Spark starts with long splits
+        lo, hi = (140 * k * k // files**2 for k in (f, f + 1))
+        (tmp_path / f"part {f}").mkdir()
+        (tmp_path / f"part {f}" / "é x.csv").write_text(HEAD + "".join(lines[lo:hi]))
+    raw = readings.read_telemetry_csv(spark, str(tmp_path), recursive=True)
+    if split_bytes:
+        assert raw.rdd.getNumPartitions() > files
+    rows = raw.orderBy("ingest_seq").collect()
+    assert [r["rainfall_mm"] for r in rows] == [str(i) for i in range(140)]
+    assert len({r["ingest_seq"] for r in rows}) == 140
+    first = readings.stage_readings(readings.default_optional_columns(raw))
+    assert by_time(first, "rainfall_mm") == [0.0, 1.0, 2.0]
+
+
+def test_absent_parquet_is_file_not_found(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        readings.load_readings(spark, str(tmp_path / "none.parquet"))
+
+
 def test_number_coercion_accepts_plain_numbers_only(spark):
     texts = ["1.5", " 2 ", "-3e2", ".5", "1.0d", "2f", "0x10", "NaN", "abc", "1_000", ""]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")

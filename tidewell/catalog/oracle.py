@@ -543,6 +543,10 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT {KEY}, {d(*MEASURES)}, ingest_seq FROM ({EVENT_READINGS}) "
             "QUALIFY row_number() OVER (PARTITION BY tank_id, \"timestamp\" ORDER BY ingest_seq) = 1"
         ),
+        "first_over_files": (
+            f"SELECT {KEY}, {d(*MEASURES)}, ingest_seq AS event_id FROM ({EVENT_READINGS}) "
+            "QUALIFY row_number() OVER (PARTITION BY tank_id, \"timestamp\" ORDER BY ingest_seq % 7, ingest_seq) = 1"
+        ),
         "coerce_numeric": (
             f"SELECT ingest_seq, {d('rainfall_mm', 'inflow_litres', 'usage_litres', 'tank_level_litres')}, "
             "CAST(CASE WHEN event_type IN ('click', 'purchase') AND props IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS coerced_cells "

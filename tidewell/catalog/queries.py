@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidewell.catalog.lake import Lake, lake
 from tidewell.contract import (
     CAPACITY, COERCED, FEATURES, FLAGS, HOT, INFLOW, LEVEL, NUMERIC_COLUMNS, RAIN,
-    SEGMENT, TANK, TARGET, TEMPERATURE, TIME, TS_US, USAGE,
+    SEGMENT, SEQ, TANK, TARGET, TEMPERATURE, TIME, TS_US, USAGE,
 )
 from tidewell.functions.quantiles import exact_quantiles
 from tidewell.functions.scalars import micros
@@ -166,6 +166,18 @@ def dedupe_keep_first(lk: Lake) -> DataFrame:
     return show(first, KEY, MEASURES, ["ingest_seq"])
 
 
+@query
+def first_over_files(lk: Lake) -> DataFrame:
+    """First reading of each tank and hour where the events lie in seven CSV files: by file, then by line."""
+    path = f"{staging_root(lk.spark)}/csv_{uuid.uuid4().hex}"
+    rows = events.event_readings(lk.spark, lk.sf_dir).withColumnRenamed(SEQ, "event_id")
+    rows = rows.withColumn("part", F.col("event_id") % 7)
+    rows.repartition("part").sortWithinPartitions("part", "event_id").write.option("header", True).partitionBy("part").csv(path)
+    df = readings.read_telemetry_csv(lk.spark, path, recursive=True)
+    first = readings.dedupe_keep_first(readings.coerce_numeric(readings.parse_timestamps(df)))
+    return show(first.withColumn(TANK, F.col(TANK).cast("bigint")), KEY, MEASURES, ["event_id"])
+
+
 @query
 def coerce_numeric(lk: Lake) -> DataFrame:
     typed = readings.coerce_numeric(events.text_readings(lk.spark, lk.sf_dir))
