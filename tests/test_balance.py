@@ -3,11 +3,13 @@ from __future__ import annotations
 import random
 
 import pytest
-from conftest import CAPACITY, by_time, hour
+from conftest import CAPACITY, by_time, frame, hour
 
+from pyspark.sql import functions as F
 from tidewell.contract import Layout
-from tidewell.operators import balance
+from tidewell.operators import balance, reports
 from tidewell.plans.lake import stage_series
+from tidewell.sources import readings
 from tidewell.sources.readings import segment_frame
 
 TEST_ROW = (
@@ -127,3 +129,23 @@ def test_cumulative_overflow_ends_at_the_total(spark):
     total = balance.balance_summary(moved).filter("scenario = 'no_controller'").first()["overflow_litres"]
     values = by_time(running, "cumulative_overflow_litres")
     assert values == sorted(values) and values[-1] == pytest.approx(total)
+
+
+def test_scenarios_are_compared_without_moving_staged_rows(spark):
+    rows = [
+        {"t": hour(i), "tank": k, "level": 2500.0, "inflow": 40.0, "usage": 30.0, "rain": 0.0} for k in (0, 1) for i in range(30)
+    ]
+    base = readings.stage_readings(frame(spark, rows), Layout(segment_rows=10))
+    scored = base.withColumns({"current_level": F.col("tank_level_litres"), "pred": F.col("tank_level_litres"), "rain_roll_3": F.lit(0.0), "rain_roll_24": F.lit(0.0)})
+    trajectory = stage_series(balance.simulate(scored))
+    compared = balance.trajectory_compare(trajectory)
+    assert "Exchange" not in compared._jdf.queryExecution().executedPlan().toString()
+    assert compared.count() == 60 and compared.columns == ["tank_id", "timestamp", "level_no_controller", "level_with_controller"]
+    done = {(r["tank_id"], r["action"]): r["hours"] for r in balance.simulated_actions(trajectory).collect()}
+    assert sum(done.values()) == 60 and balance.simulated_actions(trajectory.limit(0)).count() == 0
+
+
+def test_missing_cells_count_nan_and_take_empty_frames(spark):
+    df = spark.createDataFrame([(1.0, None), (float("nan"), None), (2.0, 3.0)], "a double, b double")
+    assert tuple(reports.missing_cells(df, ["a", "b"]).first()) == (3, 2, 3, 2)
+    assert tuple(reports.missing_cells(df.limit(0), ["a", "b"]).first()) == (0, 2, 0, 0)

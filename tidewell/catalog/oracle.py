@@ -759,6 +759,14 @@ GROUP BY tank_id""",
             f"{settled(chr(39).join(['max(level) FILTER (scenario = ', 'with_controller', ')']), 'level_with_controller')} FROM trajectory GROUP BY ALL",
             "trajectory",
         ),
+        "simulated_actions": sql(
+            "SELECT tank_id, action, count(*) AS hours, min(\"timestamp\") AS first_hour, max(\"timestamp\") AS last_hour FROM trajectory "
+            "WHERE scenario = 'with_controller' GROUP BY tank_id, action", "trajectory",
+        ),
+        "missing_cells": sql(
+            "SELECT count(*) AS rows, CAST(" + str(len(NUMERIC)) + " AS BIGINT) AS columns, CAST(sum(m) AS BIGINT) AS missing_cells, count(*) FILTER (m > 0) AS rows_with_missing "
+            "FROM (SELECT " + " + ".join(f"({c} IS NULL)::INT" for c in NUMERIC) + " AS m FROM telemetry)", "telemetry",
+        ),
         "cumulative_overflow": sql(
             f"SELECT {KEY}, scenario, {settled('sum(overflow_litres) OVER (PARTITION BY tank_id, scenario ORDER BY ' + chr(34) + 'timestamp' + chr(34) + ')', 'cumulative_overflow_litres')} FROM trajectory",
             "trajectory",

@@ -709,6 +709,11 @@ def trajectory_compare(lk: Lake) -> DataFrame:
     return show(balance.trajectory_compare(lk.trajectory), KEY, levels)
 
 
+@query
+def simulated_actions(lk: Lake) -> DataFrame:
+    return balance.simulated_actions(lk.trajectory)
+
+
 @query
 def cumulative_overflow(lk: Lake) -> DataFrame:
     return show(balance.cumulative_overflow(lk.trajectory), [*KEY, "scenario"], ["cumulative_overflow_litres"])
@@ -720,6 +725,11 @@ def null_profile(lk: Lake) -> DataFrame:
     return show(reports.null_profile(lk.raw, NUMERIC_COLUMNS), ["column_name"], ["pct"], ["missing"])
 
 
+@query
+def missing_cells(lk: Lake) -> DataFrame:
+    return reports.missing_cells(lk.raw, NUMERIC_COLUMNS)
+
+
 @query
 def duplicate_count(lk: Lake) -> DataFrame:
     return show(reports.duplicate_count(events.event_readings(lk.spark, lk.sf_dir)), [], [], ["duplicate_rows"])

@@ -347,10 +347,17 @@ def impact_comparison(summary: DataFrame) -> DataFrame:
 
 
 def trajectory_compare(trajectory: DataFrame) -> DataFrame:
-    """Level of both scenarios side by side, by hour."""
+    """Level of both scenarios side by side, by hour. Grouped inside segments: staged rows stay where they are."""
     level = lambda s: F.max(F.when(F.col("scenario") == s, F.col("level")))
-    return trajectory.groupBy(TANK, TIME).agg(
+    return trajectory.groupBy(*SEGMENT_KEYS, TIME).agg(
         level(NO_CONTROLLER).alias("level_no_controller"), level(WITH_CONTROLLER).alias("level_with_controller")
+    ).drop(SEGMENT)
+
+
+def simulated_actions(trajectory: DataFrame) -> DataFrame:
+    """What the controller did in the simulation: hours per tank and action, first and last hour of each."""
+    return trajectory.filter(F.col("scenario") == WITH_CONTROLLER).groupBy(TANK, "action").agg(
+        F.count("*").alias("hours"), F.min(TIME).alias("first_hour"), F.max(TIME).alias("last_hour")
     )
 
 

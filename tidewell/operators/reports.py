@@ -38,6 +38,15 @@ def null_profile(raw: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return _long(counts, [], entries, "column_name")
 
 
+def missing_cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Size of the frame and its missing cells in all columns together; NaN counts as missing. One pass, one row."""
+    lacking = [(F.col(c).isNull() | F.isnan(c)).cast("int") for c in columns]
+    return df.select(sum(lacking, F.lit(0)).alias("lacking")).agg(
+        F.count("*").alias("rows"), F.lit(len(columns)).cast("bigint").alias("columns"),
+        F.coalesce(F.sum("lacking"), F.lit(0)).alias("missing_cells"), F.count_if(F.col("lacking") > 0).alias("rows_with_missing"),
+    )
+
+
 def duplicate_count(raw: DataFrame) -> DataFrame:
     """Rows whose (tank, time) was already seen. Distinct keys are counted by a shuffle, not per group."""
     per_key = raw.groupBy(TANK, TIME).agg(F.count("*").alias("n"))
