@@ -148,6 +148,92 @@ def test_damage_is_found_where_it_is(spark, fanout):
     assert merkle.find_damage(a, a, fanout).count() == 0
 
 
+def sized(spark, files):
+    """Records of files given as lists of bytes, at their real offsets."""
+    rows = []
+    for f, parts in files.items():
+        at = 0
+        for k, d in enumerate(parts):
+            rows.append((f, k, at, len(d), hashlib.sha256(d).hexdigest()))
+            at += len(d)
+    return spark.createDataFrame(rows, merkle.RECORDS)
+
+
+def plain_damage(left, right):
+    """The same report from lists in memory, file by file."""
+    out = set()
+    for f in left.keys() | right.keys():
+        a, b = left.get(f, []), right.get(f, [])
+        at = [[sum(map(len, x[:k])) for k in range(len(x) + 1)] for x in (a, b)]
+        fixed = {k for k in range(min(len(a), len(b))) if a[k] == b[k]}
+        spare = {}
+        for k in range(len(b)):
+            if k not in fixed:
+                spare.setdefault(b[k], []).append(k)
+        to = {k: k for k in fixed}
+        for k in range(len(a)):
+            if k not in fixed and spare.get(a[k]):
+                to[k] = spare[a[k]].pop(0)
+        k = 0
+        while k < len(a):  # runs of sound records with another number
+            if k in to and to[k] != k:
+                n = 1
+                while k + n in to and to[k + n] - k - n == to[k] - k:
+                    n += 1
+                out.add((f, k, "shifted", at[0][k], at[0][k + n], at[1][to[k]] - at[0][k]))
+                k += n
+            else:
+                k += 1
+        back = {v: k for k, v in to.items()}
+        gaps = {}
+        for number, (x, known) in enumerate(((a, to), (b, back))):
+            for k in range(len(x)):
+                if k not in known:
+                    s = k
+                    while s and s - 1 not in known:
+                        s -= 1
+                    gap = s - 1 if number == 0 or s == 0 else back[s - 1]
+                    gaps.setdefault((gap, k - s), [None, None])[number] = k
+        for i, j in gaps.values():
+            n = [0 if k is None else len(x[k]) for k, x in ((i, a), (j, b))]
+            number, offsets = (j, at[1]) if i is None else (i, at[0])
+            out.add((f, number, "extra" if i is None else "missing" if j is None else "changed", offsets[number], offsets[number + 1], n[1] - n[0]))
+    return out
+
+
+def damage(spark, left, right, fanout):
+    a, b = (merkle.build_tree(sized(spark, x), fanout) for x in (left, right))
+    return sorted(tuple(r) for r in merkle.find_damage(a, b, fanout).collect())
+
+
+@pytest.mark.parametrize("fanout", [3, 16])
+def test_damage_that_changes_lengths_or_numbers_is_placed(spark, fanout):
+    rng = random.Random(7)
+    base = [rng.randbytes(10) for _ in range(40)]
+    edits = {
+        "grown": base[:5] + [base[5] + b"x"] + base[6:],
+        "inserted": base[:5] + [b"new"] + base[5:],
+        "lost": base[:5] + base[6:],
+        "front": [b"a", b"bc"] + base,
+        "swapped": [*base[:3], base[9], *base[4:9], base[3], *base[10:]],
+    }
+    found = damage(spark, {f: base for f in edits}, edits, fanout)
+    assert [r[1:] for r in found if r[0] == "grown"] == [(5, "changed", 50, 60, 1)]
+    assert [r[1:] for r in found if r[0] == "inserted"] == [(5, "extra", 50, 53, 3), (5, "shifted", 50, 400, 3)]
+    assert [r[1:] for r in found if r[0] == "lost"] == [(5, "missing", 50, 60, -10), (6, "shifted", 60, 400, -10)]
+    assert [r[1:] for r in found if r[0] == "front"] == [(0, "extra", 0, 1, 1), (0, "shifted", 0, 400, 3), (1, "extra", 1, 3, 2)]
+    assert [r[1:] for r in found if r[0] == "swapped"] == [(3, "shifted", 30, 40, 60), (9, "shifted", 90, 100, -60)]
+    left, right = {}, {}
+    for f in range(12):  # edits of all kinds at once, records that repeat among them
+        left[f"r{f}"] = [rng.choice(base[:3]) if rng.random() < 0.1 else rng.randbytes(rng.randint(0, 12)) for _ in range(rng.randint(0, 60))]
+        copy = []
+        for d in left[f"r{f}"]:
+            what = rng.random()
+            copy += [] if what < 0.04 else [d + b"!"] if what < 0.1 else [d, b"%d" % len(copy)] if what < 0.14 else [d]
+        right[f"r{f}"] = copy
+    assert damage(spark, left, right, fanout) == sorted(plain_damage(left, right))
+
+
 def test_files_hold_the_records_of_the_pages(spark, tmp_path):
     rows = [(i, f"http://h/{i}", "<p>é%d</p>" % i * (i % 5)) for i in range(30)] + [(7, None, None), (None, "u", "x")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")

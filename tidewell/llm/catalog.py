@@ -38,13 +38,16 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Damage in a second replica of the pages: a changed byte in one page of 23, and file ends that were lost."""
+    """Damage in a second replica of the pages: another first character in one page of 23, one more byte in one of 29, lost file ends."""
     pages = table(spark, sf_dir, "pages")
     records = merkle.page_records(pages)
     hit = (F.col("page_id") % 23 == 7) & (F.length("html") > 0)
-    copy = merkle.page_records(pages.withColumn(
+    broken = pages.withColumn(
         "html", F.when(hit, F.concat(F.lit("~"), F.substring("html", 2, 2_000_000_000))).otherwise(F.col("html"))
-    )).filter((F.floor(F.col("page_id") / merkle.FILE_PAGES) % 3 != 1) | (F.col("page_id") % merkle.FILE_PAGES < 990))
+    ).withColumn(
+        "html", F.when(F.col("page_id") % 29 == 3, F.concat(F.coalesce("html", F.lit("")), F.lit("~"))).otherwise(F.col("html"))
+    )
+    copy = merkle.page_records(broken).filter((F.floor(F.col("page_id") / merkle.FILE_PAGES) % 3 != 1) | (F.col("page_id") % merkle.FILE_PAGES < 990))
     return merkle.find_damage(merkle.build_tree(records), merkle.build_tree(copy))
 
 

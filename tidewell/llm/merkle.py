@@ -1,13 +1,19 @@
 """Fixity audit of WARC replicas with Merkle trees.
 
-Every record is hashed together with its place (offset and length). Records of a file, in order, are the leaves of a
-tree; ``FANOUT`` neighbouring nodes make one node above, whose hash covers theirs in order and whose range runs from
-the first offset to the last end. Trees are a table (file, level, node), built level by level with map-side work on
-small rows; record bodies are hashed where they are read and never move. Two replicas are compared from the roots down:
-only children of nodes that differ are joined on the next level, until the damaged records are left.
-
-Defined cases. A null body is an empty record. Files that only one replica has are damaged throughout. Records behind the
-end of the other replica's file are ``missing`` or ``extra``. Equal (file, record_no) in one replica is an error of the
+A leaf hashes a record's bytes and length, not its offset: a record that grew moves all behind it without making them
+differ. Records of a file, in order, are the leaves of a tree; ``FANOUT`` neighbouring nodes make one node above, whose
+hash covers theirs in order and whose range runs from the first offset to the last end. Trees are a table (file, level,
+node), built level by level with map-side work on small rows; record bodies are hashed where they are read and never
+move. Two replicas are compared from the roots down: only children of nodes that differ are joined on the next level.
+Records left at the bottom are aligned by their hashes, which finds those that lie elsewhere because records before them
+were added or lost; between aligned neighbours, what is left over on both sides is paired in order.
+
+Status of what is reported, and ``shift``, by how many bytes it moves what follows: ``changed`` (other bytes; shift: other
+length), ``missing`` (only in the first replica), ``extra`` (only in the second; numbered and placed as there), and
+``shifted``: a run of sound neighbouring records with another number, one row for the run (first record; shift: of its offset).
+
+Defined cases. A null body is an empty record. Files that only one replica has are damaged throughout. Equal records of a
+file are aligned first to first, second to second. Equal (file, record_no) in one replica is an error of the
 input; records made from pages are numbered without ties. Empty replicas have no damage. Other columns are not read.
 """
 
@@ -115,7 +121,7 @@ def build_tree(records: DataFrame, fanout: int = FANOUT) -> DataFrame:
     level = staged(records.select(
         "file", F.lit(0).alias("level"), F.col("record_no").alias("node"), F.col("offset").alias("first"),
         (F.col("offset") + F.col("length")).alias("end"),
-        F.sha2(F.concat_ws("|", "offset", "length", "digest"), 256).alias("hash"),
+        F.sha2(F.concat_ws("|", "length", "digest"), 256).alias("hash"),
     ), "merkle")
     tree, widest = level, level.agg(F.max("node")).first()[0] or 0
     depth = 0
@@ -133,7 +139,7 @@ def build_tree(records: DataFrame, fanout: int = FANOUT) -> DataFrame:
 
 
 def find_damage(left: DataFrame, right: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """(file, record_no, status, first, end) of the records in which two trees differ."""
+    """(file, record_no, status, first, end, shift) of the records in which two trees differ."""
     top = [t.agg(F.max("level")).first()[0] or 0 for t in (left, right)]
     high = max(top)
 
@@ -154,8 +160,61 @@ def find_damage(left: DataFrame, right: DataFrame, fanout: int = FANOUT) -> Data
         met = a.join(b, ["file", "node"], "full").filter(~F.col("l_hash").eqNullSafe(F.col("r_hash")))
         if level:
             frontier = staged(met.select("file", F.col("node").alias("up")), "merkle-frontier")
-    status = F.when(F.col("r_hash").isNull(), "missing").when(F.col("l_hash").isNull(), "extra").otherwise("changed")
-    return met.select(
-        "file", F.col("node").alias("record_no"), status.alias("status"),
+    return _aligned(staged(met, "merkle-leaves"))
+
+
+def _aligned(met: DataFrame) -> DataFrame:
+    """Status of leaves that differ from the one in their place. Groups are the differing records of one file."""
+
+    def side(name: str) -> DataFrame:
+        return met.filter(F.col(f"{name}_hash").isNotNull()).select(
+            "file", "node", *(F.col(f"{name}_{c}").alias(c) for c in ("first", "end", "hash"))
+        )
+
+    def occurrence(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("nth", F.row_number().over(Window.partitionBy("file", "hash").orderBy("node")))
+
+    left, right = side("l"), side("r")
+    there = occurrence(right).select(
+        "file", "hash", "nth", F.col("node").alias("r_node"), F.col("first").alias("r_first")
+    )
+    same = staged(
+        occurrence(left).join(there, ["file", "hash", "nth"]).select("file", "node", "first", "end", "r_node", "r_first"),
+        "merkle-same",
+    )
+    run = F.col("node") - F.row_number().over(Window.partitionBy("file", "moved").orderBy("node"))
+    shifted = (
+        same.withColumn("moved", F.col("r_node") - F.col("node")).withColumn("run", run)
+        .groupBy("file", "moved", "run")
+        .agg(
+            F.min("node").alias("record_no"), F.min("first").alias("first"), F.max("end").alias("end"),
+            F.min_by(F.col("r_first") - F.col("first"), "node").alias("shift"),
+        )
+        .select("file", "record_no", F.lit("shifted").alias("status"), "first", "end", "shift")
+    )
+
+    # A gap is named by the aligned record before it, numbered as in the first replica; -1 at the start of a file.
+    mine = _gaps(left.join(same, ["file", "node"], "left_anti")).withColumn("gap", F.col("before"))
+    known = same.select("file", F.col("r_node").alias("before"), F.col("node").alias("aligned"))
+    other = _gaps(right.join(known.withColumnRenamed("before", "node"), ["file", "node"], "left_anti"))
+    other = other.join(known, ["file", "before"], "left").withColumn("gap", F.coalesce("aligned", "before"))
+    keys = ["file", "gap", "place"]
+    named = lambda rows, p: rows.select(*keys, *(F.col(c).alias(f"{p}_{c}") for c in ("node", "first", "end")))
+    pairs = named(mine, "l").join(named(other, "r"), keys, "full")
+    gone, new = F.col("r_node").isNull(), F.col("l_node").isNull()
+    length = lambda p: F.coalesce(F.col(f"{p}_end") - F.col(f"{p}_first"), F.lit(0))
+    return pairs.select(
+        "file", F.coalesce("l_node", "r_node").alias("record_no"),
+        F.when(gone, "missing").when(new, "extra").otherwise("changed").alias("status"),
         F.coalesce("l_first", "r_first").alias("first"), F.coalesce("l_end", "r_end").alias("end"),
+        (length("r") - length("l")).alias("shift"),
+    ).unionByName(shifted)
+
+
+def _gaps(rows: DataFrame) -> DataFrame:
+    """Neighbouring records as one run: ``before``, the number ahead of the run, and ``place``, the number in it."""
+    run = F.col("node") - F.row_number().over(Window.partitionBy("file").orderBy("node"))
+    start = F.min("node").over(Window.partitionBy("file", "run"))
+    return rows.withColumn("run", run).withColumn("start", start).withColumns(
+        {"before": F.col("start") - 1, "place": F.col("node") - F.col("start")}
     )

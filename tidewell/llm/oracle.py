@@ -78,8 +78,13 @@ p AS (
          sum(n) OVER (PARTITION BY f ORDER BY page_id) - n AS first FROM r)
 SELECT 'pages-' || f || '.warc' AS file, record_no,
        CASE WHEN f % 3 = 1 AND page_id % 1000 >= 990 THEN 'missing' ELSE 'changed' END AS status,
-       first::BIGINT AS first, (first + n)::BIGINT AS "end"
-FROM p WHERE (f % 3 = 1 AND page_id % 1000 >= 990) OR (page_id % 23 = 7 AND length(html) > 0 AND html[1] <> '~')"""
+       first::BIGINT AS first, (first + n)::BIGINT AS "end",
+       CASE WHEN f % 3 = 1 AND page_id % 1000 >= 990 THEN -n
+            ELSE strlen(broken) - strlen(coalesce(html, '')) + strlen(strlen(broken)::VARCHAR) - strlen(strlen(coalesce(html, ''))::VARCHAR)
+       END::BIGINT AS shift
+FROM (SELECT *, CASE WHEN page_id % 23 = 7 AND length(html) > 0 THEN '~' || substr(html, 2) ELSE coalesce(html, '') END
+                || CASE WHEN page_id % 29 = 3 THEN '~' ELSE '' END AS broken FROM p)
+WHERE (f % 3 = 1 AND page_id % 1000 >= 990) OR broken <> coalesce(html, '')"""
 
 _USABLE = (
     "embedding IS NOT NULL AND len(embedding) > 0 AND "
