@@ -20,8 +20,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -77,9 +75,11 @@ class Aligner:
     def __init__(self, byte_path: str, piece_path: str) -> None:
         self.sides = ByteTokens(byte_path), PieceTokens(piece_path)
         self.lengths = [np.array([len(b) for b in side.bytes], np.int64) for side in self.sides]
-        top = max(len(side.bytes) for side in self.sides)
-        self.plain = [str(k) for k in range(top)]
-        self.opening = [f";{k}|" for k in range(top)]
+        # as arrays of objects: whole texts are looked up at once
+        self.pieces = [_objects(side.bytes) for side in self.sides]
+        self.top = max(len(side.bytes) for side in self.sides)
+        # decimal numbers of tokens within a group, then of those that begin one side of it
+        self.numbers = [_objects([f"{mark}{k}" for mark in marks for k in range(self.top)]) for marks in (",;", ",|")]
 
     def tokens(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """Ids of both sides, None for texts without tokens."""
@@ -88,10 +88,7 @@ class Aligner:
         some = [texts[k] for k in at]
         for k, text, *pair in zip(at, some, *(side.encode(some) for side in self.sides), strict=True):
             whole = b" " + text.encode()
-            if all(
-                b"".join(itemgetter(*ids.tolist())(side.bytes) if len(ids) > 1 else [side.bytes[i] for i in ids]) == whole
-                for side, ids in zip(self.sides, pair, strict=True)
-            ):
+            if all(b"".join(pieces[ids].tolist()) == whole for pieces, ids in zip(self.pieces, pair, strict=True)):
                 out[k] = tuple(pair)
         return out
 
@@ -99,6 +96,12 @@ class Aligner:
         return np.cumsum(self.lengths[0][a]).tolist(), np.cumsum(self.lengths[1][b]).tolist()
 
 
+def _objects(values: list) -> np.ndarray:
+    out = np.empty(len(values), object)
+    out[:] = values
+    return out
+
+
 @cache
 def aligner(byte_path: str, piece_path: str) -> Aligner:
     """One per Python worker and pair of files."""
@@ -163,16 +166,16 @@ def groups_of(a: list[int], b: list[int], ends: tuple[list[int], list[int]]) ->
     return out
 
 
-def _digest(tool: Aligner, a: list[int], b: list[int], runs: list, groups: list) -> str:
-    many = lambda table, ids: itemgetter(*ids)(table) if len(ids) > 1 else (table[ids[0]],)
-    opening, closing, plain = many(tool.opening, a), many(tool.plain, b), tool.plain
-    parts: list[str] = []
-    for k, (i, j, n) in enumerate(runs):
-        parts.extend(chain.from_iterable(zip(opening[i : i + n], closing[j : j + n], strict=True)))
-        if k < len(groups):
-            p, p_end, q, q_end = groups[k]
-            parts += (";", ",".join([plain[x] for x in a[p:p_end]]), "|", ",".join(closing[q:q_end]))
-    return hashlib.sha256("".join(parts)[1:].encode()).hexdigest()
+def _digest(tool: Aligner, a: np.ndarray, b: np.ndarray, starts_a: np.ndarray, starts_b: np.ndarray) -> str:
+    """Digest of the groups as text, given where each begins on both sides (in any order)."""
+    begins_a, begins_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    begins_a[starts_a], begins_b[starts_b] = True, True
+    edges_a, edges_b = np.append(np.flatnonzero(begins_a), len(a)), np.flatnonzero(begins_b)
+    # a token of a lies behind the b side of all groups before its own, a token of b behind its own group's a side too
+    parts = np.empty(len(a) + len(b), object)
+    parts[np.arange(len(a)) + edges_b[np.cumsum(begins_a) - 1]] = tool.numbers[0][a + tool.top * begins_a]
+    parts[np.arange(len(b)) + edges_a[np.cumsum(begins_b)]] = tool.numbers[1][b + tool.top * begins_b]
+    return hashlib.sha256("".join(parts.tolist())[1:].encode()).hexdigest()
 
 
 # --- the corpus ---------------------------------------------------------------------------------
@@ -204,13 +207,16 @@ def _chunk(tool: Aligner, chunk: int, ids: list, texts: list[str | None]) -> dic
             continue
         a, b = pair
         runs, groups, link_a, link_b = align(*tool.ends(a, b))
-        row["groups_sha256"][k] = _digest(tool, a.tolist(), b.tolist(), runs, groups)
         first = np.array(runs, np.int64)
         first = first[first[:, 2] > 0]
         length = first[:, 2]
         within = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-        at_a = np.concatenate([np.repeat(first[:, 0], length) + within, np.array(link_a, np.int64)])
-        at_b = np.concatenate([np.repeat(first[:, 1], length) + within, np.array(link_b, np.int64)])
+        run_a, run_b = np.repeat(first[:, 0], length) + within, np.repeat(first[:, 1], length) + within
+        at_a, at_b = np.concatenate([run_a, np.array(link_a, np.int64)]), np.concatenate([run_b, np.array(link_b, np.int64)])
+        heads = np.array(groups, np.int64).reshape(-1, 4)
+        row["groups_sha256"][k] = _digest(
+            tool, a, b, np.concatenate([run_a, heads[:, 0]]), np.concatenate([run_b, heads[:, 2]])
+        )
         row["n_a"][k], row["n_b"][k] = len(a), len(b)
         row["n_groups"][k], row["n_links"][k] = int(length.sum()) + len(groups), len(at_a)
         found.append((a[at_a].astype(np.int64) << 32) | b[at_b])
