@@ -181,3 +181,22 @@ def test_sample_is_fixed_size_and_repeatable(prepared):
     again = reports.seeded_sample(prepared.features.repartition(3), 40, 7).select(TANK, "timestamp")
     other = reports.seeded_sample(prepared.features, 40, 8).select(TANK, "timestamp")
     assert first.distinct().count() == 40 and first.exceptAll(again).isEmpty() and not first.exceptAll(other).isEmpty()
+
+
+def test_stands_are_one_forest(spark, prepared, monkeypatch, tmp_path):
+    monkeypatch.setattr(regressors, "MANY_ROWS", 1)
+    size = regressors.ForestSize(trees=11, min_leaf=5, max_depth=5)
+    model = regressors.random_forest(prepared.features, size=size)
+    forests = [s for s in model.stages if hasattr(s, "getNumTrees")]
+    assert len(forests) == regressors.STANDS and sum(f.getNumTrees for f in forests) == 11
+    level = lambda m: regressors.predict_level(m, prepared.features).select(TANK, "timestamp", "model_level")
+    model.save(str(tmp_path / "m"))
+    assert level(model).exceptAll(level(regressors.PipelineModel.load(str(tmp_path / "m")))).isEmpty()
+    assert "raw" in regressors.with_raw(model, prepared.features).columns
+    rows = regressors.predict_level(model, prepared.features)
+    assert set(rows.columns) == {*prepared.features.columns, "model_level"}
+    scored = model.transform(prepared.features.limit(20)).collect()
+    for r in scored:
+        trees = sum(f.getNumTrees * r[f.getPredictionCol()] for f in forests)
+        assert r["raw"] == pytest.approx(trees / 11)
+    assert sum(r[0] for r in regressors.feature_importance({"RandomForest": model}, spark).select("importance").collect()) == pytest.approx(1.0)
