@@ -200,3 +200,17 @@ def test_stands_are_one_forest(spark, prepared, monkeypatch, tmp_path):
         trees = sum(f.getNumTrees * r[f.getPredictionCol()] for f in forests)
         assert r["raw"] == pytest.approx(trees / 11)
     assert sum(r[0] for r in regressors.feature_importance({"RandomForest": model}, spark).select("importance").collect()) == pytest.approx(1.0)
+
+
+def test_cv_summary_query_has_its_folds(prepared, trained):
+    from tidewell.catalog import queries
+    from tidewell.catalog.lake import Lake
+
+    lk = Lake(prepared.features.sparkSession, "/nowhere")
+    lk.__dict__["features"] = prepared.features
+    lk.__dict__["trained"] = flow.Trained(trained.models, regressors.RIDGE, {})
+    got = queries.cv_summary(lk).first()
+    assert got["splits"] == 5 and got["mean_mae"] > 0
+    few = Lake(prepared.features.sparkSession, "/nowhere")
+    few.__dict__["features"], few.__dict__["trained"] = prepared.features.limit(30).cache(), lk.trained
+    assert queries.cv_summary(few).first()["splits"] == 0
