@@ -158,3 +158,19 @@ def test_row_cleaning_matches_the_batch_flags(spark):
     assert by_time(out, "tank_level_litres", "inflow_litres", "level_out_of_range") == [
         (100.0, 1.0, False), (None, 2.0, True), (None, 0.0, True), (None, 0.0, False),
     ]
+
+
+@pytest.mark.parametrize("job, columns", JOBS)
+def test_tanks_on_one_shelf_are_kept_apart(spark, job, columns, monkeypatch):
+    """Many tanks, one without a number, share one key of the state; each is as if it were alone."""
+    sent = [(t, i) for i in range(24) for t in (1, 2, 3, None) if (i + (t or 0)) % 3]
+    rows = [healthy_rows(24)[i] | {"tank": t, "t": hour(i), "level": 2000.0 + 37.0 * ((t or 9) + i)} for t, i in sent]
+    df = frame(spark, rows)
+    six_hours = 6 * 3600 * 1_000_000
+    run = lambda d: replay(d, "timestamp", lambda s: job(s, "7 hours"), chunks=3, closing_row=True, shuffled_us=six_hours)
+    alone = [run(df.filter(F.col("tank_id").eqNullSafe(t))) for t in (1, 2)]
+    monkeypatch.setattr(jobs, "SHELVES", 1)
+    out = run(df)
+    for t, own in zip((1, 2), alone, strict=True):
+        assert by_time(out.filter(F.col("tank_id") == t), *columns) == by_time(own, *columns)
+    assert out.filter("tank_id is null and outcome = 'taken'").count() == sum(t is None for t, _ in sent)

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
@@ -99,13 +100,30 @@ TAKEN, LATE, REPEATED = "taken", "late", "repeated"
 OUTCOME = "outcome"
 
 
+#: Keys of the keyed state: each holds the tanks of one hash value, so that calls to the state store do not grow with tanks.
+SHELVES = 512
+
+
+def _packed(**columns: pa.Array) -> bytes:
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_pydict(columns)
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
+
+
 class _InOrder(StatefulProcessor):
     """Hands the readings of each tank to ``take`` in event order, with what sub-classes carry from reading to reading.
 
-    With a delay, readings wait in a list state, which a delivery only appends to, and a timer of the tank's earliest
-    waiting reading drains what the watermark has passed: also for tanks that send nothing any more. Without one the
-    readings of a micro-batch are due at once. The carried value holds the newest time that was taken, the tank's own
-    watermark, and a bounded number of doubles.
+    A key of the state is a shelf of tanks. With a delay, readings wait in a list state, to which a delivery appends one
+    element, and a timer of the shelf's earliest waiting reading drains what the watermark has passed: also for tanks that
+    send nothing any more. Without one the readings of a micro-batch are due at once. The carried value holds, for each tank,
+    the newest time that was taken, the tank's own watermark, and a bounded number of doubles. Elements and the carried value
+    are Arrow tables.
     """
 
     def __init__(self, tank: str, columns: list[str], made: list[str], waits: bool) -> None:
@@ -113,8 +131,8 @@ class _InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", ", ".join(["ts long", *(f"{c} double" for c in self.columns)]))
-        self.carried = handle.getValueState("carried", "ts long, past array<double>")
+        self.held = handle.getListState("held", "readings binary")
+        self.carried = handle.getValueState("carried", "tanks binary")
 
     def close(self) -> None:
         pass
@@ -125,72 +143,106 @@ class _InOrder(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         frames = list(rows)
+        tanks = np.concatenate([f[self.tank].to_numpy(object) for f in frames])
         times = np.concatenate([f[TS_US].to_numpy(np.int64) for f in frames])
         values = np.concatenate([f[self.columns].to_numpy(float) for f in frames])
         if self.waits:
-            self.held.appendList([(t, *v) for t, v in zip(times.tolist(), values.tolist(), strict=True)])
+            self.held.appendValue((self._element(tanks, times, values),))
             self._wake(int(times.min()))
         else:
-            yield from self._drain(key, times, values)
+            yield from self._drain(tanks, times, values)
 
     def handleExpiredTimer(
         self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo
     ) -> Iterator[pd.DataFrame]:
-        waiting = list(self.held.get())
+        waiting = [_unpacked(bytes(w[0])) for w in self.held.get()]
         if not waiting:
             return
-        times = np.array([w[0] for w in waiting], np.int64)
-        values = np.array([w[1:] for w in waiting], float)  # missing values as NaN
+        tanks = np.concatenate([w.column("tank").to_numpy(zero_copy_only=False) for w in waiting])
+        times = np.concatenate([w.column("ts").to_numpy() for w in waiting])
+        values = np.concatenate([w.column("values").flatten().to_numpy().reshape(w.num_rows, -1) for w in waiting])
         due = times <= timerValues.getCurrentWatermarkInMs() * 1000
         if due.all():
             self.held.clear()
         else:
             self._wake(int(times[~due].min()))
             if due.any():
-                self.held.put([w for w, gone in zip(waiting, due.tolist(), strict=True) if not gone])
+                self.held.put([(self._element(tanks[~due], times[~due], values[~due]),)])
         if due.any():
-            yield from self._drain(key, times[due], values[due])
+            yield from self._drain(tanks[due], times[due], values[due])
 
     def _wake(self, earliest: int) -> None:
         self.handle.registerTimer(earliest // 1000 + 1)
 
-    def _drain(self, key: tuple, times: np.ndarray, values: np.ndarray) -> Iterator[pd.DataFrame]:
-        """Take readings in order; of those with one time the first to arrive."""
-        order = np.argsort(times, kind="stable")
-        times, values = times[order], values[order]
-        carried = self.carried.get()
-        last, past = (None, None) if carried is None else (carried[0], np.array(carried[1], float))
+    @staticmethod
+    def _element(tanks: np.ndarray, times: np.ndarray, values: np.ndarray) -> bytes:
+        listed = pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), values.shape[1])
+        return _packed(tank=pa.array(tanks, pa.string(), from_pandas=True), ts=pa.array(times), values=listed)
+
+    def _known(self) -> dict[str | None, tuple[int, np.ndarray]]:
+        """Of each tank the newest time taken and what it carries on."""
+        stored = self.carried.get()
+        if stored is None:
+            return {}
+        batch = _unpacked(bytes(stored[0]))
+        past = batch.column("past")
+        parts = np.split(past.values.to_numpy(), past.offsets.to_numpy()[1:-1])
+        return dict(zip(batch.column("tank").to_pylist(), zip(batch.column("ts").to_pylist(), parts, strict=True), strict=True))
+
+    def _keep(self, known: dict[str | None, tuple[int, np.ndarray]]) -> None:
+        times, parts = zip(*known.values(), strict=True)
+        past = pa.ListArray.from_arrays(
+            pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts), pa.float64())
+        )
+        self.carried.update((_packed(tank=pa.array(list(known), pa.string()), ts=pa.array(times, pa.int64()), past=past),))
+
+    def _drain(self, tanks: np.ndarray, times: np.ndarray, values: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Take each tank's readings in order; of those with one time the first to arrive."""
+        codes, names = pd.factorize(tanks, use_na_sentinel=False)
+        names = [None if pd.isna(n) else n for n in names]
+        order = np.lexsort((times, codes))  # stable
+        codes, times, values = codes[order], times[order], values[order]
+        known = self._known()
         outcome = np.full(len(times), TAKEN, dtype=object)
-        outcome[1:][times[1:] == times[:-1]] = REPEATED
-        if last is not None:
-            outcome[times == last], outcome[times < last] = REPEATED, LATE
-        taken = outcome == TAKEN
+        outcome[1:][(times[1:] == times[:-1]) & (codes[1:] == codes[:-1])] = REPEATED
+        met = np.array([n in known for n in names])[codes]
+        last = np.array([known[n][0] if n in known else 0 for n in names], np.int64)[codes]
+        outcome[met & (times == last)], outcome[met & (times < last)] = REPEATED, LATE
+        taken = np.flatnonzero(outcome == TAKEN)
         made = np.full((len(times), len(self.made)), np.nan)
-        if taken.any():
-            found, past = self.take(past, values[taken])
-            made[taken] = np.stack([found[c] for c in self.made], axis=1)
-            self.carried.update((int(times[taken][-1]), past.tolist()))
-        yield pd.DataFrame({self.tank: key[0], TS_US: times, OUTCOME: outcome, "made": list(made)})
+        starts = np.flatnonzero(np.diff(codes[taken], prepend=-1))
+        for rows in np.split(taken, starts[1:]) if len(taken) else []:
+            name = names[codes[rows[0]]]
+            found, past = self.take(known[name][1] if name in known else None, values[rows])
+            made[rows] = np.stack([found[c] for c in self.made], axis=1)
+            known[name] = (int(times[rows[-1]]), past)
+        if len(taken):
+            self._keep(known)
+        yield pd.DataFrame({self.tank: tanks[order], TS_US: times, OUTCOME: outcome, "made": list(made)})
 
 
 def _by_tank(rows: DataFrame, delay: str | None, processor: _InOrder) -> DataFrame:
     """Apply a processor per tank. The result has the tank, TIME, OUTCOME and the made columns.
 
     Spark drops rows behind the watermark where it sees their event time, before anything could count them. So the
-    watermark is taken below and the operator gets the time as a plain number. Made values travel as one array a row.
+    watermark is taken below and the operator gets the time as a plain number. Made values travel as one array a row,
+    tanks as text.
     """
     rows = rows.filter(F.col(TS_US).isNotNull())
     if delay is not None:
         rows = rows.withColumn(EVENT_TIME, F.col(TIME).cast("timestamp")).withWatermark(EVENT_TIME, delay)
+    kind = rows.schema[TANK].dataType
     out = T.StructType([
-        rows.schema[TANK], T.StructField(TS_US, T.LongType()), T.StructField(OUTCOME, T.StringType()),
+        T.StructField(TANK, T.StringType()), T.StructField(TS_US, T.LongType()), T.StructField(OUTCOME, T.StringType()),
         T.StructField("made", T.ArrayType(T.DoubleType())),
     ])
-    found = rows.select(TANK, TS_US, *processor.columns).groupBy(TANK).transformWithStateInPandas(
+    shelf = F.pmod(F.xxhash64(TANK), F.lit(SHELVES)).alias("shelf")
+    shelved = rows.select(shelf, F.col(TANK).cast("string").alias(TANK), TS_US, *processor.columns)
+    found = shelved.groupBy("shelf").transformWithStateInPandas(
         processor, out, "append", "none" if delay is None else "eventTime"
     )
     return found.select(
-        TANK, from_micros(F.col(TS_US)).alias(TIME), OUTCOME,
+        F.col(TANK).cast(kind).alias(TANK), from_micros(F.col(TS_US)).alias(TIME), OUTCOME,
         *(no_nan(F.col("made")[k]).alias(c) for k, c in enumerate(processor.made)),
     )
 
