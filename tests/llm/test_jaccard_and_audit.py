@@ -124,6 +124,17 @@ def test_wrapped_notices_are_found(spark):
     assert out[len(texts) + 1] == ("unknown", 0)
 
 
+def test_every_line_is_learnt_from(spark):
+    rows = [(i, f"All of line x{i}x\nanother line of the public work x{i}x\n \nAll rights reserved.") for i in range(4500)]
+    frame = spark.createDataFrame([*rows, *rows[:100], (9999, None)], "doc_id bigint, text string")
+    found = licenses.unknown_lines(frame).collect()
+    count = {}
+    for r in found:
+        count[tuple(r.grams)] = count.get(tuple(r.grams), 0) + r.lines
+    assert count == {("all", "of"): 4500, ("of", "of the", "public", "the", "the public", "work"): 4500}
+    assert {r.half for r in found} == {0, 1}
+
+
 # ---- fixity
 
 

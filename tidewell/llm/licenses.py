@@ -1,8 +1,8 @@
 """License scan of paragraphs by a trained classifier; DataFrame and Spark ML functions only.
 
 A paragraph's features are the words and word pairs that occur in the templates, counted sparsely. A multinomial logistic
-regression is trained on the templates and on a bounded sample of other paragraphs, with ``unknown`` as a class of its own;
-the probability from which a family is believed is calibrated on held-out unknown paragraphs. A believed family is
+regression is trained on the templates and on one half of all other lines, with ``unknown`` as a class of its own; the
+probability from which a family is believed is calibrated on the other half of them. A believed family is
 confirmed by comparison with its templates: the share of a template's word pairs that the paragraph has.
 
 A paragraph can only be confirmed if it has one of a template's anchor words; they are chosen so that the pairs
@@ -26,11 +26,13 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidewell.llm.common import staged
+
 UNKNOWN = "unknown"
 #: Share of a template's word pairs that confirms it.
 CONFIRM = 0.8
-#: Documents whose paragraphs are the sample of unknown ones.
-SAMPLE_DOCS = 2000
+#: All unknown lines together weigh as much as so many at most, so that more of them do not drown the templates.
+UNKNOWN_WEIGHT = 10_000
 #: Share of held-out unknown paragraphs that may be believed to be a family.
 FALSE_ALARMS = 0.001
 
@@ -219,37 +221,49 @@ class Scanner:
         ).drop("best", "guess", "p", "features", "rawPrediction", "prediction")
 
 
+#: Words and word pairs of the templates, the features.
+VOCABULARY = sorted({g for _, t in _templates() for g in (*_pairs(t), *_WORD.findall(t.lower()))})
+
+
 def _vectors(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    vocabulary = sorted({g for _, t in _templates() for g in (*_pairs(t), *_WORD.findall(t.lower()))})
-    return CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features").transform(rows)
+    return CountVectorizerModel.from_vocabulary(VOCABULARY, "grams", "features").transform(rows)
 
 
-def train(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -> Scanner:
-    """Fit on the templates and the lines of about ``sample_docs`` texts, chosen by hash, twice as many at most.
+def unknown_lines(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(half, grams, lines): the grams in the vocabulary of every line of every distinct text, and how many lines have them.
 
-    Lines that look half like a template are no example of the unknown. Every other sampled line is kept for calibration.
+    Lines that look half like a template are no example of the unknown and left out.
     """
+    texts = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("a"), F.md5(text).alias("b")).dropna()
+    lines = texts.select("a", "b", F.posexplode(F.split("text", "\n")).alias("at", "line")).filter(F.trim("line") != "")
+    known = with_grams(lines).withColumn("grams", F.filter("grams", lambda g: g.isin(VOCABULARY)))
+    known = known.select("a", "b", "at", F.pmod(F.xxhash64("line"), F.lit(2)).alias("half"), F.array_sort("grams").alias("grams"))
+    pairs = F.filter("grams", lambda g: g.contains(" "))
+    near = F.greatest(*(share for _, share in _template_share(F.col("pairs"))))
+    once = known.dropDuplicates(["a", "b", "at"]).groupBy("half", "grams").agg(F.count("*").alias("lines"))
+    return once.withColumn("pairs", pairs).filter((F.size("pairs") == 0) | (near < 0.5)).drop("pairs")
+
+
+def train(docs: DataFrame, text: str = "text") -> Scanner:
+    """Fit on the templates and one half of the lines of all texts; the other half is kept for calibration."""
     spark = docs.sparkSession
     families = sorted(TEMPLATES)
     known = [(families.index(f) + 1.0, t) for f, t in _templates()]
     known += [(label, t.lower()) for label, t in known] + [(label, "Copyright notice. " + t) for label, t in known]
-    texts = docs.select(F.col(text).alias("text")).dropna()
-    share = sample_docs / max(1, texts.count())
-    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < int(share * (1 << 40))
-    some = texts.filter(drawn).distinct().limit(2 * sample_docs).repartition(8)
-    other = with_grams(some.select(F.explode(F.split("text", "\n")).alias("line")).filter(F.trim("line") != ""))
-    other = other.filter(F.greatest(*(share for _, share in _template_share(F.col("pairs")))) < 0.5)
-    other = other.select("line", "pairs", "grams", F.pmod(F.xxhash64("line"), F.lit(2)).alias("half")).cache()
+    other = staged(unknown_lines(docs, text), "unknown-lines")
+    learnt = other.filter("half = 0")
+    lines = learnt.agg(F.sum("lines")).first()[0] or 0
+    each = min(1.0, UNKNOWN_WEIGHT / max(1, lines))
     positives = with_grams(spark.createDataFrame([*known, *((0.0, t) for t in CONFUSING)], "label double, line string"))
     rows = positives.select("label", F.lit(20.0).alias("weight"), "grams").unionByName(
-        other.filter("half = 0").select(F.lit(0.0).alias("label"), F.lit(1.0).alias("weight"), "grams")
+        learnt.select(F.lit(0.0).alias("label"), (F.col("lines") * F.lit(each)).alias("weight"), "grams")
     )
     fitted = LogisticRegression(
         family="multinomial", regParam=1e-4, maxIter=60, weightCol="weight", standardization=False
     ).fit(_vectors(spark, rows))
     chances = fitted.transform(_vectors(spark, other.filter("half = 1"))).withColumn("p", vector_to_array("probability"))
-    highest = chances.agg(F.expr(f"percentile(array_max(slice(p, 2, {len(families)})), {1 - FALSE_ALARMS})")).first()[0]
-    other.unpersist()
+    best = f"array_max(slice(p, 2, {len(families)}))"
+    highest = chances.agg(F.expr(f"percentile({best}, {1 - FALSE_ALARMS}, lines)")).first()[0]
     return Scanner(spark, fitted, families, max(0.5, highest or 0.0))
 
 
