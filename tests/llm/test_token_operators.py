@@ -219,3 +219,73 @@ def test_the_model_beats_counts_on_held_out_text(spark):
     held = max_entropy.score(frame.filter(remainder == 2), text, model, counts, {})
     base, score = held.agg(F.sum("base_score"), F.sum("score")).first()
     assert score > base
+
+
+def test_probabilities_of_head_and_leaves_sum_to_one():
+    rng = np.random.default_rng(1)
+    tree = max_entropy.Classes(np.sort(rng.pareto(1, 700))[::-1] + 1, deep=2)
+    weights = max_entropy.Weights.zero(tree)
+    weights.classes[:] = rng.normal(size=weights.classes.shape)
+    weights.words[:] = rng.normal(size=weights.words.shape)
+    everything = np.arange(699 + max_entropy.WIDTH**2)
+    for last, before in ((3, 5), (750, max_entropy.START)):
+        p = max_entropy.log_probability(weights, everything, np.full_like(everything, last), np.full_like(everything, before))
+        assert (10**p).sum() == pytest.approx(1)
+
+
+@pytest.mark.parametrize("head", [max_entropy.HEAD, 50])
+def test_tokens_of_any_rank_depend_on_what_stands_before(spark, monkeypatch, head):
+    monkeypatch.setattr(max_entropy, "HEAD", head)
+    rng = random.Random(3)
+    texts = [" ".join(f"x{i} y{i}" for i in rng.choices(range(1500), k=200)) for _ in range(200)]
+    rows = [(i, t, 1) for i, t in enumerate(texts)] + [(1000, "x7 y7 x1400 y1400", 2), (1001, "x7 y1400 x1400 y7", 2)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, part int")
+    model, counts = max_entropy.fit(frame, F.col("text"), F.col("part"), held_out=2)
+    held = max_entropy.score(frame.filter("part = 2"), F.col("text"), model, counts, {"doc_id": F.col("doc_id")}).collect()
+    found = {r.doc_id: r for r in held}
+    assert found[1000].base_score == pytest.approx(found[1001].base_score)
+    assert found[1000].score > found[1001].score + 1
+
+
+@pytest.mark.parametrize("head", [max_entropy.HEAD, 9])
+def test_scores_equal_plain_ones_at_any_split(spark, monkeypatch, head):
+    import xxhash
+
+    for name, value in (("HEAD", head), ("SHELF", 300), ("PART", 40)):
+        monkeypatch.setattr(max_entropy, name, value)
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices(["the", "of", *(f"w{k}" for k in range(30))], k=rng.randint(0, 40))), i % 7) for i in range(60)]
+    rows += [(60, rows[3][1], 1), (61, rows[3][1], 2), (62, None, 2), (63, "unknown the w1", 2)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, part int")
+    model, counts = max_entropy.fit(frame, F.col("text"), F.col("part"), held_out=2)
+    carry = {"doc_id": F.col("doc_id")}
+    runs = [
+        max_entropy.score(frame.repartition(1), F.col("text"), model, counts, carry, known=F.col("part") != 2),
+        max_entropy.score(frame.repartition(5), F.col("text"), model, counts, carry),
+        max_entropy.score(frame.filter("part = 2"), F.col("text"), model, counts, carry),
+    ]
+    first, *others = ({r.doc_id: r.score for r in run.collect()} for run in runs)
+    assert len(first) == len(rows) and len(others[1]) < len(rows) and model.shelves > 3
+
+    words = [(t or "").encode().split() + [max_entropy.END] for _, t, _ in rows]
+    c = Counter(w for (_, _, part), own in zip(rows, words, strict=True) if part != 2 for w in own)
+    number = lambda w: model.ids.get(w, len(model.ids) + (xxhash.xxh64_intdigest(w, 42) & model.leaves - 1))
+    events, of, known, keys = [], [], [], []
+    for k, own in enumerate(words):
+        ids = [max_entropy.START] * 2 + [number(w) for w in own]
+        events += zip(ids[2:], ids[1:], ids, strict=False)
+        of += [k] * len(own)
+        known += [rows[k][2] != 2] * len(own)
+        keys += [int.from_bytes(xxhash.xxh3_128_digest((rows[k][1] or "").encode())[:8], "little")] * len(own)
+    token, last, before = np.array(events).T
+    shelf, logp = model.shelf(last, before, np.array(keys, np.uint64)), np.zeros(len(events))
+    for s in np.unique(shelf):
+        own = np.flatnonzero(shelf == s)
+        logp[own] = max_entropy.fit_and_score(model.tree, token[own], last[own], before[own], np.array(known)[own].astype(int))
+    want = np.bincount(of, logp)
+    for k, own in enumerate(words):
+        for w in own:
+            if w not in model.ids:
+                want[k] += math.log10((c[w] + 1) / (1 + sum(m + 1 for v, m in c.items() if v not in model.ids and number(v) == number(w))))
+    for run in (first, *others):
+        assert all(x == pytest.approx(want[i], rel=1e-4) for i, x in run.items())

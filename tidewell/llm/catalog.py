@@ -69,7 +69,7 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, remainder = F.coalesce(F.col("text"), F.lit("")), id_remainder(F.col("doc_id"), 7)
     model, counts = max_entropy.fit(docs, text, remainder, held_out=2)
     carry = {"doc_id": F.col("doc_id"), "held_out": remainder == 2}
-    scored = max_entropy.score(docs, text, model, counts, carry)
+    scored = max_entropy.score(docs, text, model, counts, carry, known=remainder != 2)
     return scored.withColumn("train_tokens", F.lit(model.total).cast("long"))
 
 

@@ -1,19 +1,23 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
-The probability of a token is that of its class times that of the token within its class, both softmaxes over hashed
-features of the two tokens before it: a bias, the last token (bigram), the one before (skip) and both (trigram). The
-classes hold the most frequent tokens; one more class stands for all others, whose share follows their counts as in
-the base model. Every feature owns a row of weights, hashed into two tables of fixed size.
-
-Training sees each training text once, in rounds: tasks start a round from the same weights, make gradient updates
-(AdaGrad) over sparse batches of the distinct (token, last, before) triples of their texts, and their weights are
-averaged by Spark, block by block. Scoring computes each distinct triple of a batch once.
-
-Counts of all tokens are a Spark aggregate over all training texts. The most frequent ones (``HEAD``) travel to the tasks;
+The probability of a token is the product of the choices on its way through nested classes: each node is a softmax over
+``WIDTH`` children, relative to the children's shares of all counts, with hashed features of the two tokens before: a
+bias, the last token (bigram), the one before (skip) and both (trigram). Classes are cut by counts, so frequent tokens
+have short ways. Every token has a way of its own: the most frequent ones (``HEAD``) by rank, the others below one leaf
+by the digits of a hash, with as many leaves there as such types; types that share a leaf, and unknown tokens, divide it
+by their counts.
+
+Texts become events (token, last, before). An event goes to the shelf of its last token; shelves grow in number, not in
+size, with the tokens. The events of a frequent last token are dealt to several shelves by the token before it, and by
+text where that is frequent too. Shelves share no features, so one task trains a shelf (AdaGrad over its distinct
+training events in the order of their hashes, tables sized by them) and scores its events; nothing is averaged, and the
+weights depend neither on the splits of the input nor on its order. Sums by text come back by stretch.
+
+Counts of all tokens are a Spark aggregate over all training texts. The most frequent ones travel to the tasks;
 the counts of the others meet the texts in a join, once for each text and task, so that copies of a text cost nothing.
 
 Defined cases. Null or empty text: the end token alone. Ties in counts are ordered by token. Repeated rows are counted
-and scored each. Nothing to train on: weights stay 0, all counts are 0. Long texts are read whole, in stretches.
+and scored each. Nothing to train on: all counts are 0 and both scores are 0. Long texts are read whole, in stretches.
 """
 
 from __future__ import annotations
@@ -21,7 +25,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,21 +35,25 @@ from tidewell.llm.common import LOWER, staged
 END = b"\n"  # white space, so no word
 #: Tokens whose counts every task holds.
 HEAD = 1 << 18
-CLASSES, SLOTS_A_CLASS = 32, 32
-#: Tokens with a place of their own in the softmax.
-VOCABULARY = CLASSES * SLOTS_A_CLASS
-RARE, START = VOCABULARY, VOCABULARY + 1
-CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 15
-ROUNDS = ((0, 1, 3), (4, 5, 6))
+#: Children of a node, a power of two.
+WIDTH, BITS = 8, 3
+#: The leaf of all other tokens in weights made without counts.
+RARE = 1 << 10
+#: What stands before a text.
+START = -2
 RATE = 0.3
-#: Triples of one gradient step.
+#: Events of one gradient step.
 STEP = 8192
 #: Tokens handled at a time.
 STRETCH = 1 << 20
 #: Distinct tokens a task counts before it hands them on.
 HELD = 1 << 19
-#: Weights of one row when they are averaged.
-BLOCK = 1 << 13
+#: Training tokens for each shelf, and how many events of one context may share a shelf.
+SHELF, PART = 1 << 20, 1 << 18
+#: Events for each drawer of a shelf.
+DRAWER = 1 << 16
+#: Seed of Spark's ``xxhash64``.
+SEED = 42
 
 
 def split_words(text: bytes | None) -> list[bytes]:
@@ -78,102 +85,216 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c"))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _u64(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.int64).view(np.uint64)
+
+
+class Classes:
+    """Nested classes over tokens 0, 1, ... and one leaf of all others, each cut into parts of about equal mass.
+
+    The leaf of the others goes on for ``deep`` levels, one for each digit of the token's number beyond it.
+    """
+
+    def __init__(self, mass: np.ndarray, deep: int = 0) -> None:
+        n = len(mass)
+        self.rest, self.deep = n - 1, deep
+        sums = np.concatenate([[0.0], np.cumsum(mass, dtype=np.float64)])
+        middle = (sums[:-1] + sums[1:]) / 2
+        alive, low, high, node = np.arange(n), np.zeros(n, int), np.full(n, n), np.zeros(n, int)
+        self.count = int(n > 1)
+        nodes, digits, shares = [], [], []
+        self.depth = np.zeros(n, np.int8)
+        if n == 1:
+            alive = alive[:0]
+        while len(alive):
+            size, at = high[alive] - low[alive], sums[low[alive]]
+            cut = ((middle[alive] - at) / (sums[high[alive]] - at) * WIDTH).astype(int)
+            digit = np.where(size <= WIDTH, alive - low[alive], np.clip(cut, 0, WIDTH - 1))
+            nodes.append(np.zeros(n, np.int32))
+            digits.append(np.zeros(n, np.int8))
+            nodes[-1][alive], digits[-1][alive] = node[alive], digit
+            self.depth[alive] += 1
+            shares.append((node[alive] * WIDTH + digit, mass[alive]))
+            edge = np.flatnonzero(np.diff(node[alive] * WIDTH + digit, prepend=-1))
+            sizes = np.diff(np.append(edge, len(alive)))
+            low[alive], high[alive] = np.repeat(alive[edge], sizes), np.repeat(alive[edge] + sizes, sizes)
+            inner = sizes > 1
+            node[alive] = np.repeat(self.count + np.cumsum(inner) - 1, sizes)
+            self.count += int(inner.sum())
+            alive = alive[np.repeat(inner, sizes)]
+        self.nodes, self.digits = np.array(nodes).reshape(-1, n), np.array(digits).reshape(-1, n)
+        total = np.zeros(max(self.count, 1) * WIDTH)
+        for child, m in shares:
+            total += np.bincount(child, m, len(total))
+        total = total.reshape(-1, WIDTH)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            prior = np.log(total / total.sum(axis=1, keepdims=True))
+        self.prior = np.where(total > 0, prior, -1e4).astype(np.float32)
+
+    def way(self, token: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which tokens go on, their nodes, the children taken) at a level."""
+        leaf = np.minimum(token, self.rest)
+        goes = self.depth.take(leaf) > level
+        below = level - int(self.depth[self.rest])
+        if not 0 <= below < self.deep:
+            own = np.flatnonzero(goes)
+            leaf = leaf.take(own)
+            return own, self.nodes[level].take(leaf), self.digits[level].take(leaf)
+        further = token >= self.rest
+        own = np.flatnonzero(goes | further)
+        further, leaf, number = further.take(own), leaf.take(own), token.take(own) - self.rest
+        node = self.count + (1 << BITS * below) + (number >> BITS * (self.deep - below))
+        digit = (number >> BITS * (self.deep - below - 1)) & (WIDTH - 1)
+        if level < len(self.nodes):
+            node = np.where(further, node, self.nodes[level].take(leaf))
+            digit = np.where(further, digit, self.digits[level].take(leaf))
+        return own, node, digit
+
+    @property
+    def levels(self) -> int:
+        return max(len(self.nodes), int(self.depth[self.rest]) + self.deep)
+
+    def prior_of(self, node: np.ndarray) -> np.ndarray:
+        """Logarithms of the children's shares; the same for all children below the leaf of the others."""
+        out = self.prior.take(node, axis=0, mode="clip")
+        if self.deep:
+            out[node >= self.count] = 0
+        return out
+
+
 @dataclass
 class Weights:
+    """Rows of the root's features and of those of all other nodes; the numbers of rows are powers of two."""
+
     classes: np.ndarray
     words: np.ndarray
+    tree: Classes
 
     @staticmethod
-    def zero() -> Weights:
-        return Weights(np.zeros((CLASS_ROWS, CLASSES + 1), np.float32), np.zeros((WORD_ROWS, SLOTS_A_CLASS), np.float32))
+    def zero(tree: Classes | None = None, events: int = 1 << 15) -> Weights:
+        rows = 1 << max(events - 1, 255).bit_length()
+        shapes = (max(rows >> 2, 256), WIDTH), (rows, WIDTH)
+        return Weights(*(np.zeros(s, np.float32) for s in shapes), tree or Classes(np.ones(RARE + 1)))
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.classes.ravel(), self.words.ravel()])
+    def table(self, level: int) -> np.ndarray:
+        return self.words if level else self.classes
 
-    @staticmethod
-    def of(flat: np.ndarray) -> Weights:
-        n = CLASS_ROWS * (CLASSES + 1)
-        return Weights(flat[:n].reshape(CLASS_ROWS, -1).copy(), flat[n:].reshape(WORD_ROWS, -1).copy())
 
+def _contexts(last: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Hashes of the four features of each event."""
+    a, b = _u64(last), _u64(before)
+    pair = _mixed(_mixed(a + np.uint64(1 << 40)) + b)
+    return np.stack([np.full(len(a), 1 << 42, np.uint64), _mixed(a + np.uint64(1 << 41)), _mixed(b + np.uint64(3 << 41)), pair])
 
-def _hashed(x: np.ndarray, kind: int, rows: int) -> np.ndarray:
-    mixed = (x.astype(np.uint64) + np.uint64(kind << 40)) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)).astype(np.int64) % rows
 
+def _rows(contexts: np.ndarray, node: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Rows of the features in ``table``; the node is part of every feature."""
+    x = (contexts + _u64(node) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(65 - len(table).bit_length())).view(np.int64)
 
-def _features(last: np.ndarray, before: np.ndarray, given: np.ndarray, rows: int) -> np.ndarray:
-    """Rows of the four features of each case; ``given`` (a class, or 0) is part of every feature."""
-    base = given * (1 << 24)
-    return np.stack([
-        _hashed(base, 1, rows), _hashed(base + last, 2, rows), _hashed(base + before, 3, rows),
-        _hashed(base + last * (START + 1) + before, 4, rows),
-    ])
 
-
-def _softmax(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    logits = table[rows[0]] + table[rows[1]]
-    logits += table[rows[2]]
-    logits += table[rows[3]]
-    logits -= logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    return logits
+def _softmax(table: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    out = table.take(rows[0], axis=0)
+    for own in rows[1:]:
+        out += table.take(own, axis=0)
+    out += prior
+    np.exp(np.minimum(out, 60, out=out), out=out)
+    out /= (out @ np.ones(WIDTH, np.float32))[:, None]
+    return out
 
 
 def log_probability(weights: Weights, token: np.ndarray, last: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """log10 of class times token within class; of the class alone for rare tokens."""
-    group = np.where(token == RARE, CLASSES, token // SLOTS_A_CLASS)
-    out = np.empty(len(token))
+    """log10 of the way to each token."""
+    out = np.zeros(len(token))
     for at in range(0, len(token), STEP):
         cut = slice(at, at + STEP)
-        p = _softmax(weights.classes, _features(last[cut], before[cut], np.zeros_like(group[cut]), CLASS_ROWS))
-        out[cut] = np.log10(np.maximum(p[np.arange(len(p)), group[cut]], 1e-30))
-        own = np.flatnonzero(group[cut] < CLASSES)
-        g = group[cut][own]
-        p = _softmax(weights.words, _features(last[cut][own], before[cut][own], g + 1, WORD_ROWS))
-        out[at + own] += np.log10(np.maximum(p[np.arange(len(p)), token[cut][own] % SLOTS_A_CLASS], 1e-30))
+        contexts = _contexts(last[cut], before[cut])
+        for level in range(weights.tree.levels):
+            own, node, digit = weights.tree.way(token[cut], level)
+            if len(own):
+                table = weights.table(level)
+                p = _softmax(table, _rows(contexts.take(own, axis=1), node, table), weights.tree.prior_of(node))
+                taken = p.ravel().take(np.arange(0, p.size, WIDTH) + digit)
+                out[at + own] += np.log10(np.maximum(taken, np.float32(1e-30)))
     return out
 
 
-def _step(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, right: np.ndarray, n: np.ndarray) -> None:
+def _step(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, prior: np.ndarray, right: np.ndarray, n: np.ndarray) -> None:
     """One AdaGrad step on the rows of a batch."""
-    p = _softmax(table, rows)
-    p[np.arange(len(p)), right] -= 1
+    p = _softmax(table, rows, prior)
+    p.ravel()[np.arange(0, p.size, WIDTH) + right] -= 1
     p *= n[:, None]
     flat = rows.ravel()
-    order = np.argsort(flat, kind="stable")
-    ordered = flat[order]
+    order = np.argsort(flat)
+    ordered = flat.take(order)
     starts = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
-    gradient = np.add.reduceat(p[order % len(p)], starts)
-    touched = ordered[starts]
-    squares[touched] += gradient * gradient
-    table[touched] -= RATE * gradient / np.sqrt(squares[touched] + 1e-8)
-
-
-class Trainer:
-    """Weights of one task in one round."""
-
-    def __init__(self, weights: Weights) -> None:
-        self.weights = weights
-        self.squares = Weights.zero()
-        self.tokens = 0
-
-    def see(self, token: np.ndarray, last: np.ndarray, before: np.ndarray, n: np.ndarray) -> None:
-        order = np.random.default_rng(len(token)).permutation(len(token))
-        for at in range(0, len(order), STEP):
-            cut = order[at : at + STEP]
-            t, a, b, m = token[cut], last[cut], before[cut], n[cut].astype(np.float32)
-            group = np.where(t == RARE, CLASSES, t // SLOTS_A_CLASS)
-            _step(self.weights.classes, self.squares.classes, _features(a, b, np.zeros_like(group), CLASS_ROWS), group, m)
-            own = np.flatnonzero(group < CLASSES)
+    gradient = np.add.reduceat(p.take(order % len(p), axis=0), starts)
+    touched = ordered.take(starts)
+    seen = squares.take(touched, axis=0)
+    seen += gradient * gradient
+    squares[touched] = seen
+    # The 1 keeps children that are rare in a context near their shares.
+    seen += 1
+    gradient *= RATE / np.sqrt(seen)
+    table[touched] = table.take(touched, axis=0) - gradient
+
+
+def fit_events(tree: Classes, token: np.ndarray, last: np.ndarray, before: np.ndarray, n: np.ndarray) -> Weights:
+    """Weights from distinct events, each ``n`` times, in the order given."""
+    weights, squares = Weights.zero(tree, len(token)), Weights.zero(tree, len(token))
+    for at in range(0, len(token), STEP):
+        cut = slice(at, at + STEP)
+        contexts, m = _contexts(last[cut], before[cut]), n[cut].astype(np.float32)
+        for level in range(tree.levels):
+            own, node, digit = tree.way(token[cut], level)
             if len(own):
-                rows = _features(a[own], b[own], group[own] + 1, WORD_ROWS)
-                _step(self.weights.words, self.squares.words, rows, t[own] % SLOTS_A_CLASS, m[own])
-        self.tokens += int(n.sum())
+                table = weights.table(level)
+                rows = _rows(contexts.take(own, axis=1), node, table)
+                _step(table, squares.table(level), rows, tree.prior_of(node), digit, m.take(own))
+    return weights
 
 
-def _stretches(texts: list[bytes | None], ids: dict[bytes, int]) -> Iterator[tuple[list[int], list[np.ndarray], list[list[bytes]]]]:
-    """Texts, or stretches of long ones, as (text numbers, head ids with two starting marks first, words)."""
+def fit_and_score(
+    tree: Classes, token: np.ndarray, last: np.ndarray, before: np.ndarray, n: np.ndarray
+) -> np.ndarray:
+    """log10 probabilities of all events of a shelf, learned from those that stand ``n`` > 0 times in training texts.
+
+    A shelf has drawers, by the last token, of a size whose weights stay in a processor's cache.
+    """
+    out = np.empty(len(token))
+    drawer = (_mixed(_u64(last) + np.uint64(1 << 44)) % np.uint64(max(1, len(token) // DRAWER))).astype(np.int64)
+    order = np.argsort(drawer, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(drawer[order])) + 1):
+        t, a, b, _, at = _distinct(token[own], last[own], before[own])
+        often = np.bincount(at, n[own], len(t))
+        learned = np.flatnonzero(often)
+        weights = fit_events(tree, t[learned], a[learned], b[learned], often[learned])
+        out[own] = log_probability(weights, t, a, b)[at]
+    return out
+
+
+def _stretches(
+    texts: list[bytes | None], ids: dict[bytes, int], leaves: int = 1
+) -> Iterator[tuple[list[int], list[np.ndarray], list[list[bytes]]]]:
+    """Texts, or stretches of long ones, as (text numbers, token numbers with two starting marks first, words).
+
+    Tokens outside ``ids`` are numbered behind them, by their leaf.
+    """
+    import xxhash
+
+    class Numbers(dict):
+        def __missing__(self, word: bytes) -> int:
+            return len(ids) + (xxhash.xxh64_intdigest(word, SEED) & (leaves - 1))
+
+    number_of = Numbers(ids).__getitem__
     numbers: list[int] = []
     parts: list[np.ndarray] = []
     words_of: list[list[bytes]] = []
@@ -181,10 +302,10 @@ def _stretches(texts: list[bytes | None], ids: dict[bytes, int]) -> Iterator[tup
     for k, text in enumerate(texts):
         words = split_words(text)
         words.append(END)
-        carried = np.array([-2, -2])
+        carried = np.array([START, START])
         for at in range(0, len(words), STRETCH):
             own = words[at : at + STRETCH]
-            found = np.fromiter(map(ids.get, own, repeat(-1)), np.int64, len(own))
+            found = np.fromiter(map(number_of, own), np.int64, len(own))
             numbers.append(k)
             parts.append(np.concatenate([carried, found]))
             words_of.append(own)
@@ -197,73 +318,72 @@ def _stretches(texts: list[bytes | None], ids: dict[bytes, int]) -> Iterator[tup
         yield numbers, parts, words_of
 
 
-def _triples(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (token, last, before), how often, and which one stands at each place."""
+def _events(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, last, before) at each place."""
     ids = np.concatenate(parts)
-    model = np.where(ids == -2, START, np.where((ids < 0) | (ids >= VOCABULARY), RARE, ids))
-    code = (model[2:] * (START + 1) + model[1:-1]) * (START + 1) + model[:-2]
     inside = np.ones(len(ids), bool)
     starts = np.cumsum([0, *(len(p) for p in parts[:-1])])
     inside[starts] = inside[starts + 1] = False
-    distinct, at, n = np.unique(code[inside[2:]], return_inverse=True, return_counts=True)
-    rest, before = np.divmod(distinct, START + 1)
-    token, last = np.divmod(rest, START + 1)
-    return token, last, before, n, at
+    at = np.flatnonzero(inside)
+    return ids[at], ids[at - 1], ids[at - 2]
+
+
+def _distinct(token: np.ndarray, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (token, last, before) in the order of their hashes, how often, and which one stands at each place."""
+    code = _mixed(_mixed(_mixed(_u64(token)) + _u64(last)) + _u64(before))
+    _, first, at, n = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+    return token[first], last[first], before[first], n, at
+
+
+def _triples(parts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    return _distinct(*_events(parts))
+
+
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Columns of 32-bit numbers, their bytes sorted by place and compressed."""
+    planes = np.stack(columns).astype(np.int32).view(np.uint8).reshape(len(columns), -1, 4).transpose(0, 2, 1)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, columns: int, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * columns * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(columns, 4, n).transpose(0, 2, 1)).view(np.int32)[:, :, 0]
 
 
 class LanguageModel:
-    """Counts and weights; what a scoring task needs."""
+    """Counts and classes; what a task needs. ``texts`` are the training texts of the shelves."""
 
-    def __init__(self, head: list[tuple[bytes, int]], total: int, distinct: int) -> None:
+    def __init__(self, head: list[tuple[bytes, int]], total: int, distinct: int, texts: DataFrame | None = None) -> None:
         self.ids = {bytes(t): k for k, (t, _) in enumerate(head)}
-        self.log_counts = np.log10(np.array([c for _, c in head] or [0], np.float64) + 1)
-        placed, places = sum(c for _, c in head[:VOCABULARY]), min(len(head), VOCABULARY)
-        self.total, self.distinct = total, distinct
+        self.counts = np.array([c for _, c in head], np.int64)
+        self.least = head[-1][1] if head else None
+        self.log_counts = np.log10(np.append(self.counts, 0) + 1.0)
+        self.total, self.distinct, self.texts = total, distinct, texts
         self.base_log = float(np.log10(total + distinct + 1))
-        self.rare_log = float(np.log10(total - placed + distinct - places + 1))
-        self.weights = Weights.zero()
-
-
-def train(docs: DataFrame, text: Column, remainder: Column, model: LanguageModel, rounds=ROUNDS) -> None:
-    """Rounds of local gradient updates and averaging; ``remainder`` deals the training texts to the rounds."""
-    context = docs.sparkSession.sparkContext
-    for own in rounds:
-        shared = context.broadcast(model)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            start = shared.value.weights
-            trainer = Trainer(Weights(start.classes.copy(), start.words.copy()))
-            for batch in batches:
-                for _, parts, _ in _stretches(batch.column(0).to_pylist(), shared.value.ids):
-                    trainer.see(*_triples(parts)[:4])
-            if trainer.tokens:
-                flat = trainer.weights.flat()
-                blocks = [flat[k : k + BLOCK].tobytes() for k in range(0, len(flat), BLOCK)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array([trainer.tokens] * len(blocks), pa.int64()),
-                     pa.array(blocks, pa.binary())], names=["block", "n", "w"],
-                )
-
-        def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, list] = {}
-            for batch in batches:
-                for k, n, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    held = sums.setdefault(k, [0, 0.0])
-                    held[0] += n
-                    held[1] = held[1] + np.frombuffer(w, np.float32).astype(np.float64) * n
-            if sums:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(sums), pa.int32()), pa.array([n for n, _ in sums.values()], pa.int64()),
-                     pa.array([(s / n).astype(np.float32).tobytes() for n, s in sums.values()], pa.binary())],
-                    names=["block", "n", "w"],
-                )
-
-        texts = docs.filter(remainder.isin(*own)).select(text.cast("binary").alias("text"))
-        schema = "block int, n long, w binary"
-        mixed = texts.mapInArrow(run, schema).repartition("block").mapInArrow(average, schema).collect()
-        if mixed:
-            model.weights = Weights.of(np.concatenate([np.frombuffer(r[2], np.float32) for r in sorted(mixed)]))
-        shared.unpersist()
+        others = distinct - len(head)
+        deep = 0
+        while 1 << BITS * deep < others and deep < 10:  # numbers have 31 bits
+            deep += 1
+        self.leaves = 1 << BITS * deep
+        mass = np.append(self.counts + 1.0, total - self.counts.sum() + others + 1.0)
+        self.tree = Classes(mass, deep)
+        self.shelves, self.part = max(1, -(-total // SHELF)), PART
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"texts": None}
+
+    def shelf(self, last: np.ndarray, before: np.ndarray, name: np.ndarray) -> np.ndarray:
+        """Shelf of each event; frequent contexts have several, by the token before and the text's name."""
+        starts = self.counts[self.ids[END]] if END in self.ids else 0
+        # The two marks are the last entries, reached by their negative numbers.
+        often = np.concatenate([self.counts, [0], [starts, 0]])
+        often = [often[np.minimum(x, len(self.counts))] for x in (last, before)]
+        parts, salts = 1 + often[0] // self.part, 1 + np.minimum(*often) // self.part
+        part = np.zeros(len(last), np.uint64)
+        hot = np.flatnonzero(parts > 1)
+        salt = name[hot] % salts[hot].astype(np.uint64)
+        part[hot] = _mixed(_mixed(_u64(before[hot])) + salt) % parts[hot].astype(np.uint64)
+        return (_mixed(_mixed(_u64(last) + np.uint64(1 << 43)) + part) % np.uint64(self.shelves)).astype(np.int64)
 
 
 def _most_frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
@@ -286,53 +406,157 @@ def _most_frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
 
 
 def fit(docs: DataFrame, text: Column, remainder: Column, held_out: int) -> tuple[LanguageModel, DataFrame]:
-    """The model, and the staged counts of all training tokens."""
+    """The model, and the staged counts of all training tokens. Shelves are trained where they score."""
     known = docs.filter(remainder != held_out).select(text.cast("binary").alias("text"))
     counts = staged(count_tokens(known), "token-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    model = LanguageModel(_most_frequent(counts), total, distinct)
-    train(docs, text, remainder, model)
-    return model, counts
+    return LanguageModel(_most_frequent(counts), total, distinct, known), counts
 
 
-def score(
-    docs: DataFrame, text: Column, model: LanguageModel, counts: DataFrame, carry: dict[str, Column],
-) -> DataFrame:
-    """``carry``'s columns, n_tokens, n_known, base_score and score of each row."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(text.cast("binary").alias("__text"), *(c.alias(n) for n, c in carry.items()))
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
+def _name_of(text: bytes | None) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(text or b"")
 
-    def name_of(text: bytes | None) -> bytes:
-        import xxhash
 
-        return xxhash.xxh3_128_digest(text or b"")
+def _text_scores(texts: DataFrame, model: LanguageModel) -> DataFrame:
+    """(name, n_tokens, known, logs, logp) of the distinct texts of a frame (text, scored, known); tokens outside the
+    head count neither as known nor in ``logs``.
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm = shared.value
+    Stretches of texts are dealt to shelves, shelves train and score, and their sums are added up by stretch.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+    number = np.dtype([("name", "V16"), ("unit", "i8"), ("scored", "i8"), ("n", "i8"), ("known", "i8"), ("logs", "f8")])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        lm, task = shared.value, TaskContext.get().partitionId() << 32
+        stretch = unit = 0
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            n, known, logs, rare_logs, rare, logp = (np.zeros(len(texts)) for _ in range(6))
-            for numbers, parts, _ in _stretches(texts, lm.ids):
-                token, last, before, _, at = _triples(parts)
-                each = log_probability(lm.weights, token, last, before)[at]
-                ids = np.concatenate([p[2:] for p in parts])
-                starts = np.cumsum([0, *(len(p) - 2 for p in parts[:-1])])
-                own = np.where(ids >= 0, lm.log_counts[ids], 0.0)
-                unplaced = (ids < 0) | (ids >= VOCABULARY)
-                for total, value in (
-                    (n, np.ones(len(ids))), (known, ids >= 0), (logs, own), (rare_logs, own * unplaced),
-                    (rare, unplaced), (logp, each),
-                ):
-                    np.add.at(total, numbers, np.add.reduceat(value.astype(np.float64), starts))
-            names = pa.array([name_of(x) for x in texts], pa.binary())
-            made = [pa.array(x.astype(np.int64)) for x in (n, known, rare)] + [pa.array(x) for x in (logs, rare_logs, logp)]
+            held: dict[bytes, list] = {}
+            for text, scored, known in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = held.setdefault(_name_of(text), [text, 0, 0])
+                own[1] |= scored
+                own[2] += known
+            names = np.array(list(held), "V16")
+            keys = names.view(np.uint64)[::2]
+            scored, often = (np.array([h[i] for h in held.values()], np.int64) for i in (1, 2))
+            for numbers, parts, _ in _stretches([h[0] for h in held.values()], lm.ids, lm.leaves):
+                token, last, before = _events(parts)
+                lengths = np.array([len(p) - 2 for p in parts])
+                starts = np.cumsum(lengths) - lengths
+                of = np.array(numbers)
+                place = np.repeat(np.arange(len(of)), lengths)
+                known = token < len(lm.ids)
+                head = np.empty(len(of), number)
+                head["name"], head["unit"], head["scored"], head["n"] = names[of], task + unit + of, scored[of], lengths
+                head["known"] = np.add.reduceat(known.astype(np.int64), starts)
+                head["logs"] = np.add.reduceat(np.where(known, lm.log_counts[np.minimum(token, len(lm.ids))], 0.0), starts)
+                shelf = lm.shelf(last, before, keys[of][place])
+                order = np.argsort(shelf.astype(np.int32 if lm.shelves > 1 << 15 else np.int16), kind="stable")
+                edges = np.flatnonzero(np.diff(shelf[order], prepend=-1))
+                rows = [(lm.shelves + (task + stretch) % lm.shelves, len(of), head.tobytes())]
+                for low, high in zip(edges, np.append(edges[1:], len(order)), strict=True):
+                    at = order[low:high]
+                    columns = [token[at], last[at], before[at], np.diff(place[at], prepend=0), often[of[place[at]]]]
+                    rows.append((shelf[at[0]], high - low, _packed(columns)))
+                for low in range(0, len(rows), 256):
+                    own = list(zip(*rows[low : low + 256], strict=True))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(own[0], pa.int64()), pa.array([task + stretch] * len(own[0]), pa.int64()),
+                         pa.array(own[1], pa.int32()), pa.array(own[2], pa.binary())], names=["shelf", "stretch", "n", "data"],
+                    )
+                stretch += 1
+            unit += len(held)
+
+    def of_shelf(lm: LanguageModel, rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        columns = np.concatenate([_unpacked(data, 5, n) for _, n, data in rows], axis=1)
+        each = fit_and_score(lm.tree, *columns[:3].astype(np.int64), columns[4])
+        low = 0
+        for stretch, size, _ in rows:
+            place = np.cumsum(columns[3, low : low + size])
+            edge = np.flatnonzero(np.diff(place, prepend=-1))
+            sums = np.add.reduceat(each[low : low + size], edge).astype(np.float32)
+            low += size
+            data = _packed([np.diff(place[edge], prepend=0), sums.view(np.int32)])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], names, *made],
-                names=[*batch.schema.names[1:], "__name", "n_tokens", "__known", "__rare", "__logs", "__rare_logs", "__logp"],
+                [pa.array([stretch], pa.int64()), pa.array([False]), pa.array([len(edge)], pa.int32()), pa.array([data], pa.binary())],
+                names=["stretch", "head", "n", "data"],
             )
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lm, held, current = shared.value, [], None
+        for batch in batches:
+            for shelf, stretch, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shelf != current:
+                    if held:
+                        yield from of_shelf(lm, held)
+                    held, current = [], shelf
+                if shelf < lm.shelves:
+                    held.append((stretch, n, data))
+                else:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([stretch], pa.int64()), pa.array([True]), pa.array([n], pa.int32()), pa.array([data], pa.binary())],
+                        names=["stretch", "head", "n", "data"],
+                    )
+        if held:
+            yield from of_shelf(lm, held)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = logp = None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if head is not None and head["scored"].any():
+                own = np.flatnonzero(head["scored"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x.tobytes() for x in head["name"][own]], pa.binary()),
+                     *(pa.array(head[c][own]) for c in ("unit", "n", "known", "logs")), pa.array(logp[own])],
+                    names=["name", "unit", "n_tokens", "known", "logs", "logp"],
+                )
+
+        for batch in batches:
+            for _, is_head, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if is_head:
+                    yield from out()
+                    head, logp = np.frombuffer(data, number), np.zeros(n)
+                else:
+                    place, sums = _unpacked(data, 2, n)
+                    logp[np.cumsum(place)] += sums.view(np.float32)
+        yield from out()
+
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.mapInArrow(deal, "shelf long, stretch long, n int, data binary")
+    dealt = dealt.repartition(max(partitions, 2 * model.shelves), "shelf").sortWithinPartitions("shelf", "stretch")
+    sums = dealt.mapInArrow(work, "stretch long, head boolean, n int, data binary")
+    sums = sums.repartition("stretch").sortWithinPartitions("stretch", F.desc("head"))
+    units = sums.mapInArrow(add_up, "name binary, unit long, n_tokens long, known long, logs double, logp double")
+    whole = units.groupBy("name", "unit").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "known", "logs", "logp")))
+    return whole.groupBy("name").agg(*(F.max(c).alias(c) for c in ("n_tokens", "known", "logs", "logp")))
+
+
+def score(
+    docs: DataFrame, text: Column, model: LanguageModel, counts: DataFrame, carry: dict[str, Column], known: Column | None = None,
+) -> DataFrame:
+    """``carry``'s columns, n_tokens, n_known, base_score and score of each row.
+
+    ``known`` tells which rows are the training texts, if ``docs`` has them all; without it they are read besides.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text = text.cast("binary")
+    rows = docs.select(text.alias("__text"), *(c.alias(n) for n, c in carry.items()))
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
+    texts = docs.select(
+        text.alias("text"), F.lit(True).alias("scored"), (F.lit(False) if known is None else known).alias("known")
+    )
+    if known is None and model.texts is not None:
+        texts = texts.unionByName(model.texts.select("text", F.lit(False).alias("scored"), F.lit(True).alias("known")))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = pa.array([_name_of(x) for x in batch.column(0).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], names], names=[*batch.schema.names[1:], "__name"])
+
     def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Tokens outside the head, once per text and task."""
         from pyspark import TaskContext
@@ -343,7 +567,7 @@ def score(
             for at in range(0, batch.num_rows, 512):
                 names, tokens, n = [], [], []
                 for text in batch.column(0).slice(at, 512).to_pylist():
-                    name = name_of(text)
+                    name = _name_of(text)
                     if name not in seen:
                         seen.add(name)
                         found = Counter(w for w in (*split_words(text), END) if w not in ids)
@@ -357,17 +581,22 @@ def score(
                         names=["token", "name", "task", "n"],
                     )
 
-    scored = rows.mapInArrow(near, f"{kept}__name binary, n_tokens long, __known long, __rare long, "
-                                   "__logs double, __rare_logs double, __logp double")
+    leaf = F.xxhash64("token").bitwiseAND(F.lit(model.leaves - 1)).alias("leaf")
+    others = counts if model.least is None else counts.filter(F.col("c") < model.least)
+    leaves = others.groupBy(leaf).agg(F.sum(F.col("c") + 1).alias("mass"), F.collect_list(F.struct("token", "c")).alias("types"))
     rest = rows.select("__text").mapInArrow(far, "token binary, name binary, task int, n int")
-    met = rest.join(counts, "token").groupBy("name", "task").agg(
-        F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("s"), F.sum("n").alias("m")
+    own = rest.select("*", leaf).join(leaves, "leaf", "left").withColumn("c", F.expr("get(filter(types, x -> x.token = token), 0).c"))
+    log_count = F.log10(F.coalesce("c", F.lit(0)) + 1.0)
+    met = own.groupBy("name", "task").agg(
+        F.sum(F.col("n") * log_count).alias("s"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("m"),
+        F.sum(F.col("n") * F.log10(F.coalesce("mass", F.lit(0)) + 1.0)).alias("shared"),
     )
-    per_text = met.groupBy(F.col("name").alias("__name")).agg(F.max("s").alias("__far"), F.max("m").alias("__far_known"))
-    joined = scored.join(per_text, "__name", "left")
-    far_logs = F.coalesce("__far", F.lit(0.0))
+    per_text = met.groupBy("name").agg(F.max("s").alias("far"), F.max("m").alias("far_known"), F.max("shared").alias("shared"))
+    per_text = _text_scores(texts, model).join(per_text, "name", "left").withColumnRenamed("name", "__name")
+    joined = rows.mapInArrow(named, f"{kept}__name binary").join(per_text, "__name", "left")
+    far_logs = F.coalesce("far", F.lit(0.0))
     return joined.select(
-        *carry, "n_tokens", (F.col("__known") + F.coalesce("__far_known", F.lit(0))).alias("n_known"),
-        (F.col("__logs") + far_logs - F.col("n_tokens") * model.base_log).alias("base_score"),
-        (F.col("__logp") + F.col("__rare_logs") + far_logs - F.col("__rare") * model.rare_log).alias("score"),
+        *carry, "n_tokens", (F.col("known") + F.coalesce("far_known", F.lit(0))).alias("n_known"),
+        (F.col("logs") + far_logs - F.col("n_tokens") * model.base_log).alias("base_score"),
+        (F.col("logp") + far_logs - F.coalesce("shared", F.lit(0.0))).alias("score"),
     )
