@@ -289,3 +289,48 @@ def test_scores_equal_plain_ones_at_any_split(spark, monkeypatch, head):
                 want[k] += math.log10((c[w] + 1) / (1 + sum(m + 1 for v, m in c.items() if v not in model.ids and number(v) == number(w))))
     for run in (first, *others):
         assert all(x == pytest.approx(want[i], rel=1e-4) for i, x in run.items())
+
+
+def test_words_of_many_texts_equal_plain_ones(monkeypatch):
+    monkeypatch.setattr(max_entropy, "GROUP", 100)
+    rng = random.Random(5)
+    alphabet = list(b" \t\n\x0b\x0c\r\x00\x1c\x1f\x85\xa0AZaz\xc3\xa9\xff")
+    texts = [None, b"", b" ", b"\xff\xfeA", b"a" * 500] + [bytes(rng.choices(alphabet, k=rng.randint(0, 30))) for _ in range(300)]
+    plain = [bytes(b + 32 if 65 <= b <= 90 else b for b in t or b"").split() for t in texts]
+    groups = list(max_entropy._groups(texts))
+    assert len(groups) > 10 and [k for g in groups for k in range(g.start, g.stop)] == list(range(len(texts)))
+    for g in groups:
+        words, counts = max_entropy.split_words(texts[g])
+        assert counts.tolist() == [len(own) for own in plain[g]]
+        assert words.to_pylist() == [w for own in plain[g] for w in own]
+
+
+def test_a_word_outside_the_head_is_hashed_once_for_many_texts(monkeypatch):
+    import xxhash
+
+    hashed, digest = [], xxhash.xxh64_intdigest
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda w, seed: hashed.append(w) or digest(w, seed))
+    found = list(max_entropy._stretches([b"the Rare the", None, b"rare"] * 200, {b"the": 0, b"\n": 1}, 8))
+    rare = 2 + (digest(b"rare", 42) & 7)
+    assert [p.tolist() for _, parts, _ in found for p in parts] == [[-2, -2, 0, rare, 0, 1], [-2, -2, 1], [-2, -2, rare, 1]] * 200
+    assert len(hashed) <= 2
+
+
+@pytest.mark.parametrize("length", [1 << 9, 1 << 20])
+def test_a_step_equals_a_plain_one(length):
+    rng = np.random.default_rng(6)
+    m, width = 300, max_entropy.WIDTH
+    # Row 3 is that of all events, others are met once, and some events meet a row with two features.
+    rows = np.stack([np.full(m, 3), rng.integers(0, 40, m), rng.integers(0, length, m), rng.integers(0, length, m)])
+    rows[3, :20] = rows[2, :20]
+    prior, right, n = rng.normal(size=(m, width)), rng.integers(0, width, m), rng.integers(1, 4, m)
+    table, squares = rng.normal(size=(length, width)).astype(np.float32), rng.random((length, width)).astype(np.float32)
+    p = np.exp(table[rows].astype(float).sum(axis=0) + prior)
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(m), right] -= 1
+    gradient = np.zeros((length, width))
+    np.add.at(gradient, rows.ravel(), np.tile(p * n[:, None], (4, 1)))
+    sums = squares + gradient**2
+    want = table - max_entropy.RATE * gradient / np.sqrt(sums + 1)
+    max_entropy._step(table, squares, rows, prior.astype(np.float32), right, n.astype(np.float32))
+    assert np.allclose(table, want, atol=1e-4) and np.allclose(squares, sums, rtol=1e-4, atol=1e-4)

@@ -22,15 +22,15 @@ and scored each. Nothing to train on: all counts are 0 and both scores are 0. Lo
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewell.llm.common import LOWER, staged
+from tidewell.llm.common import staged
 
 END = b"\n"  # white space, so no word
 #: Tokens whose counts every task holds.
@@ -42,10 +42,11 @@ RARE = 1 << 10
 #: What stands before a text.
 START = -2
 RATE = 0.3
-#: Events of one gradient step.
+#: Events of one gradient step, and the bits of a place in it.
 STEP = 8192
-#: Tokens handled at a time.
-STRETCH = 1 << 20
+PLACE = (STEP - 1).bit_length()
+#: Tokens handled at a time, and bytes of text that are cut into words at a time.
+STRETCH, GROUP = 1 << 20, 8 << 20
 #: Distinct tokens a task counts before it hands them on.
 HELD = 1 << 19
 #: Training tokens for each shelf, and how many events of one context may share a shelf.
@@ -54,33 +55,55 @@ SHELF, PART = 1 << 20, 1 << 18
 DRAWER = 1 << 16
 #: Seed of Spark's ``xxhash64``.
 SEED = 42
+#: Spreads features over a table.
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: Adds up the children of each row into all its columns.
+ALIKE = np.ones((WIDTH, WIDTH), np.float32)
 
 
-def split_words(text: bytes | None) -> list[bytes]:
-    return text.translate(LOWER).split() if text else []
+def split_words(texts: list[bytes | None]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in turn, and how many each text has."""
+    data = pa.array([x or b"" for x in texts], pa.binary())
+    text = pa.Array.from_buffers(pa.string(), len(data), data.buffers())  # any bytes; both functions know ASCII only
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(text))
+    words = parts.flatten().cast(pa.binary())
+    # Before the first and behind the last white space of a text stands an empty part.
+    kept = pc.binary_length(words).to_numpy() > 0
+    sums = np.concatenate([[0], np.cumsum(kept)])
+    return words.filter(pa.array(kept)), np.diff(sums[parts.offsets.to_numpy()])
+
+
+def _groups(texts: list[bytes | None]) -> Iterator[slice]:
+    """Texts that are cut into words together."""
+    sizes = np.cumsum([len(x or b"") + 1 for x in texts], dtype=np.int64)
+    edges = np.flatnonzero(np.diff(sizes // GROUP, prepend=0)).tolist()
+    for low, high in zip([0, *edges], [*edges, len(texts)], strict=True):
+        if low < high:
+            yield slice(low, high)
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
     """(token, c) over a frame of one binary column; tasks add up before rows are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        held: list[pa.Table] = []
 
-        def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays(
-                [pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["token", "n"]
-            )
-            held.clear()
-            return made
+        def add_up() -> pa.Table:
+            made = pa.concat_tables(held).group_by("token", use_threads=False).aggregate([("n", "sum")])
+            return made.select(["token", "n_sum"]).rename_columns(["token", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(split_words(text))
-                held[END] += 1
-                if len(held) > HELD:
-                    yield out()
+            column = batch.column(0).to_pylist()
+            for own in _groups(column):
+                found = pc.value_counts(split_words(column[own])[0])
+                held.append(pa.table({"token": found.field(0), "n": found.field(1)}))
+                held.append(pa.table({"token": pa.array([END], pa.binary()), "n": pa.array([own.stop - own.start], pa.int64())}))
+                if sum(len(x) for x in held) > 2 * HELD:
+                    held[:] = [add_up()]
+                    if len(held[0]) > HELD:
+                        yield from held.pop().to_batches()
         if held:
-            yield out()
+            yield from add_up().to_batches()
 
     return texts.mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c"))
 
@@ -135,7 +158,9 @@ class Classes:
         total = total.reshape(-1, WIDTH)
         with np.errstate(divide="ignore", invalid="ignore"):
             prior = np.log(total / total.sum(axis=1, keepdims=True))
-        self.prior = np.where(total > 0, prior, -1e4).astype(np.float32)
+        prior = np.where(total > 0, prior, -1e4).astype(np.float32)
+        #: The last row is that of all nodes below the leaf of the others.
+        self.prior = np.concatenate([prior[: self.count], np.zeros((1, WIDTH), np.float32)])
 
     def way(self, token: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(which tokens go on, their nodes, the children taken) at a level."""
@@ -162,10 +187,7 @@ class Classes:
 
     def prior_of(self, node: np.ndarray) -> np.ndarray:
         """Logarithms of the children's shares; the same for all children below the leaf of the others."""
-        out = self.prior.take(node, axis=0, mode="clip")
-        if self.deep:
-            out[node >= self.count] = 0
-        return out
+        return self.prior.take(node, axis=0, mode="clip")
 
 
 @dataclass
@@ -190,25 +212,32 @@ def _contexts(last: np.ndarray, before: np.ndarray) -> np.ndarray:
     """Hashes of the four features of each event."""
     a, b = _u64(last), _u64(before)
     pair = _mixed(_mixed(a + np.uint64(1 << 40)) + b)
-    return np.stack([np.full(len(a), 1 << 42, np.uint64), _mixed(a + np.uint64(1 << 41)), _mixed(b + np.uint64(3 << 41)), pair])
+    out = np.stack([np.full(len(a), 1 << 42, np.uint64), _mixed(a + np.uint64(1 << 41)), _mixed(b + np.uint64(3 << 41)), pair])
+    out *= SPREAD
+    return out
 
 
 def _rows(contexts: np.ndarray, node: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Rows of the features in ``table``; the node is part of every feature."""
-    x = (contexts + _u64(node) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)
+    x = contexts + _u64(node) * np.uint64(0xD6E8FEB86659FD93) * SPREAD
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xBF58476D1CE4E5B9)
-    return (x >> np.uint64(65 - len(table).bit_length())).view(np.int64)
+    x >>= np.uint64(65 - len(table).bit_length())
+    return x.view(np.int64)
 
 
-def _softmax(table: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> np.ndarray:
+def _odds(table: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """What the children's probabilities are in proportion to."""
     out = table.take(rows[0], axis=0)
     for own in rows[1:]:
         out += table.take(own, axis=0)
     out += prior
-    np.exp(np.minimum(out, 60, out=out), out=out)
-    out /= (out @ np.ones(WIDTH, np.float32))[:, None]
-    return out
+    return np.exp(np.minimum(out, 60, out=out), out=out)
+
+
+def _cells(table: np.ndarray) -> np.ndarray:
+    """The rows of a table as single items, which numpy copies in one piece each."""
+    return table.view(f"V{table.itemsize * WIDTH}").ravel()
 
 
 def log_probability(weights: Weights, token: np.ndarray, last: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -221,30 +250,45 @@ def log_probability(weights: Weights, token: np.ndarray, last: np.ndarray, befor
             own, node, digit = weights.tree.way(token[cut], level)
             if len(own):
                 table = weights.table(level)
-                p = _softmax(table, _rows(contexts.take(own, axis=1), node, table), weights.tree.prior_of(node))
-                taken = p.ravel().take(np.arange(0, p.size, WIDTH) + digit)
+                odds = _odds(table, _rows(contexts.take(own, axis=1), node, table), weights.tree.prior_of(node))
+                taken = odds.ravel().take(np.arange(0, odds.size, WIDTH) + digit) / (odds @ ALIKE[0])
                 out[at + own] += np.log10(np.maximum(taken, np.float32(1e-30)))
     return out
 
 
 def _step(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, prior: np.ndarray, right: np.ndarray, n: np.ndarray) -> None:
     """One AdaGrad step on the rows of a batch."""
-    p = _softmax(table, rows, prior)
+    p = _odds(table, rows, prior)
+    p /= p @ ALIKE
     p.ravel()[np.arange(0, p.size, WIDTH) + right] -= 1
-    p *= n[:, None]
-    flat = rows.ravel()
-    order = np.argsort(flat)
-    ordered = flat.take(order)
-    starts = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
-    gradient = np.add.reduceat(p.take(order % len(p), axis=0), starts)
-    touched = ordered.take(starts)
+    many = np.flatnonzero(n != 1)
+    p[many] *= n[many, None]
+    # A row and the event that has it make one number, so a plain sort brings the events of a row together.
+    key = rows.astype(np.uint32 if len(table) << PLACE <= 1 << 32 else np.uint64)
+    key <<= PLACE
+    key |= np.arange(len(p), dtype=key.dtype)
+    key = key.ravel()
+    key.sort()
+    event, key = key & (1 << PLACE) - 1, key >> PLACE
+    starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+    sizes = np.diff(starts, append=len(key))
+    gradient = p.take(event.take(starts), axis=0)
+    several = sizes > 1
+    if several.any():
+        # Most rows have one event; the sums of the others are taken two numbers at a time.
+        shared, ends = p.take(event[np.repeat(several, sizes)], axis=0), np.cumsum(sizes[several])
+        sums = np.add.reduceat(shared.view(np.complex64), ends - sizes[several])
+        _cells(gradient)[several] = _cells(sums.view(np.float32))
+    touched = key.take(starts).astype(np.int64)
     seen = squares.take(touched, axis=0)
     seen += gradient * gradient
-    squares[touched] = seen
+    _cells(squares)[touched] = _cells(seen)
     # The 1 keeps children that are rare in a context near their shares.
     seen += 1
-    gradient *= RATE / np.sqrt(seen)
-    table[touched] = table.take(touched, axis=0) - gradient
+    np.sqrt(seen, out=seen)
+    gradient /= seen
+    gradient *= RATE
+    _cells(table)[touched] = _cells(table.take(touched, axis=0) - gradient)
 
 
 def fit_events(tree: Classes, token: np.ndarray, last: np.ndarray, before: np.ndarray, n: np.ndarray) -> Weights:
@@ -270,7 +314,8 @@ def fit_and_score(
     A shelf has drawers, by the last token, of a size whose weights stay in a processor's cache.
     """
     out = np.empty(len(token))
-    drawer = (_mixed(_u64(last) + np.uint64(1 << 44)) % np.uint64(max(1, len(token) // DRAWER))).astype(np.int64)
+    drawers = max(1, len(token) // DRAWER)
+    drawer = (_mixed(_u64(last) + np.uint64(1 << 44)) % np.uint64(drawers)).astype(np.uint16 if drawers <= 1 << 16 else np.int64)
     order = np.argsort(drawer, kind="stable")
     for own in np.split(order, np.flatnonzero(np.diff(drawer[order])) + 1):
         t, a, b, _, at = _distinct(token[own], last[own], before[own])
@@ -281,41 +326,49 @@ def fit_and_score(
     return out
 
 
-def _stretches(
-    texts: list[bytes | None], ids: dict[bytes, int], leaves: int = 1
-) -> Iterator[tuple[list[int], list[np.ndarray], list[list[bytes]]]]:
-    """Texts, or stretches of long ones, as (text numbers, token numbers with two starting marks first, words).
+def _head_numbers(words: pa.Array, ids: dict[bytes, int]) -> np.ndarray:
+    """Numbers of the words that have one in ``ids``, -1 for all others."""
+    return pc.index_in(words, value_set=pa.array(list(ids), pa.binary())).fill_null(-1).to_numpy().astype(np.int64)
 
-    Tokens outside ``ids`` are numbered behind them, by their leaf.
-    """
+
+def _numbers(words: pa.Array, ids: dict[bytes, int], leaves: int) -> np.ndarray:
+    """Numbers of words; those outside ``ids`` are numbered behind them, by their leaf."""
     import xxhash
 
-    class Numbers(dict):
-        def __missing__(self, word: bytes) -> int:
-            return len(ids) + (xxhash.xxh64_intdigest(word, SEED) & (leaves - 1))
+    out = _head_numbers(words, ids)
+    far = np.flatnonzero(out < 0)
+    if len(far):
+        coded = words.take(pa.array(far)).dictionary_encode()
+        leaf = [xxhash.xxh64_intdigest(w, SEED) & (leaves - 1) for w in coded.dictionary.to_numpy(zero_copy_only=False)]
+        out[far] = len(ids) + np.array(leaf, np.int64)[coded.indices.to_numpy()]
+    return out
+
 
-    number_of = Numbers(ids).__getitem__
+def _stretches(
+    texts: list[bytes | None], ids: dict[bytes, int], leaves: int = 1
+) -> Iterator[tuple[list[int], list[np.ndarray], list[int]]]:
+    """Texts, or stretches of long ones, as (text numbers, token numbers with two starting marks first, numbers of tokens)."""
+    end = _numbers(pa.array([END], pa.binary()), ids, leaves)
     numbers: list[int] = []
     parts: list[np.ndarray] = []
-    words_of: list[list[bytes]] = []
+    lengths: list[int] = []
     size = 0
-    for k, text in enumerate(texts):
-        words = split_words(text)
-        words.append(END)
-        carried = np.array([START, START])
-        for at in range(0, len(words), STRETCH):
-            own = words[at : at + STRETCH]
-            found = np.fromiter(map(number_of, own), np.int64, len(own))
-            numbers.append(k)
-            parts.append(np.concatenate([carried, found]))
-            words_of.append(own)
-            carried = parts[-1][-2:]
-            size += len(own)
-            if size >= STRETCH:
-                yield numbers, parts, words_of
-                numbers, parts, words_of, size = [], [], [], 0
+    for group in _groups(texts):
+        words, counts = split_words(texts[group])
+        found, low = _numbers(words, ids, leaves), 0
+        for k, n in enumerate(counts.tolist(), group.start):
+            own = np.concatenate([[START, START], found[low : low + n], end])
+            low += n
+            for at in range(0, n + 1, STRETCH):
+                numbers.append(k)
+                parts.append(own[at : at + STRETCH + 2])
+                lengths.append(len(parts[-1]) - 2)
+                size += lengths[-1]
+                if size >= STRETCH:
+                    yield numbers, parts, lengths
+                    numbers, parts, lengths, size = [], [], [], 0
     if numbers:
-        yield numbers, parts, words_of
+        yield numbers, parts, lengths
 
 
 def _events(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -341,7 +394,7 @@ def _triples(parts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
 
 def _packed(columns: list[np.ndarray]) -> bytes:
     """Columns of 32-bit numbers, their bytes sorted by place and compressed."""
-    planes = np.stack(columns).astype(np.int32).view(np.uint8).reshape(len(columns), -1, 4).transpose(0, 2, 1)
+    planes = np.stack(columns, dtype=np.int32, casting="same_kind").view(np.uint8).reshape(len(columns), -1, 4).transpose(0, 2, 1)
     return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
@@ -376,13 +429,12 @@ class LanguageModel:
         """Shelf of each event; frequent contexts have several, by the token before and the text's name."""
         starts = self.counts[self.ids[END]] if END in self.ids else 0
         # The two marks are the last entries, reached by their negative numbers.
-        often = np.concatenate([self.counts, [0], [starts, 0]])
-        often = [often[np.minimum(x, len(self.counts))] for x in (last, before)]
-        parts, salts = 1 + often[0] // self.part, 1 + np.minimum(*often) // self.part
+        parts = 1 + np.concatenate([self.counts, [0], [starts, 0]]) // self.part
+        own, other = (parts.take(np.minimum(x, len(self.counts))) for x in (last, before))
         part = np.zeros(len(last), np.uint64)
-        hot = np.flatnonzero(parts > 1)
-        salt = name[hot] % salts[hot].astype(np.uint64)
-        part[hot] = _mixed(_mixed(_u64(before[hot])) + salt) % parts[hot].astype(np.uint64)
+        hot = np.flatnonzero(own > 1)
+        salt = name[hot] % np.minimum(own[hot], other[hot]).astype(np.uint64)
+        part[hot] = _mixed(_mixed(_u64(before[hot])) + salt) % own[hot].astype(np.uint64)
         return (_mixed(_mixed(_u64(last) + np.uint64(1 << 43)) + part) % np.uint64(self.shelves)).astype(np.int64)
 
 
@@ -442,9 +494,8 @@ def _text_scores(texts: DataFrame, model: LanguageModel) -> DataFrame:
             names = np.array(list(held), "V16")
             keys = names.view(np.uint64)[::2]
             scored, often = (np.array([h[i] for h in held.values()], np.int64) for i in (1, 2))
-            for numbers, parts, _ in _stretches([h[0] for h in held.values()], lm.ids, lm.leaves):
+            for numbers, parts, lengths in _stretches([h[0] for h in held.values()], lm.ids, lm.leaves):
                 token, last, before = _events(parts)
-                lengths = np.array([len(p) - 2 for p in parts])
                 starts = np.cumsum(lengths) - lengths
                 of = np.array(numbers)
                 place = np.repeat(np.arange(len(of)), lengths)
@@ -457,10 +508,11 @@ def _text_scores(texts: DataFrame, model: LanguageModel) -> DataFrame:
                 order = np.argsort(shelf.astype(np.int32 if lm.shelves > 1 << 15 else np.int16), kind="stable")
                 edges = np.flatnonzero(np.diff(shelf[order], prepend=-1))
                 rows = [(lm.shelves + (task + stretch) % lm.shelves, len(of), head.tobytes())]
+                columns = [x.astype(np.int32).take(order) for x in (token, last, before, place, often[of][place])]
                 for low, high in zip(edges, np.append(edges[1:], len(order)), strict=True):
-                    at = order[low:high]
-                    columns = [token[at], last[at], before[at], np.diff(place[at], prepend=0), often[of[place[at]]]]
-                    rows.append((shelf[at[0]], high - low, _packed(columns)))
+                    own = [x[low:high] for x in columns]
+                    own[3] = np.diff(own[3], prepend=np.int32(0))
+                    rows.append((shelf[order[low]], high - low, _packed(own)))
                 for low in range(0, len(rows), 256):
                     own = list(zip(*rows[low : low + 256], strict=True))
                     yield pa.RecordBatch.from_arrays(
@@ -564,22 +616,30 @@ def score(
         ids, task = shared.value.ids, TaskContext.get().partitionId()
         seen: set[bytes] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                names, tokens, n = [], [], []
-                for text in batch.column(0).slice(at, 512).to_pylist():
-                    name = _name_of(text)
-                    if name not in seen:
-                        seen.add(name)
-                        found = Counter(w for w in (*split_words(text), END) if w not in ids)
-                        names += [name] * len(found)
-                        tokens += found.keys()
-                        n += found.values()
-                if names:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(tokens, pa.binary()), pa.array(names, pa.binary()),
-                         pa.array(np.full(len(names), task, np.int32)), pa.array(n, pa.int32())],
-                        names=["token", "name", "task", "n"],
-                    )
+            held = {}
+            for text in batch.column(0).to_pylist():
+                held.setdefault(_name_of(text), text)
+            names = [x for x in held if x not in seen]
+            seen.update(names)
+            texts = [held[x] for x in names]
+            for group in _groups(texts):
+                words, counts = split_words(texts[group])
+                at = np.flatnonzero(_head_numbers(words, ids) < 0)
+                found, of = words.take(pa.array(at)), np.repeat(np.arange(len(counts)), counts)[at]
+                if END not in ids:
+                    found = pa.concat_arrays([found, pa.array([END] * len(counts), pa.binary())])
+                    of = np.append(of, np.arange(len(counts)))
+                if not len(found):
+                    continue
+                coded = found.dictionary_encode()
+                types = len(coded.dictionary)
+                pairs, n = np.unique(of * types + coded.indices.to_numpy(), return_counts=True)
+                own = pa.array(names[group], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [coded.dictionary.take(pa.array(pairs % types)), own.take(pa.array(pairs // types)),
+                     pa.array(np.full(len(pairs), task, np.int32)), pa.array(n.astype(np.int32))],
+                    names=["token", "name", "task", "n"],
+                )
 
     leaf = F.xxhash64("token").bitwiseAND(F.lit(model.leaves - 1)).alias("leaf")
     others = counts if model.least is None else counts.filter(F.col("c") < model.least)
