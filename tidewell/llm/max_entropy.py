@@ -46,7 +46,7 @@ RATE = 0.3
 STEP = 8192
 PLACE = (STEP - 1).bit_length()
 #: Tokens handled at a time, and bytes of text that are cut into words at a time.
-STRETCH, GROUP = 1 << 20, 8 << 20
+STRETCH, GROUP = 1 << 20, 4 << 20
 #: Distinct tokens a task counts before it hands them on.
 HELD = 1 << 19
 #: Training tokens for each shelf, and how many events of one context may share a shelf.
