@@ -22,7 +22,7 @@ and scored each. Nothing to train on: all counts are 0 and both scores are 0. Lo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -240,22 +240,41 @@ def _cells(table: np.ndarray) -> np.ndarray:
     return table.view(f"V{table.itemsize * WIDTH}").ravel()
 
 
-def log_probability(weights: Weights, token: np.ndarray, last: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """log10 of the way to each token."""
-    out = np.zeros(len(token))
+#: Of a level: which of some events go on, their nodes, the children taken and the rows of their features.
+Way = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _ways(weights: Weights, token: np.ndarray, last: np.ndarray, before: np.ndarray) -> Iterator[list[Way]]:
+    """The ways of the events of each step, by level."""
     for at in range(0, len(token), STEP):
         cut = slice(at, at + STEP)
         contexts = _contexts(last[cut], before[cut])
+        made = []
         for level in range(weights.tree.levels):
             own, node, digit = weights.tree.way(token[cut], level)
+            held = contexts if len(own) == contexts.shape[1] else contexts.take(own, axis=1)
+            rows = _rows(held, node, weights.table(level))
+            made.append(tuple(x.astype(np.int32) for x in (own, node, digit, rows)))
+        yield made
+
+
+def _scores(weights: Weights, ways: Iterable[list[Way]], n: int) -> np.ndarray:
+    """log10 of the ways of ``n`` events."""
+    out = np.zeros(n)
+    for at, made in zip(range(0, n, STEP), ways, strict=True):
+        for level, (own, node, digit, rows) in enumerate(made):
             if len(own):
-                table = weights.table(level)
-                odds = _odds(table, _rows(contexts.take(own, axis=1), node, table), weights.tree.prior_of(node))
+                odds = _odds(weights.table(level), rows, weights.tree.prior_of(node))
                 taken = odds.ravel().take(np.arange(0, odds.size, WIDTH) + digit) / (odds @ ALIKE[0])
                 out[at + own] += np.log10(np.maximum(taken, np.float32(1e-30)))
     return out
 
 
+def log_probability(weights: Weights, token: np.ndarray, last: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """log10 of the way to each token."""
+    return _scores(weights, _ways(weights, token, last, before), len(token))
+
+
 def _step(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, prior: np.ndarray, right: np.ndarray, n: np.ndarray) -> None:
     """One AdaGrad step on the rows of a batch."""
     p = _odds(table, rows, prior)
@@ -291,19 +310,15 @@ def _step(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, prior: np.nd
     _cells(table)[touched] = _cells(table.take(touched, axis=0) - gradient)
 
 
-def fit_events(tree: Classes, token: np.ndarray, last: np.ndarray, before: np.ndarray, n: np.ndarray) -> Weights:
+def fit_events(weights: Weights, ways: Iterable[list[Way]], n: np.ndarray) -> None:
     """Weights from distinct events, each ``n`` times, in the order given."""
-    weights, squares = Weights.zero(tree, len(token)), Weights.zero(tree, len(token))
-    for at in range(0, len(token), STEP):
-        cut = slice(at, at + STEP)
-        contexts, m = _contexts(last[cut], before[cut]), n[cut].astype(np.float32)
-        for level in range(tree.levels):
-            own, node, digit = tree.way(token[cut], level)
+    squares = Weights.zero(weights.tree, len(n))
+    for at, made in zip(range(0, len(n), STEP), ways, strict=True):
+        m = n[at : at + STEP].astype(np.float32)
+        for level, (own, node, digit, rows) in enumerate(made):
             if len(own):
-                table = weights.table(level)
-                rows = _rows(contexts.take(own, axis=1), node, table)
-                _step(table, squares.table(level), rows, tree.prior_of(node), digit, m.take(own))
-    return weights
+                prior = weights.tree.prior_of(node)
+                _step(weights.table(level), squares.table(level), rows, prior, digit, m.take(own))
 
 
 def fit_and_score(
@@ -320,9 +335,16 @@ def fit_and_score(
     for own in np.split(order, np.flatnonzero(np.diff(drawer[order])) + 1):
         t, a, b, _, at = _distinct(token[own], last[own], before[own])
         often = np.bincount(at, n[own], len(t))
-        learned = np.flatnonzero(often)
-        weights = fit_events(tree, t[learned], a[learned], b[learned], often[learned])
-        out[own] = log_probability(weights, t, a, b)[at]
+        # Those to learn come first; their ways serve training and scoring.
+        turn = np.argsort(often == 0, kind="stable")
+        t, a, b, learned = t[turn], a[turn], b[turn], int(np.count_nonzero(often))
+        weights = Weights.zero(tree, learned)
+        ways = list(_ways(weights, t[:learned], a[:learned], b[:learned]))
+        fit_events(weights, ways, often[turn[:learned]])
+        logs = np.empty(len(t))
+        logs[turn[:learned]] = _scores(weights, ways, learned)
+        logs[turn[learned:]] = log_probability(weights, t[learned:], a[learned:], b[learned:])
+        out[own] = logs[at]
     return out
 
 
