@@ -214,3 +214,22 @@ def test_cv_summary_query_has_its_folds(prepared, trained):
     few = Lake(prepared.features.sparkSession, "/nowhere")
     few.__dict__["features"], few.__dict__["trained"] = prepared.features.limit(30).cache(), lk.trained
     assert queries.cv_summary(few).first()["splits"] == 0
+
+
+def test_candidates_grow_as_deep_as_their_rows_allow(spark):
+    # every split takes off the highest level that is left, so a tree is a chain
+    rows = [(k * 100.0, 3.0**k) for k in range(36) for _ in range(60)]
+    columns = [F.lit(0.0).alias(c) for c in FEATURES if c != LEVEL]
+    train = spark.createDataFrame(rows, f"{LEVEL} double, gain double").select(LEVEL, *columns, (F.col(LEVEL) + F.col("gain")).alias(TARGET)).coalesce(1)
+    model = regressors.make_models()[regressors.FOREST](train)
+    stand = next(s for s in model.stages if hasattr(s, "getNumTrees"))
+    assert stand.getNumTrees == 200
+    deepest = 0
+    for r in stand.trees.limit(5).collect():
+        feature, left, n = (np.frombuffer(r[name], kind) for name, kind in (("feature", np.int16), ("left", np.int32), ("n", np.int64)))
+        level = np.zeros(len(feature), int)
+        for k in np.flatnonzero(feature >= 0):
+            level[left[k] : left[k] + 2] = level[k] + 1
+        deepest = max(deepest, level.max())
+        assert n[feature < 0].min() >= 20
+    assert deepest > 12
