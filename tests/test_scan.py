@@ -41,3 +41,17 @@ def test_one_map_stands_for_all_rows(n):
         _, after = walk(flow, cap, [True] + [False] * (n - 1), [level] * n)
         for a, lo, hi in (whole, parts):
             assert min(hi, max(lo, level + a)) == pytest.approx(after[-1], abs=1e-8)
+
+
+def test_a_walk_is_the_same_wherever_it_is_cut():
+    from tidewell.functions import scan
+
+    rng = np.random.default_rng(4)
+    flow, cap = rng.normal(0.0, 900.0, 60), np.full(60, 5000.0)
+    flow[50] = np.nan
+    before, after = scan.walk(flow, cap, 100.1)
+    parts = [scan.walk(flow[:7], cap[:7], 100.1)]
+    parts.append(scan.walk(flow[7:], cap[7:], parts[0][1][-1]))
+    assert np.array_equal(np.concatenate([p[1] for p in parts]), after, equal_nan=True)
+    want = scan.clamp_levels(flow, cap, np.zeros(60, bool), np.full(60, 100.1))
+    assert np.allclose(want[0], before, equal_nan=True) and np.allclose(want[1], after, equal_nan=True)

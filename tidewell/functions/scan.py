@@ -40,6 +40,14 @@ def clamp_levels(flow: np.ndarray, cap: np.ndarray, begins: np.ndarray, start: n
     return np.where(begins, start, np.concatenate([[0.0], after[:-1]])), after
 
 
+def walk(flow: np.ndarray, cap: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray]:
+    """Levels before and after every row of one series, row by row: the same to the last digit wherever it is cut."""
+    levels = [float(start)]
+    for a, c in zip(flow.tolist(), cap.tolist(), strict=True):
+        levels.append(min(max(levels[-1] + a, 0.0), c) if c == c else c)
+    return np.array(levels[:-1]), np.array(levels[1:])
+
+
 def fold(flow: np.ndarray, cap: np.ndarray) -> tuple[float, float, float]:
     """One map for all rows in turn, by halving."""
     maps: Maps = flow.astype(float), np.zeros(len(flow)), np.asarray(cap, float)

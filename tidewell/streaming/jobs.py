@@ -20,7 +20,7 @@ from tidewell.contract import (
     CleaningRules, ControlRules,
 )
 from tidewell.functions.scalars import clip, flag, from_micros, micros, no_nan
-from tidewell.functions.scan import clamp_levels
+from tidewell.functions.scan import walk
 from tidewell.operators.baselines import physics_prediction
 from tidewell.operators.clean import clip_nonnegative, level_out_of_range, zscore_mask
 from tidewell.operators.features import LAG_SOURCES, LAGS, RAIN_WINDOWS, USAGE_WINDOWS
@@ -367,8 +367,7 @@ class _Balance(_InOrder):
 
     def take(self, past: np.ndarray | None, values: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         cap, first, flow = values.T
-        start = np.full(len(flow), first[0] if past is None else past[0])
-        before, after = clamp_levels(flow, cap, np.zeros(len(flow), bool), start)
+        before, after = walk(flow, cap, first[0] if past is None else past[0])
         return {"level": after, "overflow_litres": np.maximum(before + flow - cap, 0.0)}, after[-1:]
 
 
